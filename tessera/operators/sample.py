@@ -241,10 +241,13 @@ def merge_packed(df: DataFrame, by: list[str], order: list[str], lists: list[str
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_m"))
     position = F.flatten(F.transform("_m", lambda m: F.when(m[length] > 0, F.sequence(F.lit(0), m[length].cast("int") - 1))
                                      .otherwise(F.array().cast("array<int>"))))
-    return rows.select(*by, *[F.flatten(F.transform("_m", lambda m, c=c: m[c])).alias(c) for c in lists],
+    def member(c):
+        return F.transform("_m", lambda m: m[c])
+
+    return rows.select(*by, *[F.flatten(member(c)).alias(c) for c in lists],
                        position.alias("position_ids"),
                        F.aggregate("_m", F.lit(0).cast("long"), lambda a, m: a + m[length].cast("long")).alias(length),
-                       *[F.transform("_m", lambda m, c=c: m[c]).alias(c) for c in singles or []])
+                       *[member(c).alias(c) for c in singles or []])
 
 
 def truncate_tokens(df: DataFrame, lists: list[str], limit: int, how: str = "right") -> DataFrame:

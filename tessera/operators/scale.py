@@ -135,3 +135,15 @@ def previous_row(df: DataFrame, order: list, cols: list[str], name: str = "prev"
     inner = W.partitionBy("_slab").orderBy("_pos")
     return (placed.withColumn(name, F.lag(here).over(inner)).join(F.broadcast(ends), "_slab")
             .withColumn(name, F.coalesce(F.col(name), F.col("_end"))).drop("_slab", "_pos", "_end"))
+
+
+def salted_join(rows: DataFrame, side: DataFrame, keys: list[tuple[str, str]], spread: list[str], how: str = "inner",
+                fan: int = 8) -> DataFrame:
+    """Equi join of many rows to a side that has few rows per key.  A key's rows are spread over ``fan`` tasks.
+
+    ``keys`` pairs a column of ``rows`` with a column of ``side``; no name may occur on both sides.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(fan)).cast("int"))
+    right = side.withColumn("_sidesalt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
+    cond = reduce(lambda a, b: a & b, [left[l] == right[r] for l, r in keys]) & (left["_salt"] == right["_sidesalt"])
+    return left.join(right, cond, how).drop("_salt", "_sidesalt")

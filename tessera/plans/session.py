@@ -16,6 +16,7 @@ def session(cores: str | int | None = None, name: str = "tessera") -> SparkSessi
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
