@@ -12,7 +12,7 @@ from .audit import MESSAGES
 from .scale import running_total
 
 # The standard columns, the accepted roles and the aliases of columns and roles.
-STANDARD = ("messages", "rejected_response", "rejected_messages", "label", "images", "videos", "audios", "tools",
+STANDARD = ("messages", "rejected_response", "label", "images", "videos", "audios", "tools",
             "objects", "channel", "margin")
 ROLES = ("system", "user", "tool_call", "tool_response", "tool", "assistant")
 QR_ALIASES = {
@@ -127,9 +127,9 @@ def alpaca_to_messages(df: DataFrame, **kwargs) -> DataFrame:
 
 
 def standard_role(role: Column) -> Column:
-    role = F.replace(role, F.lit("-"), F.lit("_"))
+    tool = F.replace(role, F.lit("-"), F.lit("_"))
     return (F.when(role.isin(*USER_ROLES), "user").when(role.isin(*ASSISTANT_ROLES), "assistant")
-            .when(role.isin(*CALL_ROLES), "tool_call").when(role.isin(*OBSERVATION_ROLES), "tool_response").otherwise(role))
+            .when(tool.isin(*CALL_ROLES), "tool_call").when(tool.isin(*OBSERVATION_ROLES), "tool_response").otherwise(role))
 
 
 def standardize_messages(df: DataFrame, role_key: str = "role", content_key: str = "content",
