@@ -41,7 +41,7 @@ def to_double(c) -> Column:
 
 def number_text(d: Column) -> Column:
     """Whole numbers without a fraction, others as doubles print."""
-    return F.when(d == F.floor(d), d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
+    return T.bind(d, lambda x: F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(x.cast("string")))
 
 
 def squad_normalize(c) -> Column:
@@ -56,10 +56,12 @@ def squad_exact(gold, pred) -> Column:
 
 def token_f1(gold: Column, pred: Column) -> Column:
     """F1 of two token arrays as multisets; two empty ones agree."""
-    same = T.bag_overlap(gold, pred)
-    p, r = same / F.size(pred), same / F.size(gold)
-    return (F.when((F.size(gold) == 0) | (F.size(pred) == 0), (F.size(gold) == F.size(pred)).cast("double"))
-            .when(same == 0, 0.0).otherwise(2 * p * r / (p + r)))
+    def f1(x):
+        g, p = F.size(x["g"]), F.size(x["p"])
+        same = T.bag_overlap(x["g"], x["p"])
+        return F.when((g == 0) | (p == 0), (g == p).cast("double")).otherwise(2 * same / (g + p))
+
+    return T.bind(F.struct(gold.alias("g"), pred.alias("p")), f1)
 
 
 def squad_f1(gold, pred) -> Column:
@@ -119,80 +121,94 @@ def answer_of(c, mode: str = "general") -> Column:
 # ---- matchers; each gives true or false, never null
 
 def wikitq_normalize(c) -> Column:
-    a = T.strip(F.lower(F.coalesce(T.col(c), F.lit(""))))
+    """Numbers without commas, known units and periods, sorted lists, and plain text without accents and punctuation."""
     unit = r"^([\d,]+)\s*(days|years|pages|km\/h|mph)$"
-    bare = F.replace(a, F.lit(","), F.lit(""))
-    num = to_double(bare)
-    items = F.filter(F.transform(F.split(a, r"[|,]\s*"), T.strip), lambda s: s != "")
-    plain = T.squash(F.regexp_replace(fold_accents(a), r"(?U)[^\w\s]", ""))
-    out = (F.when(a.rlike(unit), F.concat(F.replace(F.regexp_extract(a, unit, 1), F.lit(","), F.lit("")), F.lit(" "), F.regexp_extract(a, unit, 2)))
-           .when(a.rlike(r"^[\d,]+$"), bare))
-    for k, v in PERIODS.items():
-        out = out.when(a == k, v)
-    return (out.when(num.isNotNull(), number_text(num))
-            .when(a.rlike(r"[|,]"), F.array_join(F.array_sort(items), "|")).otherwise(plain))
+
+    def rules(a):
+        bare = F.replace(a, F.lit(","), F.lit(""))
+        items = F.filter(F.transform(F.split(a, r"[|,]\s*"), T.strip), lambda s: s != "")
+        out = (F.when(a.rlike(unit), F.concat(F.replace(F.regexp_extract(a, unit, 1), F.lit(","), F.lit("")), F.lit(" "), F.regexp_extract(a, unit, 2)))
+               .when(a.rlike(r"^[\d,]+$"), bare))
+        for k, v in PERIODS.items():
+            out = out.when(a == k, v)
+        return (out.when(bare.rlike(NUMBER), number_text(to_double(bare)))
+                .when(a.rlike(r"[|,]"), F.array_join(F.array_sort(items), "|"))
+                .otherwise(T.squash(F.regexp_replace(fold_accents(a), r"(?U)[^\w\s]", ""))))
+
+    return T.bind(T.strip(F.lower(F.coalesce(T.col(c), F.lit("")))), rules)
 
 
 def wikitq_match(pred, gold) -> Column:
-    p, g = wikitq_normalize(pred), wikitq_normalize(gold)
-    bare_unit = p.rlike(r"^\d+$") & g.rlike(r"^\d+\s+[a-z/]+$") & (p == F.regexp_extract(g, r"^(\d+)", 1))
-    ps = F.array_sort(F.array_distinct(F.split(F.lower(T.col(pred)), r"[|,]\s*")))
-    gs = F.array_sort(F.array_distinct(F.split(F.lower(T.col(gold)), r"[|,]\s*")))
-    as_set = (F.size(ps) > 1) & (F.size(gs) > 1) & (ps == gs)
-    return F.coalesce((p == g) | bare_unit | as_set, F.lit(False)) & T.col(pred).isNotNull() & T.col(gold).isNotNull()
+    def items(c):
+        return F.array_sort(F.array_distinct(F.split(F.lower(T.col(c)), r"[|,]\s*")))
+
+    def same(v):
+        p, g = v["p"], v["g"]
+        number_of_unit = p.rlike(r"^\d+$") & g.rlike(r"^\d+\s+[a-z/]+$") & (p == F.regexp_extract(g, r"^(\d+)", 1))
+        as_set = (F.size(v["ps"]) > 1) & (F.size(v["gs"]) > 1) & (v["ps"] == v["gs"])
+        return (p == g) | number_of_unit | as_set
 
+    both = F.struct(wikitq_normalize(pred).alias("p"), wikitq_normalize(gold).alias("g"), items(pred).alias("ps"), items(gold).alias("gs"))
+    return F.coalesce(T.bind(both, same), F.lit(False)) & T.col(pred).isNotNull() & T.col(gold).isNotNull()
+
+
+def _money(c, comma_aware: bool) -> Column:
+    def parts(low):
+        unit = (F.when(low.contains("%"), "%").when(low.contains("million"), "million").when(low.contains("billion"), "billion")
+                .when(low.contains("$"), "$").otherwise(""))
+        return F.struct(low.alias("low"), T.found(low, r"([-+]?[0-9]*\.?[0-9]+)").try_cast("double").alias("v"), unit.alias("u"))
 
-def _money(c, comma_aware: bool) -> dict[str, Column]:
     low = F.lower(T.strip(c))
-    if comma_aware:
-        low = F.regexp_replace(low, r"(\d),(?=\d)", "$1")
-    value = T.found(low, r"([-+]?[0-9]*\.?[0-9]+)").try_cast("double")
-    unit = (F.when(low.contains("%"), "%").when(low.contains("million"), "million").when(low.contains("billion"), "billion")
-            .when(low.contains("$"), "$").otherwise(""))
-    return {"low": low, "v": value, "u": unit}
+    return T.bind(F.regexp_replace(low, r"(\d),(?=\d)", "$1") if comma_aware else low, parts)
 
 
 def finqa_match(pred, gold, comma_aware: bool = False) -> Column:
-    """Financial answers: absolute 0.01, dollar against million or billion, percent to one decimal, else 5 %.
+    """Financial answers: absolute 0.01, two percentages to one decimal, else 5 %; a percentage never meets an amount.
 
     The number pattern of the default reads '1,234' as 1; ``comma_aware`` reads it as 1234.
     """
-    p, g = _money(pred, comma_aware), _money(gold, comma_aware)
-    close = F.abs(p["v"] - g["v"]) < 0.01
-    pct = (p["u"] == "%") & (g["u"] == "%")
-    same_kind = (p["u"] == "%") == (g["u"] == "%")
-    # units are only converted when exactly one side is a percentage, and then neither side can be a dollar amount and
-    # a multiple at once, so two non-percentages are compared as they stand
-    rel = F.abs(p["v"] - g["v"]) / F.greatest(F.abs(g["v"]), F.lit(1.0)) < 0.05
-    tenth = F.abs(F.bround(p["v"], 1) - F.bround(g["v"], 1)) < 0.15
-    numeric = close | (same_kind & F.when(pct, tenth).otherwise(rel))
-    textual = p["low"] == g["low"]
-    ok = F.when(p["v"].isNull() | g["v"].isNull(), textual).otherwise(numeric)
-    return F.coalesce(ok, F.lit(False)) & (F.coalesce(T.col(pred), F.lit("")) != "")
+    def same(v):
+        p, g = v["p"], v["g"]
+        pct = (p["u"] == "%") & (g["u"] == "%")
+        rel = F.abs(p["v"] - g["v"]) / F.greatest(F.abs(g["v"]), F.lit(1.0)) < 0.05
+        tenth = F.abs(F.bround(p["v"], 1) - F.bround(g["v"], 1)) < 0.15
+        numeric = (F.abs(p["v"] - g["v"]) < 0.01) | (((p["u"] == "%") == (g["u"] == "%")) & F.when(pct, tenth).otherwise(rel))
+        return F.when(p["v"].isNull() | g["v"].isNull(), p["low"] == g["low"]).otherwise(numeric)
+
+    both = F.struct(_money(pred, comma_aware).alias("p"), _money(gold, comma_aware).alias("g"))
+    return F.coalesce(T.bind(both, same), F.lit(False)) & (F.coalesce(T.col(pred), F.lit("")) != "")
 
 
 def hitab_normalize(c) -> Column:
     a = F.regexp_replace(T.strip(F.regexp_replace(F.lower(T.col(c)), r"(?U)[^\w\s.]", "")), f"{T.SPACE}+", " ")
     for lead in LEADS:
-        a = F.when(a.startswith(lead), T.strip(F.substring(a, F.lit(len(lead) + 1), F.length(a)))).otherwise(a)
+        a = T.bind(a, _without(lead))
     return a
 
 
+def _without(lead: str):
+    return lambda x: F.when(x.startswith(lead), T.strip(F.substring(x, F.lit(len(lead) + 1), F.length(x)))).otherwise(x)
+
+
 def _near(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(a - b) < 1e-6, F.lit(False))
 
 
 def hitab_match(pred, golds: Column) -> Column:
     """A number with a unit, all of several golds contained, an equal number, or an equal text."""
+    def check(v):
+        p, parts, g = v["p"], v["parts"], v["g"]
+        head, whole = v["head"], v["whole"]
+        with_unit = (F.size(parts) > 1) & F.exists(g, lambda x: _near(head, to_double(x)))
+        every = (F.size(g) > 1) & F.forall(g, lambda x: p.contains(x) | F.exists(parts, lambda w: _near(to_double(x), to_double(w))))
+        return with_unit | every | F.exists(g, lambda x: _near(whole, to_double(x))) | F.array_contains(g, p)
+
     p = hitab_normalize(pred)
     parts = T.words(p)
-    g = F.transform(golds, hitab_normalize)
-    head = to_double(F.get(parts, F.lit(0)))
-    with_unit = (F.size(parts) > 1) & F.exists(g, lambda x: _near(head, to_double(x)))
-    every = (F.size(g) > 1) & F.forall(g, lambda x: p.contains(x) | F.exists(parts, lambda w: _near(to_double(x), to_double(w))))
-    number = F.exists(g, lambda x: _near(to_double(p), to_double(x)))
+    bound = F.struct(p.alias("p"), parts.alias("parts"), F.transform(golds, hitab_normalize).alias("g"),
+                     to_double(F.get(parts, F.lit(0))).alias("head"), to_double(p).alias("whole"))
     some = (F.size(golds) > 0) & (F.coalesce(T.col(pred), F.lit("")) != "")
-    return F.coalesce((with_unit | every | number | F.array_contains(g, p)) & some, F.lit(False))
+    return F.coalesce(T.bind(bound, check) & some, F.lit(False))
 
 
 def loose_number(c) -> Column:
@@ -219,40 +235,41 @@ def multihiertt_scores(pred, gold) -> dict[str, Column]:
 
 
 def aitqa_normalize(c) -> Column:
-    a = T.strip(F.lower(T.col(c)))
-    a = F.regexp_replace(a, r"(?:million|billion|thousand)s?|gallons?", "")
-    a = F.when(a.rlike(r"(?s)^\(.*\)$"), F.concat(F.lit("-"), F.substring(a, F.lit(2), F.length(a) - 2))).otherwise(a)
-    a = F.regexp_replace(a, r"[$,%]", "")
-    return F.coalesce(number_text(to_double(a)), F.regexp_replace(a, r"[^0-9.\-]", ""))
+    a = F.regexp_replace(T.strip(F.lower(T.col(c))), r"(?:million|billion|thousand)s?|gallons?", "")
+    a = F.regexp_replace(a, r"(?s)^\((.*)\)$", "-$1")
+    return T.bind(F.regexp_replace(a, r"[$,%]", ""),
+                  lambda x: F.coalesce(number_text(to_double(x)), F.regexp_replace(x, r"[^0-9.\-]", "")))
 
 
-def aitqa_match(pred, golds: Column) -> Column:
-    p = aitqa_normalize(pred)
+def _any_equal(pred: Column, golds: Column, normalize) -> Column:
+    """Some gold equals the prediction after normalising, as a number within 1e-6 where both are numbers."""
+    def check(v):
+        def one(g):
+            n = normalize(g)
+            x = to_double(n)
+            return F.when(x.isNotNull() & v["n"].isNotNull(), F.abs(x - v["n"]) < 1e-6).otherwise(n == v["p"])
+        return F.exists(golds, one)
+
+    p = normalize(pred)
+    return F.coalesce(T.bind(F.struct(p.alias("p"), to_double(p).alias("n")), check), F.lit(False))
 
-    def one(g):
-        n = aitqa_normalize(g)
-        x, y = to_double(n), to_double(p)
-        return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) < 1e-6).otherwise(n == p)
 
-    return F.coalesce(F.exists(golds, one), F.lit(False)) & (F.coalesce(T.col(pred), F.lit("")) != "")
+def aitqa_match(pred, golds: Column) -> Column:
+    return _any_equal(pred, golds, aitqa_normalize) & (F.coalesce(T.col(pred), F.lit("")) != "")
 
 
 def tablebench_normalize(c) -> Column:
-    s = T.strip(F.lower(F.coalesce(T.col(c), F.lit(""))))
-    raw = F.replace(T.found(s, r"([-+]?[\d,]+\.?\d*)"), F.lit(","), F.lit(""))
-    num = F.when(raw.isNotNull(), F.coalesce(number_text(to_double(raw)), raw))
-    return F.coalesce(num, squad_normalize(s))
-
+    """First number of the text, else the text without articles and punctuation."""
+    def rules(s):
+        raw = F.replace(T.found(s, r"([-+]?[\d,]+\.?\d*)"), F.lit(","), F.lit(""))
+        num = T.bind(raw, lambda r: F.coalesce(number_text(to_double(r)), r))
+        return F.coalesce(num, squad_normalize(s))
 
-def tablebench_match(pred, golds: Column) -> Column:
-    p = tablebench_normalize(pred)
+    return T.bind(T.strip(F.lower(F.coalesce(T.col(c), F.lit("")))), rules)
 
-    def one(g):
-        n = tablebench_normalize(g)
-        x, y = to_double(n), to_double(p)
-        return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) < 1e-6).otherwise(n == p)
 
-    return F.coalesce(F.exists(golds, one), F.lit(False))
+def tablebench_match(pred, golds: Column) -> Column:
+    return _any_equal(pred, golds, tablebench_normalize)
 
 
 def parse_yes_no(c) -> Column:
@@ -271,7 +288,8 @@ def numeric_screen(c, expected: Column) -> Column:
     c = T.col(c)
     body = F.when(c.contains("<Answer>"), T.after_last(c, "<Answer>")).otherwise("")
     nums = F.transform(F.regexp_extract_all(F.replace(body, F.lit(","), F.lit("")), F.lit(r"(?<![A-Za-z])[-+]?\d+(?:\.\d+)?"), F.lit(0)), lambda s: s.cast("double"))
-    near = F.forall(expected, lambda v: F.exists(nums, lambda n: F.abs(n - v) <= F.greatest(F.lit(0.02), F.abs(v) * 0.001)))
+    near = T.bind(nums, lambda ns: F.forall(expected, lambda v: F.exists(
+        ns, lambda n: F.abs(n - v) <= F.greatest(F.lit(0.02), F.abs(v) * 0.001))))
     return (body != "") & near
 
 

@@ -24,6 +24,14 @@ def rx(text) -> Column:
     return F.lit(text)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    An expression named inside a lambda is evaluated for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squash(c) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
     return strip(F.regexp_replace(col(c), f"{SPACE}+", " "))
@@ -35,8 +43,7 @@ def strip(c) -> Column:
 
 def words(c) -> Column:
     """White-space tokens; an empty text has none."""
-    t = squash(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return bind(squash(c), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def lines(c) -> Column:
@@ -64,7 +71,7 @@ def before_first(c, mark: str) -> Column:
 
 def found(c, pattern: str, group: int = 1) -> Column:
     """Capture of the first match, null (not '') when nothing matches."""
-    return F.when(F.regexp_like(col(c), F.lit(pattern)), F.regexp_extract(col(c), pattern, group))
+    return F.get(F.transform(F.array(col(c)), lambda t: F.when(F.regexp_like(t, F.lit(pattern)), F.regexp_extract(t, pattern, group))), F.lit(0))
 
 
 def found_all(c, pattern: str, group: int = 1) -> Column:
@@ -83,11 +90,13 @@ def tag_tokens(c, tags=ACTIONS) -> Column:
 
 def tags_valid(tokens: Column) -> Column:
     """Open and close tags alternate and every close names the tag before it."""
-    n = F.size(tokens)
-    pairs = F.sequence(F.lit(0), n - 2, F.lit(2))
-    return F.when(n == 0, True).when(n % 2 == 1, False).otherwise(F.forall(
-        pairs, lambda i: (~F.get(tokens, i).startswith("/"))
-        & (F.get(tokens, i + 1) == F.concat(F.lit("/"), F.get(tokens, i)))))
+    def paired(t):
+        n = F.size(t)
+        return F.when(n == 0, True).when(n % 2 == 1, False).otherwise(F.forall(
+            F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)), F.lit(2)),
+            lambda i: (~F.get(t, i).startswith("/")) & (F.get(t, i + 1) == F.concat(F.lit("/"), F.get(t, i)))))
+
+    return bind(tokens, paired)
 
 
 def tag_sequence(tokens: Column) -> Column:
@@ -123,7 +132,7 @@ def clip(c, low, high) -> Column:
 def mean_of(values: Column) -> Column:
     """Mean of the non-null items of an array, null when there are none."""
     kept = F.filter(values, lambda v: v.isNotNull())
-    return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, v: a + v) / F.size(kept))
+    return bind(kept, lambda k: F.when(F.size(k) > 0, F.aggregate(k, F.lit(0.0), lambda a, v: a + v) / F.size(k)))
 
 
 def total(values: Column) -> Column:
@@ -132,6 +141,8 @@ def total(values: Column) -> Column:
 
 def bag_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two string arrays."""
-    common = F.array_intersect(a, b)
-    return F.aggregate(common, F.lit(0), lambda acc, w: acc + F.least(
-        F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+    def count(p):
+        return F.aggregate(F.array_intersect(p["a"], p["b"]), F.lit(0), lambda acc, w: acc + F.least(
+            F.size(F.filter(p["a"], lambda x: x == w)), F.size(F.filter(p["b"], lambda x: x == w))))
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), count)

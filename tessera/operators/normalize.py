@@ -271,12 +271,17 @@ def session_messages(df: DataFrame, key: str, order: str, task: str, content: st
 
 def spans_to_tags(caption: Column, spans: Column, open_tag: str = "<ref-object>") -> Column:
     """Half-open character spans of a caption replaced by a tag; null when there are none or two overlap."""
-    s = F.array_sort(F.transform(spans, lambda x: F.struct(F.get(x, F.lit(0)).alias("a"), F.get(x, F.lit(1)).alias("b"))))
-    n = F.size(s)
-    idx = F.sequence(F.lit(0), n - 1)
-    clash = F.exists(idx, lambda i: (i > 0) & (F.get(s, i)["a"] < F.get(s, i - 1)["b"]))
-    pieces = F.transform(idx, lambda i: F.concat(
-        F.substring(caption, F.coalesce(F.get(s, i - 1)["b"], F.lit(0)) + 1, F.get(s, i)["a"] - F.coalesce(F.get(s, i - 1)["b"], F.lit(0))),
-        F.lit(open_tag)))
-    tail = F.substring(caption, F.get(s, n - 1)["b"] + 1, F.length(caption))
-    return F.when((n > 0) & ~clash, F.concat(F.array_join(pieces, ""), tail))
+    def rebuild(s):
+        n = F.size(s)
+        idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+        clash = F.exists(idx, lambda i: (i > 0) & (F.get(s, i)["a"] < F.get(s, i - 1)["b"]))
+
+        def piece(i):
+            before = F.coalesce(F.when(i > 0, F.get(s, i - 1)["b"]), F.lit(0))
+            return F.concat(F.substring(caption, before + 1, F.get(s, i)["a"] - before), F.lit(open_tag))
+
+        tail = F.substring(caption, F.get(s, n - 1)["b"] + 1, F.length(caption))
+        return F.when((n > 0) & ~clash, F.concat(F.array_join(F.transform(idx, piece), ""), tail))
+
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(F.get(x, F.lit(0)).alias("a"), F.get(x, F.lit(1)).alias("b"))))
+    return T.bind(ordered, rebuild)

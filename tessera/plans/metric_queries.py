@@ -179,7 +179,7 @@ def _(t):
     return rounded(E.token_seq_accuracy(select(t.lineitem, **{k: v.format(a="array") for k, v in SEQ.items()}), "pre", "lab"))
 
 
-@query("throughput_summary", "E15", """WITH l AS (SELECT event_id % 4000 AS rid, max_by(user_id, ts) AS p, max_by(CAST(value AS BIGINT), ts) AS g, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1),
+@query("throughput_summary", "E15", """WITH m AS (SELECT event_id % 4000 AS rid, max({'t': ts, 'p': user_id, 'g': CAST(round(value) AS BIGINT)}) AS u, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1), l AS (SELECT u.p AS p, u.g AS g, a, b FROM m),
   s AS (SELECT sum(p)::BIGINT AS num_prompt_tokens, sum(g)::BIGINT AS num_generated_tokens, count(*) AS num_samples, (epoch_us(max(b)) - epoch_us(min(a))) / 1e6::DOUBLE AS runtime FROM l)
   SELECT num_prompt_tokens, num_generated_tokens, num_samples, round(runtime, 6) AS runtime, round(num_samples / runtime, 6) AS samples_per_s, round(num_generated_tokens / runtime, 6) AS tokens_per_s FROM s""")
 def _(t):

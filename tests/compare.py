@@ -96,7 +96,7 @@ def main():
         try:
             text, ok = compare(spark, con, name, fn, oracles.get(name), folder)
         except Exception as e:
-            text, ok = f"ERROR {type(e).__name__} {str(e)[:700]}", False
+            text, ok = f"ERROR {type(e).__name__} {str(e)[:300]}", False
             if "-v" in os.environ.get("CMP", ""):
                 traceback.print_exc()
         print(f"{'PASS' if ok else 'FAIL'} {name} {time.time() - start:.2f}s {text}", flush=True)
