@@ -161,11 +161,14 @@ def filter_waterfall(checked: DataFrame, fraction: float, order: list[str]) -> D
 
     Copies are counted as candidates minus first occurrences per source; no row is joined back.
     """
-    slim = checked.select(*order, "digest", "reason")
-    outcome = slim.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
-    firsts = first_copies(slim.filter("reason = 'candidate'"), F.col("digest"), order)
-    label = F.when(in_hash_fraction(F.col("digest"), fraction), "sampled").otherwise("outside_sample")
-    kept = firsts.groupBy("source", label.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    candidate = F.col("reason") == "candidate"
+    # one pass over the corpus: everything below reads these partial counts, which share one exchange
+    parts = (checked.groupBy("source", "reason", F.when(candidate, F.col("digest")).alias("d"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("f")))
+    outcome = parts.groupBy("source", "reason").agg(F.sum("n").alias("n"))
+    firsts = parts.groupBy("d").agg(F.min(F.when(candidate, F.col("f"))).alias("f")).filter("f IS NOT NULL")
+    label = F.when(in_hash_fraction(F.col("d"), fraction), "sampled").otherwise("outside_sample")
+    kept = firsts.groupBy(F.col("f.source").alias("source"), label.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     moved = kept.select("source", F.lit("candidate").alias("reason"), (-F.col("n")).alias("n"))
     both = outcome.unionByName(kept).unionByName(moved)
     named = F.when(F.col("reason") == "candidate", "exact_duplicate").otherwise(F.col("reason"))
