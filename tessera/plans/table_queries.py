@@ -98,8 +98,8 @@ def _(t):
     return io.dataset_manifest(rows, "outcome", F.sha2("answer", 256))
 
 
-@query("preview_page", "S10", """WITH p AS (SELECT * FROM documents ORDER BY doc_id LIMIT 200 OFFSET 200) SELECT '' || doc_id AS doc_id, substr(text, 1, 500) AS text, lang, source, '' || n_chars AS n_chars,
-  (SELECT count(*) FROM documents) AS total_rows, 5 AS total_columns, ((SELECT count(*) FROM documents) + 199) // 200 AS total_pages, 2::BIGINT AS page FROM p""")
+@query("preview_page", "S10", """WITH n AS (SELECT count(*) AS total_rows, greatest((count(*) + 199) // 200, 1) AS total_pages FROM documents), a AS (SELECT *, least(2, total_pages)::BIGINT AS page FROM n),
+  p AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT '' || doc_id AS doc_id, substr(text, 1, 500) AS text, lang, source, '' || n_chars AS n_chars, total_rows, 5 AS total_columns, total_pages, page FROM p, a WHERE i // 200 = page - 1""")
 def _(t):
     page, totals = io.preview_page(t.documents, ["doc_id"], 2, 5000)
     return page.crossJoin(totals)  # totals are one row
