@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Fixed value: the characters Python's str.split() treats as white space, as a Java/RE2 class.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Fixed value: the line ends of str.splitlines().
+VISIBLE = "[^" + SPACE[1:]
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # The action tags of the agent transcripts.
 ACTIONS = ("Analyze", "Understand", "Code", "Execute", "Answer")
@@ -34,7 +35,7 @@ def bind(value: Column, use) -> Column:
 
 def squash(c) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return strip(F.regexp_replace(col(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
 
 
 def strip(c) -> Column:
@@ -116,7 +117,12 @@ def max_copies(items: Column) -> Column:
 
 def long_line_copies(c, min_len: int = 30) -> Column:
     """How often the commonest stripped line longer than ``min_len`` occurs."""
-    return max_copies(F.filter(lines(c), lambda s: F.length(s) > min_len))
+    def long(s):
+        return F.length(s) > min_len
+
+    # stripping only shortens, so short lines are out before the costlier step
+    kept = F.filter(F.transform(F.filter(F.split(col(c), LINE_END), long), strip), long)
+    return bind(kept, lambda k: F.when(F.size(k) < 2, F.size(k)).otherwise(max_copies(k)))
 
 
 def conversation_digest(messages: Column) -> Column:

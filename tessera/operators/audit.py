@@ -33,7 +33,7 @@ def pair_is_valid(messages: Column) -> Column:
     return F.coalesce(
         (F.size(messages) == 2)
         & (F.array_join(F.transform(messages, lambda m: m["role"]), ">", "?") == "user>assistant")
-        & F.forall(messages, lambda m: F.coalesce(T.strip(m["content"]) != "", F.lit(False))), F.lit(False))
+        & F.forall(messages, lambda m: F.coalesce(m["content"].rlike(T.VISIBLE), F.lit(False))), F.lit(False))
 
 
 def turn(messages: Column, i: int) -> Column:

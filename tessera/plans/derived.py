@@ -49,7 +49,7 @@ CORPUS_CTE = (f"base AS (SELECT {sql_cols(DOC_BASE)} FROM documents UNION ALL SE
 
 def corpus(t) -> DataFrame:
     """Documents and benchmark items as two-turn records with tags, fences, repeated lines and token counts."""
-    base = select(t.documents, **DOC_BASE).unionByName(select(t.benchmark, **BENCH_BASE))
+    base = select(t.spread("documents"), **DOC_BASE).unionByName(select(t.benchmark, **BENCH_BASE))
     flat = select(base, **CORPUS)
     first = F.struct(F.col("role1").alias("role"), F.col("prompt").alias("content"))
     second = F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"))
@@ -83,7 +83,7 @@ TOKEN_ROLLOUT = {**ROLLOUT,
 
 
 def token_rollouts(t) -> DataFrame:
-    return select(t.lineitem, **{k: v.format(arr="array") for k, v in TOKEN_ROLLOUT.items()})
+    return select(t.spread("lineitem"), **{k: v.format(arr="array") for k, v in TOKEN_ROLLOUT.items()})
 
 
 TOKEN_CTE = "tr AS (SELECT " + sql_cols({k: v.format(arr="list_value") for k, v in TOKEN_ROLLOUT.items()}) + " FROM lineitem)"

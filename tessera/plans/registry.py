@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.scale import spread
+
 
 class Tables:
     """Attribute access to the Parquet tables of one folder."""
@@ -19,6 +21,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+    def spread(self, name: str) -> DataFrame:
+        """The table over all cores, for costly work per row (see ``scale.spread``)."""
+        return spread(getattr(self, name))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SURVEY: dict[str, list[str]] = {}

@@ -39,7 +39,7 @@ COMP_CTE = "c AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in COMP.items()) +
 
 
 def comps(t):
-    return select(t.documents, **COMP)
+    return select(t.spread("documents"), **COMP)
 
 
 def sqlflag(x):
@@ -81,7 +81,7 @@ def _(t):
    round(CASE WHEN k < 1 THEN 0 ELSE (1 - d / k) * -1.0::DOUBLE END, 6) AS repetition, round(least(0 - (n_chars - 1500) / 500.0::DOUBLE, 0), 6) AS overlong,
    least(round_even(len(ws) / 512.0::DOUBLE, 2), 1.0) AS tool_length FROM g LEFT JOIN u USING (doc_id)""")
 def _(t):
-    d = t.documents
+    d = t.spread("documents")
     return d.select("doc_id", F.round(R.cosine_length("n_chars", F.col("doc_id") % 2, 5000), 6).alias("cosine"), F.round(R.repetition_penalty("text"), 6).alias("repetition"),
                     F.round(R.soft_overlong("n_chars", 2000, 500), 6).alias("overlong"),
                     R.tool_length(F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>"))).alias("tool_length"))
@@ -224,7 +224,7 @@ QA_CTE = "q AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in QA.items()) + " F
 
 
 def qa(t):
-    return select(t.documents, **QA)
+    return select(t.spread("documents"), **QA)
 
 
 def extract_reply(q):

@@ -255,7 +255,7 @@ BM25 = """WITH q AS (SELECT item_id, list_filter(regexp_split_to_array(lower(tex
 
 @query("bm25_topk", "T1", BM25 + " SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10")
 def _(t):
-    return r6(X.bm25_topk(t.benchmark, t.documents, 10, "item_id", "text", "doc_id", "text"))
+    return r6(X.bm25_topk(t.benchmark, t.spread("documents"), 10, "item_id", "text", "doc_id", "text"))
 
 
 DENSE = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 3), s AS (SELECT query_id, e.vec_id, list_inner_product(v, e.embedding::DOUBLE[]) AS score FROM q, embeddings e),
@@ -271,7 +271,7 @@ def _(t):
 
 @query("attach_documents", "T3", BM25 + """ SELECT item_id, r.doc_id, rank::INT AS rank, replace(string_split(text, chr(10))[1], '"', '') AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS contents FROM r JOIN documents USING (doc_id) WHERE rank <= 3""")
 def _(t):
-    hits = X.bm25_topk(t.benchmark, t.documents, 3, "item_id", "text", "doc_id", "text").drop("score")
+    hits = X.bm25_topk(t.benchmark, t.spread("documents"), 3, "item_id", "text", "doc_id", "text").drop("score")
     return X.attach_documents(hits, t.documents, "doc_id", "text")
 
 
