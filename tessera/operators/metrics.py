@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scale import positions, running_total, salted_join
+from .scale import cut, positions, running_total, skew_join
 
 EPS = 2.220446049250313e-16  # distance from 1.0 to the next double; the clip of the log loss
 
@@ -159,19 +159,19 @@ def quadratic_weighted_kappa(pairs: DataFrame, col: str, classes: int) -> DataFr
     return pairs.agg((1 - (F.avg((g - p) * (g - p)) / scale) / (expected / scale)).alias("qwk"))
 
 
-def tied_ranks(values: DataFrame, col: str) -> DataFrame:
-    """Average rank of each distinct value: (value, rank)."""
-    counts = values.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    run = running_total(counts, [F.col("_v")], {"_upto": F.col("_n")})
+def tied_ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """Average rank of each distinct value from its counts: (value, rank)."""
+    per = counts.groupBy(F.col(value).alias("_v")).agg(F.sum(n).alias("_n"))
+    run = running_total(per, [F.col("_v")], {"_upto": F.col("_n")})
     return run.select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("_r"))
 
 
 def spearman(pairs: DataFrame, col: str) -> DataFrame:
-    """Pearson correlation of tie-averaged ranks, weighted over the distinct value pairs."""
-    cells = pairs.groupBy(F.col(f"pred_{col}").alias("x"), F.col(f"gold_{col}").alias("y")).agg(F.count(F.lit(1)).alias("w"))
-    rx = tied_ranks(pairs, f"pred_{col}").withColumnsRenamed({"_v": "_xv", "_r": "rx"})
-    ry = tied_ranks(pairs, f"gold_{col}").withColumnsRenamed({"_v": "_yv", "_r": "ry"})
-    both = salted_join(salted_join(cells, rx, [("x", "_xv")], ["x", "y"]), ry, [("y", "_yv")], ["x", "y"])
+    """Pearson correlation of tie-averaged ranks, weighted over the distinct value pairs, which are counted once."""
+    cells = cut(pairs.groupBy(F.col(f"pred_{col}").alias("x"), F.col(f"gold_{col}").alias("y")).agg(F.count(F.lit(1)).alias("w")))
+    rx = tied_ranks(cells, "x", "w").withColumnsRenamed({"_v": "_xv", "_r": "rx"})
+    ry = tied_ranks(cells, "y", "w").withColumnsRenamed({"_v": "_yv", "_r": "ry"})
+    both = skew_join(skew_join(cells, rx, [("x", "_xv")], ["x", "y"]), ry, [("y", "_yv")], ["x", "y"])
     w, x, y = F.col("w"), F.col("rx"), F.col("ry")
     n = F.sum(w)
     mid = (n + 1) / 2  # the mean of the ranks is known, so the moments can be centred in the same pass

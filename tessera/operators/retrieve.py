@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scale import salted_join, top_k
+from .scale import salted_join, skew_join, top_k
 
 K1, B = 0.9, 0.4  # defaults of the lexical index
 QUERY_BYTES = 64 << 20  # vectors of one query block; more queries make more passes
@@ -27,22 +27,28 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qtext: st
     a salted join beyond, so a word found in every document is spread over many tasks.  Scores are added per (query,
     document), and each task keeps k rows per query before the last exchange.
     """
-    terms = queries.select(F.col(qid).alias("_q"), F.explode(tokens(qtext)).alias("term")).groupBy("_q", "term").agg(F.count(F.lit(1)).alias("qf"))
+    terms = _each_token(queries.select(F.col(qid).alias("_q"), tokens(qtext).alias("_t"))).groupBy("_q", "term").agg(F.count(F.lit(1)).alias("qf"))
     docs = corpus.select(F.col(did).alias("_d"), tokens(dtext).alias("_t"))
     size = docs.agg(F.count(F.lit(1)).alias("_N"), F.avg(F.size("_t")).alias("_avg"))
     vocab = terms.select(F.col("term").alias("_v")).distinct()
-    posts = (docs.select("_d", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("_d", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    posts = salted_join(posts, vocab, [("term", "_v")], ["_d", "term"]).drop("_v")
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = df.crossJoin(F.broadcast(size)).select(  # one-row side
-        F.col("term").alias("_w"), F.ln(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "_avg")
-    weights = terms.join(scored, terms["term"] == scored["_w"]).drop("_w").withColumnRenamed("term", "_qterm")
-    hits = salted_join(posts, weights, [("term", "_qterm")], ["_d", "term"])
-    part = F.col("qf") * F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
-    total = hits.groupBy("_q", "_d").agg(F.sum(part).alias("score"))
+    words = _each_token(docs.withColumn("dl", F.size("_t")))
+    posts = salted_join(words, vocab, [("term", "_v")], ["_d"]).groupBy("_d", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    posts = posts.crossJoin(F.broadcast(size))  # one-row side
+    saturation = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
+    # the same posting columns feed both the document frequencies and the scores, so the postings are exchanged once
+    df = posts.groupBy("term", "_N").agg(F.sum(F.when(saturation > 0, 1)).alias("df"))
+    idf = df.select(F.col("term").alias("_w"), F.ln(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = terms.join(idf, terms["term"] == idf["_w"]).select("_q", F.col("term").alias("_qterm"), (F.col("qf") * F.col("idf")).alias("qw"))
+    hits = salted_join(posts.select("_d", "term", saturation.alias("w")), weights, [("term", "_qterm")], ["_d", "term"])
+    total = hits.groupBy("_q", "_d").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
     return top_k(total, ["_q"], [F.desc(F.round("score", 9)), F.col("_d")], k).withColumnsRenamed({"_q": qid, "_d": did})
 
 
+def _each_token(df: DataFrame) -> DataFrame:
+    """One row per token of ``_t``.  The outer form keeps Spark from tokenising once more to test for empty arrays."""
+    return df.select(*[c for c in df.columns if c != "_t"], F.explode_outer("_t").alias("term")).filter("term IS NOT NULL")
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: str, did: str, dvec: str,
                block_bytes: int = QUERY_BYTES) -> DataFrame:
     """Best k corpus vectors per query by inner product, exact.
@@ -86,7 +92,7 @@ def _block_topk(ids: np.ndarray, matrix: np.ndarray, corpus: DataFrame, k: int,
 def attach_documents(hits: DataFrame, corpus: DataFrame, did: str, text: str) -> DataFrame:
     """Documents of the hits; the first line is the title, the rest the text."""
     docs = corpus.select(F.col(did).alias("_id"), F.col(text).alias("_x"))
-    rows = salted_join(hits, docs, [(did, "_id")], hits.columns)
+    rows = skew_join(hits, docs, [(did, "_id")], hits.columns)
     title = F.substring_index("_x", "\n", 1)
     return (rows.withColumn("title", F.regexp_replace(title, '"', ""))
             .withColumn("contents", F.when(F.col("_x").contains("\n"), F.substring(F.col("_x"), F.length(title) + 2, F.length("_x"))).otherwise("")).drop("_id", "_x"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .sample import hash_rank, seeded_hash, TAKE_LIMIT
-from .scale import positions, salted_join, top_k, with_group_stats
+from .scale import cut, positions, skew_join, top_k, with_group_stats
 
 FLOATS = "array<double>"
 
@@ -267,9 +267,9 @@ def replace_uniform_groups(df: DataFrame, uid: str, sample: str, reward: str, n_
     want = F.when(F.col("_ng") >= F.col("_all") - F.col("_ng"), F.col("_br")).otherwise(draw)
     pairs = bad.filter(enough).withColumn("_want", want).join(good, F.col("_want") == F.col("_gr")).select("_from", F.col("_u").alias("_slot"))
     marks = groups.crossJoin(F.broadcast(tally)).select("_u", (F.col("_good") | ~enough).alias("_stay"), (~enough).alias("keep_sampling"))
-    stay = (salted_join(df, marks, [(uid, "_u")], [uid, sample]).filter("_stay").drop("_u", "_stay")
+    stay = (skew_join(df, marks, [(uid, "_u")], [uid, sample]).filter("_stay").drop("_u", "_stay")
             .withColumn("slot", F.col(uid)))
-    copies = (salted_join(df, pairs, [(uid, "_from")], [uid, sample]).drop("_from").withColumnRenamed("_slot", "slot")
+    copies = (skew_join(df, pairs, [(uid, "_from")], [uid, sample]).drop("_from").withColumnRenamed("_slot", "slot")
               .withColumn("keep_sampling", F.lit(False)))
     return stay.unionByName(copies)
 
@@ -360,8 +360,11 @@ def tree_path_scores(nodes: DataFrame, max_depth: int) -> DataFrame:
     path = nodes.select("tree_id", "node_id", F.col("parent_id").alias("up"), F.lit(1).alias("len"), *[
         F.col(c).alias(f"{f}_{c[0]}") for c in ("outcome_reward", "process_reward") for f in ("sum", "min")])
     for _ in range(max(1, ceil(log2(max_depth + 1)))):
+        path = cut(path)  # both sides of the next join read the same stored rows; the plan stays one round deep
+        if path.filter("up IS NOT NULL").isEmpty():
+            break
         side = path.select(*[F.col(c).alias(f"x_{c}") for c in path.columns])
-        j = salted_join(path, side, [("tree_id", "x_tree_id"), ("up", "x_node_id")], ["node_id"], "left")
+        j = skew_join(path, side, [("tree_id", "x_tree_id"), ("up", "x_node_id")], ["tree_id", "node_id"], "left")
         path = j.select("tree_id", "node_id", F.col("x_up").alias("up"), (F.col("len") + F.coalesce("x_len", F.lit(0))).alias("len"),
                         *[(F.col(f"sum_{k}") + F.coalesce(f"x_sum_{k}", F.lit(0.0))).alias(f"sum_{k}") for k in "op"],
                         *[F.least(f"min_{k}", f"x_min_{k}").alias(f"min_{k}") for k in "op"])

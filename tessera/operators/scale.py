@@ -156,3 +156,28 @@ def salted_join(rows: DataFrame, side: DataFrame, keys: list[tuple[str, str]], s
     right = side.withColumn("_sidesalt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
     cond = reduce(lambda a, b: a & b, [left[l] == right[r] for l, r in keys]) & (left["_salt"] == right["_sidesalt"])
     return left.join(right, cond, how).drop("_salt", "_sidesalt")
+
+
+def skew_join(rows: DataFrame, side: DataFrame, keys: list[tuple[str, str]], spread: list[str], how: str = "inner",
+              hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Equi join to a side that may itself be large.  Only keys with more than ``hot_rows`` rows are salted.
+
+    Rows are counted per key (map-side first); the hot keys, at most rows/hot_rows of them, are broadcast to both sides.
+    Rows of a hot key are spread over as many salts as it needs and the matching side rows are copied that often; all
+    other rows are joined as they are.  Rows without a key never match, so they are spread too.
+    """
+    lk, rk = [l for l, _ in keys], [r for _, r in keys]
+    counts = rows.groupBy(*lk).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = counts.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(lk)], F.ceil(F.col("_n") / hot_rows).cast("int").alias("_fan"))
+    names = [f"_h{i}" for i in range(len(lk))]
+
+    def marked(df, cols):
+        return df.join(F.broadcast(hot), reduce(lambda a, b: a & b, [df[c] == hot[h] for c, h in zip(cols, names)]), "left").drop(*names)
+
+    empty = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in lk])
+    bucket = F.xxhash64(*spread)
+    salt = F.when(empty, F.pmod(bucket, F.lit(1024))).when(F.col("_fan").isNotNull(), F.pmod(bucket, F.col("_fan").cast("long"))).otherwise(0)
+    left = marked(rows, lk).withColumn("_salt", salt.cast("int")).drop("_fan")
+    right = marked(side, rk).withColumn("_sidesalt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))).drop("_fan")
+    cond = reduce(lambda a, b: a & b, [left[l] == right[r] for l, r in keys]) & (left["_salt"] == right["_sidesalt"])
+    return left.join(right, cond, how).drop("_salt", "_sidesalt")

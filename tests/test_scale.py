@@ -87,6 +87,17 @@ def test_flag_members_and_salted_join(spark, df, rows):
     assert j.count() == sum(r[0] == "hot" for r in rows)
 
 
+@pytest.mark.parametrize("hot", [10, 10 ** 6])
+def test_skew_join(spark, df, rows, hot):
+    holes = df.withColumn("k", F.when(F.col("id") % 5 != 1, F.col("k")))
+    side = spark.createDataFrame([("hot", 5), ("k1", 6), ("k2", 7), ("zz", 8)], "kk string, w int")
+    want = Counter((i, {"hot": 5, "k1": 6, "k2": 7}.get(k) if i % 5 != 1 else None) for k, i, _, _ in rows)
+    got = Counter((r.id, r.w) for r in C.skew_join(holes, side, [("k", "kk")], ["id"], "left", hot_rows=hot).collect())
+    assert got == want
+    inner = C.skew_join(holes, side, [("k", "kk")], ["id"], hot_rows=hot).count()
+    assert inner == sum(n for (_, w), n in want.items() if w)
+
+
 def test_greedy_quota_against_brute_force(spark):
     rng = random.Random(5)
     for trial in range(3):
