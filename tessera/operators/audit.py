@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scale import cut, flag_members, previous_row, ranked, running_total, top_k
+from .scale import cut, flag_members, previous_row, ranked, running_total, top_k, with_group_stats, without_rows
 
 MESSAGES = "array<struct<role:string,content:string>>"
 QUANTILES = (("p50", 0.50), ("p90", 0.90), ("p95", 0.95), ("p99", 0.99))
@@ -131,11 +131,20 @@ def first_copies(df: DataFrame, digest: Column, order: list[str]) -> DataFrame:
             .select("digest", *[F.col(f"_first.{c}").alias(c) for c in order], "copies"))
 
 
-def dedup_conversations(df: DataFrame, order: list[str], digest: Column | None = None) -> DataFrame:
-    """Exact duplicates removed; the first occurrence under ``order`` stays."""
+def later_copies(df: DataFrame, digest: Column, order: list[str], **kw) -> DataFrame:
+    """Keys of the rows that repeat an earlier row.  Only digests and keys are exchanged; hot digests are salted."""
+    slim = df.select(digest.alias("_digest"), *order)
+    first = with_group_stats(slim, ["_digest"], [F.min(F.struct(*order)).alias("_first")], spread=order, **kw)
+    return first.filter(F.struct(*order) > F.col("_first")).select(*order)
+
+
+def dedup_conversations(df: DataFrame, order: list[str], digest: Column | None = None, **kw) -> DataFrame:
+    """Exact duplicates removed; the first occurrence under ``order`` stays.
+
+    The rows to drop are looked up, not the rows to keep: they are few, so the text itself is usually not shuffled.
+    """
     digest = T.conversation_digest(F.col("messages")) if digest is None else digest
-    keys = first_copies(df, digest, order).select(*order)
-    return df.join(keys, order, "left_semi")
+    return without_rows(df, later_copies(df, digest, order, **kw), order)
 
 
 def repair_reasons(df: DataFrame, bench: DataFrame, bench_prompt: str, tags=T.ACTIONS) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000  # keys of up to about 100 bytes
 LOCAL_BITS = 33  # low bits of monotonically_increasing_id hold the row number inside a partition
 
 
@@ -68,19 +69,34 @@ def with_group_stats(df: DataFrame, by: list[str], aggs: list[Column], spread: l
     return rows.join(side, cond, "inner").drop("_salt", "_gsalt", *[f"_g_{c}" for c in by])
 
 
-def flag_members(df: DataFrame, key: str, members: DataFrame, flag: str, spread: list[str], fan: int = 8) -> DataFrame:
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table of short keys has at most ``rows`` rows.  Reads no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def flag_members(df: DataFrame, key: str, members: DataFrame, flag: str, spread: list[str], fan: int = 8,
+                 small: int = BROADCAST_ROWS) -> DataFrame:
     """Mark the rows whose ``key`` occurs in the one-column ``members``.
 
-    Catalyst broadcasts ``members`` when its size is under the session threshold.  Beyond it the join shuffles, and
-    the salt splits any key over ``fan`` tasks (members are copied ``fan`` times, rows are not).
+    ``members`` is broadcast only after a check of its row count.  Beyond it the join shuffles, and the salt splits any key
+    over ``fan`` tasks (members are copied ``fan`` times, rows are not).
     """
     name = members.columns[0]
-    side = (members.distinct().select(F.col(name).alias("_m"), F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).alias("_ms")))
+    side = members.select(F.col(name).alias("_m")).distinct()
+    if is_small(side, small):
+        return df.join(F.broadcast(side), df[key] == side["_m"], "left").withColumn(flag, F.col("_m").isNotNull()).drop("_m")
+    side = side.withColumn("_ms", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(fan)).cast("int"))
     return (rows.join(side, (rows[key] == side["_m"]) & (rows["_salt"] == side["_ms"]), "left")
             .withColumn(flag, F.col("_m").isNotNull()).drop("_m", "_ms", "_salt"))
 
 
+def without_rows(df: DataFrame, keys: DataFrame, on: list[str], small: int = BROADCAST_ROWS) -> DataFrame:
+    """Anti join by a unique row key.  Few keys go to the rows (checked), so wide rows are not shuffled; many are joined."""
+    keys = cut(keys)
+    return df.join(F.broadcast(keys) if is_small(keys, small) else keys, on, "left_anti")
+
+
 def positions(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     """Add the exact 0-based position of each row under the total order ``order``.
 

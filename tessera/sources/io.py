@@ -79,8 +79,8 @@ def write_row_refs(df: DataFrame, path: str, cols: tuple[str, ...] = ("source",
 
 
 def write_by_source(df: DataFrame, path: str, source: str = "data_source", mode: str = "errorifexists") -> None:
-    """One folder per data source.  Rows are spread by source and a hash, so a large source is written by many tasks."""
-    out = df.withColumn(source, source_label(source))
+    """One folder per data source.  The rebalance hint splits large sources over many tasks and joins small ones."""
+    out = df.withColumn(source, source_label(source)).hint("rebalance", source)
     out.write.mode(mode).partitionBy(source).json(path)
 
 

@@ -81,8 +81,12 @@ def test_previous_row(df, rows):
 
 def test_flag_members_and_salted_join(spark, df, rows):
     m = spark.createDataFrame([("hot",), ("k1",), ("none",)], "m string")
-    got = C.flag_members(df, "k", m, "hit", ["id"]).collect()
-    assert len(got) == len(rows) and all(r.hit == (r.k in ("hot", "k1")) for r in got)
+    for small in (0, 100):
+        got = C.flag_members(df, "k", m, "hit", ["id"], small=small).collect()
+        assert len(got) == len(rows) and all(r.hit == (r.k in ("hot", "k1")) for r in got)
+    drop = df.filter("k = 'hot'").select("id")
+    for small in (0, 1000):
+        assert C.without_rows(df, drop, ["id"], small=small).count() == sum(r[0] != "hot" for r in rows)
     j = C.salted_join(df, spark.createDataFrame([("hot", 5)], "kk string, w int"), [("k", "kk")], ["id"])
     assert j.count() == sum(r[0] == "hot" for r in rows)
 
@@ -144,7 +148,7 @@ def test_split_and_resample(df, rows):
 def test_dedup_keeps_first_of_hot_copies(spark):
     data = [("s", i, "same" if i % 2 else f"t{i % 50}") for i in range(500)]
     d = spark.createDataFrame(data, "source string, row_id long, t string")
-    got = sorted(r.row_id for r in A.dedup_conversations(d, ["source", "row_id"], F.sha2("t", 256)).collect())
+    got = sorted(r.row_id for r in A.dedup_conversations(d, ["source", "row_id"], F.sha2("t", 256), hot_rows=20).collect())
     first = {}
     for _, i, t in data:
         first.setdefault(t, i)
