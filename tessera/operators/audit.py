@@ -133,7 +133,7 @@ def first_copies(df: DataFrame, digest: Column, order: list[str]) -> DataFrame:
 
 def later_copies(df: DataFrame, digest: Column, order: list[str], **kw) -> DataFrame:
     """Keys of the rows that repeat an earlier row.  Only digests and keys are exchanged; hot digests are salted."""
-    slim = df.select(digest.alias("_digest"), *order)
+    slim = cut(df.select(digest.alias("_digest"), *order))  # the texts are read and hashed once
     first = with_group_stats(slim, ["_digest"], [F.min(F.struct(*order)).alias("_first")], spread=order, **kw)
     return first.filter(F.struct(*order) > F.col("_first")).select(*order)
 
@@ -171,9 +171,9 @@ def filter_waterfall(checked: DataFrame, fraction: float, order: list[str]) -> D
     Copies are counted as candidates minus first occurrences per source; no row is joined back.
     """
     candidate = F.col("reason") == "candidate"
-    # one pass over the corpus: everything below reads these partial counts, which share one exchange
-    parts = (checked.groupBy("source", "reason", F.when(candidate, F.col("digest")).alias("d"))
-             .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("f")))
+    # the texts are read and checked once; everything below works on the stored counts per source, reason and digest
+    parts = cut(checked.groupBy("source", "reason", F.when(candidate, F.col("digest")).alias("d"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("f")))
     outcome = parts.groupBy("source", "reason").agg(F.sum("n").alias("n"))
     firsts = parts.groupBy("d").agg(F.min(F.when(candidate, F.col("f"))).alias("f")).filter("f IS NOT NULL")
     label = F.when(in_hash_fraction(F.col("d"), fraction), "sampled").otherwise("outside_sample")
@@ -198,7 +198,7 @@ def length_distribution(df: DataFrame, cols: list[str]) -> DataFrame:
     Values are counted first; ranks come from running totals over the distinct values only.
     """
     long = df.select(*[F.col(c).cast("long").alias(c) for c in cols]).unpivot([], cols, "field", "value")
-    counts = long.filter("value IS NOT NULL").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(long.filter("value IS NOT NULL").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")))
     placed = running_total(counts, [F.col("value")], {"upto": F.col("n")}, by=["field"])
     sizes = counts.groupBy("field").agg(F.sum("n").alias("count"))
     joined = placed.join(F.broadcast(sizes), "field")  # one row per length column

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scale import positions, ranked, running_total
+from .scale import cut, positions, ranked, running_total
 
 TAKE_LIMIT = 100_000  # up to here the k smallest hashes fit one merge of sorted prefixes
 
@@ -144,11 +144,11 @@ def stratified_token_quota(df: DataFrame, strata: list[str], key: list[str], dig
     rejected), so the sequential part sees at most R * (1 + 1/2 + ... + 1/R) rows per stratum.
     ``variant='prefix'`` stops at the first overflow.
     """
-    slim = df.select(*strata, *key, digest, F.col(length).cast("long").alias("_len"))
+    slim = cut(df.select(*strata, *key, digest, F.col(length).cast("long").alias("_len")))  # lengths and digests are computed once
     quotas = token_quotas(slim, strata, "_len", target)
     q = quotas.select(*strata, "quota")
     run = running_total(slim, [F.col(digest)] + [F.col(c) for c in key], {"_run": F.col("_len")}, by=strata)
-    run = run.join(q, strata)
+    run = cut(run.join(q, strata))
     prefix = run.filter(F.col("_run") <= F.col("quota"))
     if variant == "prefix":
         return prefix.select(*strata, *key, digest, F.col("_len").alias(length))
@@ -156,9 +156,9 @@ def stratified_token_quota(df: DataFrame, strata: list[str], key: list[str], dig
     rest = (run.filter(F.col("_run") > F.col("quota")).join(used, strata, "left")
             .withColumn("_left", F.col("quota") - F.coalesce("_used", F.lit(0)))
             .filter(F.col("_len") <= F.col("_left")))
-    cut_rows = ranked(rest.select(*strata, *key, digest, "_len", "_left"), [F.col(digest)] + [F.col(c) for c in key],
+    placed = ranked(rest.select(*strata, *key, digest, "_len", "_left"), [F.col(digest)] + [F.col(c) for c in key],
                       [*strata, "_len"], "_rk")
-    tail = cut_rows.filter((F.col("_len") == 0) | (F.col("_rk") * F.col("_len") <= F.col("_left")))
+    tail = placed.filter((F.col("_len") == 0) | (F.col("_rk") * F.col("_len") <= F.col("_left")))
     zero, tail = tail.filter("_len = 0"), tail.filter("_len > 0")
     shape = tail.select(*strata, *key, digest, "_len").schema
 
@@ -256,8 +256,8 @@ def truncate_tokens(df: DataFrame, lists: list[str], limit: int, how: str = "rig
     if how == "reject":
         return df.withColumn("_reject", F.when(length > limit, F.lit("over_max_length")))
     for c in lists:
-        cut = F.slice(c, 1, limit) if how == "right" else F.slice(c, F.greatest(F.size(c) - limit + 1, F.lit(1)), F.lit(limit))
-        df = df.withColumn(c, cut)
+        kept = F.slice(c, 1, limit) if how == "right" else F.slice(c, F.greatest(F.size(c) - limit + 1, F.lit(1)), F.lit(limit))
+        df = df.withColumn(c, kept)
     return df
 
 
