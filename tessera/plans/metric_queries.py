@@ -19,14 +19,15 @@ def rounded(df, *keep):
 
 
 GOLD = dict(o_orderkey="o_orderkey", v="o_totalprice", c="o_custkey % 10", s="o_orderstatus")
-PRED = dict(o_orderkey="o_orderkey", v="o_totalprice * (0.9E0 + (o_custkey % 21) * 0.01E0)", c="CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 10 ELSE (o_custkey + o_orderkey) % 10 END",
+# some predictions carry keys that no gold row has
+PRED = dict(o_orderkey="CASE WHEN o_orderkey % 17 = 3 THEN 0 - o_orderkey - 1 ELSE o_orderkey END", v="o_totalprice * (0.9E0 + (o_custkey % 21) * 0.01E0)", c="CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 10 ELSE (o_custkey + o_orderkey) % 10 END",
             s="CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE o_orderstatus END")
-PAIR = (f"g AS (SELECT {', '.join(f'{v} AS {k}' for k, v in GOLD.items())} FROM orders), p AS (SELECT {', '.join(f'{v} AS {k}' for k, v in PRED.items())} FROM orders WHERE o_orderkey % 17 <> 3), "
+PAIR = (f"g AS (SELECT {', '.join(f'{v} AS {k}' for k, v in GOLD.items())} FROM orders), p AS (SELECT {', '.join(f'{v} AS {k}' for k, v in PRED.items())} FROM orders), "
         "pr AS (SELECT o_orderkey, p.v AS pv, g.v AS gv, p.c AS pc, g.c AS gc, p.s AS ps, g.s AS gs FROM p JOIN g USING (o_orderkey))")
 
 
 def pairs(t):
-    return M.keyed(select(t.orders.filter("o_orderkey % 17 <> 3"), **PRED), select(t.orders, **GOLD), ["o_orderkey"], ["v", "c", "s"])
+    return M.keyed(select(t.orders, **PRED), select(t.orders, **GOLD), ["o_orderkey"], ["v", "c", "s"])
 
 
 @query("regression_metrics", "M1 M2 M3 M4 M5 M11 J1", f"""WITH {PAIR} SELECT round(avg((pv - gv) ** 2) / 1e6, 6) AS mse, round(sqrt(avg((pv - gv) ** 2)), 6) AS rmse,
@@ -215,14 +216,14 @@ def _(t):
 
 
 TASK = dict(name="p_partkey", baseline="p_retailprice * 0.5E0", gold_best="CASE WHEN p_partkey % 9 = 0 THEN p_retailprice * 0.2E0 ELSE p_retailprice END", cost="p_size * 0.01E0", time="p_size * 1E0")
-RESULT = dict(name="p_partkey", pred="CASE WHEN p_partkey % 6 = 1 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice * (0.3E0 + p_partkey % 8 * 0.1E0) END")
+RESULT = dict(name="CASE WHEN p_partkey % 5 = 2 THEN 0 - p_partkey - 1 ELSE p_partkey END", pred="CASE WHEN p_partkey % 6 = 1 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice * (0.3E0 + p_partkey % 8 * 0.1E0) END")
 
 
-@query("normalized_task_score", "E18", "WITH t AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in TASK.items()) + " FROM part), r AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in RESULT.items()) + """ FROM part WHERE p_partkey % 5 <> 2)
+@query("normalized_task_score", "E18", "WITH t AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in TASK.items()) + " FROM part), r AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in RESULT.items()) + """ FROM part)
   SELECT count(*) AS tasks, round(avg(CASE WHEN r.name IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS completion_rate, round(sum(cost), 6) AS cost, round(sum(time), 6) AS time,
    round(avg(CASE WHEN pred IS NULL OR isnan(pred) THEN 0 ELSE greatest((pred - baseline) / (gold_best - baseline), 0) END), 6) AS score FROM t LEFT JOIN r ON t.name = r.name""")
 def _(t):
-    return rounded(E.normalized_task_score(select(t.part, **TASK), select(t.part.filter("p_partkey % 5 <> 2"), **RESULT), "name"))
+    return rounded(E.normalized_task_score(select(t.part, **TASK), select(t.part, **RESULT), "name"))
 
 
 HIST = dict(run="user_id", step="event_id", passed="CAST(20 + event_id % 14 AS INT)", has_code="CAST(24 + event_id * 3 % 9 AS INT)", ended="CAST(25 + event_id * 5 % 8 AS INT)", repetitive="CAST(event_id % 6 AS INT)")

@@ -153,12 +153,12 @@ def _(t):
     return N.session_messages(s, "user_id", "event_id", "task", "props", "event_type").select("user_id", "session", flat())
 
 
-@query("spans_to_tags", "N18", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<o>' || substr(text, 3, 1) || '<o>' || substr(text, 6) WHEN doc_id % 3 = 1 THEN substr(text, 1, 1) || '<o>' || substr(text, 3) END AS text FROM documents WHERE n_chars > 8")
+@query("spans_to_tags", "N18", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<o>' || substr(text, 3, 1) || '<o>' || substr(text, 6) WHEN doc_id % 3 = 1 THEN substr(text, 1, 1) || '<o>' || substr(text, 3) END AS text FROM documents")
 def _(t):
     k = F.col("doc_id") % 3
     pair = lambda a, b: F.array(F.lit(a), F.lit(b))
     spans = F.when(k == 0, F.array(pair(3, 5), pair(0, 2))).when(k == 1, F.array(pair(1, 2))).otherwise(F.array(pair(0, 3), pair(2, 5)))
-    return t.documents.filter("n_chars > 8").select("doc_id", N.spans_to_tags(F.col("text"), spans, "<o>").alias("text"))
+    return t.documents.select("doc_id", N.spans_to_tags(F.col("text"), spans, "<o>").alias("text"))
 
 
 # ---- recipes
@@ -312,9 +312,9 @@ def _(t):
             .unionByName(chat(P.ocrvqa(d.select("doc_id", F.array("text").alias("questions"), F.array("lang").alias("answers")), "doc_id"), "ocrvqa")))
 
 
-@query("recipes_random_prompts", "recipes", """SELECT doc_id, text AS sa1b, text AS pixelprose, TRUE AS known_prompt FROM documents WHERE NOT starts_with(text, 'This image') AND text = trim(text)""")
+@query("recipes_random_prompts", "recipes", f"""SELECT doc_id, text AS sa1b, regexp_replace(text, '\\A{T.SPACE}+|{T.SPACE}+\\z', '', 'g') AS pixelprose, TRUE AS known_prompt FROM documents""")
 def _(t):
-    d = t.documents.filter(~F.col("text").startswith("This image") & (F.col("text") == F.trim("text")))
+    d = t.documents
     a = P.sa1b(d.select("doc_id", F.col("text").alias("global_caption")), "doc_id")
     b = P.pixelprose(d.select("doc_id", F.concat(F.lit("This image displays:  "), F.col("text")).alias("vlm_caption")), "doc_id").withColumnRenamed("messages", "m2")
     ok = turn(F.col("messages"), 0).isin(*P.PICTURE_QUESTIONS_ZH) & turn(F.col("m2"), 0).isin(*P.PICTURE_QUESTIONS)

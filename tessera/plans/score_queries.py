@@ -207,9 +207,9 @@ def _(t):
 
 
 @query("loss_scale_spans", "R23", """SELECT conv_id, turn, text || '|' || 'Action:' || '|' || 'x' || '|' || 'Observation:' || '|' || text AS spans, '1.0,2.0,2.0,2.0,0.0' AS weights,
-  '1.0,3.0,1.0' AS matched FROM conversations WHERE text <> ''""")
+  '1.0,3.0,1.0' AS matched FROM conversations""")
 def _(t):
-    rows = t.conversations.filter("text <> ''").withColumn("c", F.concat(F.col("text"), F.lit("Action:"), F.lit("x"), F.lit("Observation:"), F.col("text")))
+    rows = t.conversations.withColumn("c", F.concat(F.col("text"), F.lit("Action:"), F.lit("x"), F.lit("Observation:"), F.col("text")))
     s = R.loss_scale_spans("c", {"Action:": (2.0, 2.0), "Observation:": (2.0, 0.0)})
     m = R.loss_scale_matches("c", {"Action:x": 3.0})
     return rows.select("conv_id", "turn", F.array_join(F.transform(s, lambda x: x["text"]), "|").alias("spans"), F.array_join(F.transform(s, lambda x: x["weight"].cast("string")), ",").alias("weights"),
@@ -258,7 +258,7 @@ def _(t):
 def _(t):
     q = qa(t)
     gold = q.select("id", "kind", F.col("gold").alias("answer"))
-    pred = q.filter("id % 13 <> 0").select("id", F.col("pred").alias("answer"))
+    pred = q.select(F.when(F.col("id") % 13 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"), F.col("pred").alias("answer"))
     return E.squad_report(pred, gold, "id").select("part", F.round("exact", 6).alias("exact"), F.round("f1", 6).alias("f1"), "n")
 
 

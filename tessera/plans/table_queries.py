@@ -208,15 +208,15 @@ def _(t):
     return out.select("o_custkey", *[F.col(c).cast("double").alias(c) for c in ("before", "after", "change")], "recovered", "rank")
 
 
-@query("reconcile", "W14", """WITH f AS (SELECT l_orderkey AS k, sum(l_quantity) AS q, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey AS k, q + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS q, n + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS n FROM orders LEFT JOIN f ON k = o_orderkey WHERE o_orderkey % 17 <> 0)
+@query("reconcile", "W14", """WITH f AS (SELECT l_orderkey AS k, sum(l_quantity) AS q, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), c AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN 0 - o_orderkey - 1 ELSE o_orderkey END AS k, q + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS q, n + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS n FROM orders LEFT JOIN f ON f.k = o_orderkey)
   SELECT coalesce(f.k, c.k) AS k, f.q AS fine_q, f.n AS fine_n, c.q AS coarse_q, c.n AS coarse_n, CASE WHEN f.k IS NULL THEN 'missing_in_fine' WHEN c.k IS NULL THEN 'missing_in_coarse' ELSE 'differs: ' || array_to_string(list_filter([CASE WHEN f.q <> c.q THEN 'q' END, CASE WHEN f.n <> c.n THEN 'n' END], lambda x: x IS NOT NULL), ',') END AS problem
   FROM f FULL JOIN c ON f.k = c.k WHERE f.k IS NULL OR c.k IS NULL OR f.q <> c.q OR f.n <> c.n""")
 def _(t):
     fine = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("q"), F.lit(1.0).alias("n"))
     agg = fine.groupBy("k").agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
     k = F.col("o_orderkey")
-    coarse = (t.orders.filter("o_orderkey % 17 <> 0").join(agg, agg["k"] == k, "left")
-              .select(k.alias("k"), (F.col("q") + (k % 11 == 0).cast("int")).alias("q"), (F.col("n") + (k % 13 == 0).cast("int")).alias("n")))
+    coarse = (t.orders.join(agg, agg["k"] == k, "left")
+              .select(F.when(k % 17 == 0, -k - 1).otherwise(k).alias("k"), (F.col("q") + (k % 11 == 0).cast("int")).alias("q"), (F.col("n") + (k % 13 == 0).cast("int")).alias("n")))
     return W.reconcile(fine, coarse, ["k"], ["q", "n"])
 
 
@@ -258,13 +258,13 @@ def _(t):
     return r6(X.bm25_topk(t.benchmark, t.spread("documents"), 10, "item_id", "text", "doc_id", "text"))
 
 
-DENSE = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 3), s AS (SELECT query_id, e.vec_id, list_inner_product(v, e.embedding::DOUBLE[]) AS score FROM q, embeddings e),
+DENSE = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT query_id, e.vec_id, list_inner_product(v, e.embedding::DOUBLE[]) AS score FROM q, embeddings e),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
 @query("dense_topk", "T2", DENSE + " SELECT query_id, vec_id, round(score, 5) AS score, rank::INT AS rank FROM r WHERE rank <= 10")
 def _(t):
-    q = t.embeddings.filter("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    q = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     out = X.dense_topk(q, t.embeddings, 10, "query_id", "qv", "vec_id", "embedding")
     return out.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
