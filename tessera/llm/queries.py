@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, superkmers
+from . import decontaminate, secret_scan, simhash, superkmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,18 @@ def op9_simhash_classes(spark, sf_dir):
 def op8_repeated_passages(spark, sf_dir):
     kept = superkmers.remove_repeats(table(spark, sf_dir, "documents"), width=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op3_benchmark_hits(spark, sf_dir):
+    found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op10_secret_spans(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), owner="source", repository="doc_id")
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
+                        secret_scan.written("spans").alias("spans"), "n_live", "n_example")
