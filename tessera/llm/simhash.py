@@ -26,7 +26,7 @@ SEED = 42
 LEAF = 192
 PIECE = 1 << 15  # shingles hashed at a time
 SAMPLE = 16_384  # fingerprints of which the upper tree is fitted
-SHARD = 20_000  # distinct fingerprints in a shard, about
+SHARD = 20_000  # distinct fingerprints in a shard, about; fewer where the session has more shuffle partitions
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -165,7 +165,7 @@ def local_stars(points: np.ndarray, home: np.ndarray, distance: int) -> tuple[np
 def fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``prints`` (fp): their components are those of all pairs within ``distance`` bits."""
     total = prints.count()
-    leaves = 1 << max(0, (total // SHARD).bit_length())
+    leaves = max(total // SHARD, min(total // LEAF, SAMPLE // 16, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sample = prints.orderBy(F.xxhash64(F.col("fp"), F.lit(7)), "fp").limit(SAMPLE).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
     nodes = fit_tree(sample, leaves)
 
