@@ -8,17 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secret_scan, simhash, superkmers, token_counts
+from . import decontaminate, secret_scan, simhash, superkmers, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn):
+def query(fn, sql: str | None = None):
     QUERIES[fn.__name__] = fn
+    if sql:
+        ORACLES[fn.__name__] = sql
     return fn
 
 
+def with_sql(sql: str):
+    return lambda fn: query(fn, sql)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,3 +60,14 @@ def op10_secret_spans(spark, sf_dir):
 def op5_token_counts(spark, sf_dir):
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@with_sql("""
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY ALL)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first < page_id THEN first END AS refers_to
+    FROM d LEFT JOIN f USING (payload_digest)""")
+def op2_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
