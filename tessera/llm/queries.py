@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secret_scan, simhash, superkmers, token_counts, warc
+from . import decontaminate, multiset_hash, secret_scan, simhash, superkmers, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,10 @@ def op5_token_counts(spark, sf_dir):
     FROM d LEFT JOIN f USING (payload_digest)""")
 def op2_warc_round_trip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_multiset_fingerprints(spark, sf_dir):
+    found = multiset_hash.edited_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), multiset_hash.written(F.col("fingerprint")).alias("fingerprint"),
+                        multiset_hash.written(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
