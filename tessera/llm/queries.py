@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, multiset_hash, secret_scan, simhash, superkmers, token_counts, warc
+from . import decontaminate, mixing, multiset_hash, secret_scan, simhash, superkmers, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op7_multiset_fingerprints(spark, sf_dir):
     found = multiset_hash.edited_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), multiset_hash.written(F.col("fingerprint")).alias("fingerprint"),
                         multiset_hash.written(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op6_source_mix(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
