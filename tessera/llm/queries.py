@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, multiset_hash, secret_scan, simhash, superkmers, token_counts, warc
+from . import decontaminate, mixing, multiset_hash, ordinal, secret_scan, simhash, superkmers, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,12 @@ def op7_multiset_fingerprints(spark, sf_dir):
 def op6_source_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+@query
+def op4_quality_grades(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = ordinal.train(docs, labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade")), n_grades=3, max_rated=20_000)
+    graded = ordinal.score(docs.select("doc_id", "text"), model)
+    good = F.get("p_at_least", F.lit(1))
+    return graded.select("doc_id", "expected_grade", F.get("p_at_least", F.lit(0)).alias("p_not_toxic"), good.alias("p_good"), (good >= 0.5).alias("keep"))
