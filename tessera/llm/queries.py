@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, multiset_hash, ordinal, secret_scan, simhash, superkmers, token_counts, warc
+from . import decontaminate, linejoin, mixing, multiset_hash, ordinal, secret_scan, simhash, superkmers, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,9 @@ def op4_quality_grades(spark, sf_dir):
     graded = ordinal.score(docs.select("doc_id", "text"), model)
     good = F.get("p_at_least", F.lit(1))
     return graded.select("doc_id", "expected_grade", F.get("p_at_least", F.lit(0)).alias("p_not_toxic"), good.alias("p_good"), (good >= 0.5).alias("keep"))
+
+
+@query
+def op1_similar_lines(spark, sf_dir):
+    done = linejoin.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), similarity=0.8)
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
