@@ -4,8 +4,8 @@ The minimiser of a window is its rarest word.  Consecutive windows with the same
 bucket of the minimiser, so that each window is counted in one place while the text is sent little more than twice.  Equal windows have
 equal minimisers, so they meet; in the bucket, sorting brings them together and all of their words are compared.
 
-Windows made of frequent words only (a passage copied into a large part of the corpus) would overfill a bucket.  They go by their own hashes
-instead, as rows: their first document is a grouped minimum, combined before the shuffle, and is joined back.
+Windows made of frequent words only (a passage copied into a large part of the corpus) would overfill a bucket.  Runs of them are named by their
+words; equal runs are combined before the shuffle, and only the windows of different runs are compared, as a grouped minimum that is joined back.
 """
 
 from __future__ import annotations
@@ -175,7 +175,9 @@ def _judge(width: int):
     return judge
 
 
-def _hot_windows(counts: np.ndarray, hot: int, width: int):
+def _hot_runs(counts: np.ndarray, hot: int, width: int):
+    """Runs of consecutive windows whose rarest word is frequent: a name for the run's words, where it begins, and its windows' hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -185,13 +187,31 @@ def _hot_windows(counts: np.ndarray, hot: int, width: int):
                 at = at[(least >> np.uint64(32)) > hot]
                 if not len(at):
                     continue
-                row = found.rows()[at]
-                names = [W.window_hashes(x, width)[at].view(np.int64) for x in (hashes, W.mix(hashes))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*names, docs[low + row], tags[low + row], (at - found.first[row]).astype(np.int32))], ["w1", "w2", "doc", "tag", "at"])
+                rows = found.rows()
+                first, n = _cut(at, np.zeros(len(at), np.uint64), rows)
+                windows = [W.window_hashes(x, width)[at] for x in (hashes, W.mix(hashes))]
+                step = np.arange(len(at), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64) + np.uint64(1)
+                names = [W.mix(np.add.reduceat(W.mix(w ^ W.mix(step)), first) + n.astype(np.uint64)).view(np.int64) for w in windows]
+                begin = at[first]
+                row = rows[begin]
+                lists = [W.list_array(w.view(np.int64), n, pa.int64()) for w in windows]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (*names, docs[low + row], tags[low + row], (begin - found.first[row]).astype(np.int32))), *lists], ["k1", "k2", "doc", "tag", "start", "w1", "w2"])
 
     return run
 
 
+def _hot_flags(runs: DataFrame) -> DataFrame:
+    """(doc, tag, at) of the repeated windows among ``runs``.  Equal runs are one row from the first shuffle on, and windows are spread out of those only."""
+    names = ["k1", "k2"]
+    texts = runs.groupBy(*names).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first(F.arrays_zip("w1", "w2")).alias("w"))
+    windows = texts.select(*names, "low", "high", F.posexplode("w").alias("step", "w")).select(*names, "low", "high", "step", "w.w1", "w.w2")
+    firsts = windows.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
+    again = windows.join(firsts, ["w1", "w2"]).filter("least < high").groupBy(*names).agg(F.collect_list(F.struct("step", "least")).alias("again"))
+    found = runs.select(*names, "doc", "tag", "start").join(again, names)
+    at = F.transform(F.filter("again", lambda x: x["least"] < F.col("doc")), lambda x: x["step"] + F.col("start"))
+    return found.select("doc", "tag", at.alias("at")).filter(F.size("at") > 0)
+
+
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc, tag, at): in which words of a document a window begins that also begins in a document with a smaller id.
 
@@ -208,14 +228,12 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         yield from _packer(table.value, hot, width, buckets)(batches)
 
     def pick(batches):
-        yield from _hot_windows(table.value, hot, width)(batches)
+        yield from _hot_runs(table.value, hot, width)(batches)
 
     flags = docs.mapInArrow(pack, "bucket long, n int, packed binary").groupBy("bucket").applyInArrow(_judge(width), "doc long, tag long, at array<int>")
     if int(counts.max(initial=0)) > hot:
-        rows = store(docs.mapInArrow(pick, "w1 long, w2 long, doc long, tag long, at int"), "windows")
-        firsts = rows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-        again = rows.join(firsts, ["w1", "w2"]).filter("least < doc")
-        flags = flags.unionByName(again.groupBy("doc", "tag").agg(F.collect_list("at").alias("at")))
+        runs = store(docs.mapInArrow(pick, "k1 long, k2 long, doc long, tag long, start int, w1 array<long>, w2 array<long>"), "runs")
+        flags = flags.unionByName(_hot_flags(runs))
     return flags.groupBy("doc", "tag").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
@@ -226,7 +244,10 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, key: str = "doc_id", te
     input.  The words are runs without white space.  Null and empty texts have no words.  A null key is neither smaller nor larger than another, so
     those rows stay whole and take nothing from others; rows that share a key take nothing from each other.  Further columns are ignored.
     """
-    slim = docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("tag"), F.col(text).cast("string").alias("text"))
+    # Only where a key occurs twice does a row need more than its key to be found again.
+    twice = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    tag = F.xxhash64(F.col(text).cast("string")) if twice else F.lit(0).cast("long")
+    slim = docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("doc"), tag.alias("tag"), F.col(text).cast("string").alias("text"))
     flags = repeated_windows(slim.filter("doc IS NOT NULL AND text IS NOT NULL").select("doc", "tag", "text"), width)
     rows = slim.join(flags, ["doc", "tag"], "left").select("key", "text", "at")
 
