@@ -1,10 +1,62 @@
-"""A corpus from raw documents to a mixed training set, in stages that each read the Parquet table of the stage before."""
+"""A corpus from raw documents to a mixed training set, in stages that each read the Parquet table of the stage before.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of ``documents``.  ``run`` writes every stage to the shared
+folder and reads it again, so that lineage ends there and a lost executor costs no more than its tasks.  Several stages fit or search and have no SQL twin.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, linejoin, mixing, ordinal, simhash
+from tessera.llm.store import store
+
+GOOD = 2  # the grade a document must probably reach
+PROBABLY = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are good rather than poor or toxic, by a model fitted on the ratings in ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    model = ordinal.train(docs, ratings, n_grades=3)
+    return ordinal.score(docs, model).filter(F.get("p_at_least", F.lit(GOOD - 1)) >= PROBABLY).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that are similar to an earlier one.  A document whose lines all go stays with an empty text."""
+    done = linejoin.dedup_lines(docs, similarity=0.8)
+    length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return simhash.one_of_each(docs, shingle=5, distance=12, similarity=0.8).select(*docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return decontaminate.hits(docs, items, window=10, carry=rest).filter("n_hit = 0").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their copies; sources share the words of the corpus 1 : 2 : 3, repeating."""
+    rows = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("tag")))
+    mixed = mixing.mix(rows, weights=[1, 2, 3], most=3, key="_key").filter("copies > 0")
+    mixed = mixed.select(F.col("_key").alias("_mixed"), "size", "source_size", "target", "copies", "taken")
+    return rows.join(mixed, F.col("_key").eqNullSafe(F.col("_mixed"))).drop("_key", "_mixed")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("mix", mix)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,8 +56,8 @@ _HELD: dict[int, tuple] = {}  # the automaton of the broadcast in use, once for
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-         item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """(key, n_words, n_hit, items, spans) for each document.
+         item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_words, n_hit, items, spans) for each document, and the columns named in ``carry``.
 
     A window is ``window`` consecutive words of an item, or all words of an item that has fewer but not none.  ``n_hit`` counts the words of the
     document inside any occurrence of a window, ``items`` lists the keys, as strings in string order, of the items with occurring windows, and
@@ -73,8 +73,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "do
         raise ValueError(f"the items have {size} bytes; pass them in parts of at most {max_item_bytes}")
     listed = docs.sparkSession.sparkContext.broadcast(sorted(("null" if r["item"] is None else r["item"], r["text"] or "") for r in items.toLocalIterator()))
 
+    names = [f"carried{i}" for i in range(len(carry))]
+    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [k for k, _ in listed.value]
+        item_names = [k for k, _ in listed.value]
         if id(listed.value) not in _HELD:
             _HELD.clear()
             _HELD[id(listed.value)] = (*automaton(listed.value, window), listed.value)
@@ -89,17 +92,16 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "do
                 n_hit, spans, seen = 0, [], set()
                 if found:
                     n_hit, spans = _spans(value.as_py(), flat, line, found, len(words))
-                    seen = {names[i] for number in {x[1][0] for x in found} for i in owners[number]}
+                    seen = {item_names[i] for number in {x[1][0] for x in found} for i in owners[number]}
                 for name, x in zip(out, (len(words), n_hit, sorted(seen), spans)):
                     out[name].append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())),
-                                              pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["key", *out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())),
+                                              pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["key", *names, *out])
 
-    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    shape = T.StructType([T.StructField("key", slim.schema["key"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+    shape = T.StructType([T.StructField("key", slim.schema["key"].dataType), *slim.schema.fields[2:], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
                           T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
-    return slim.mapInArrow(scan, shape).withColumnRenamed("key", key)
+    return slim.mapInArrow(scan, shape).toDF(key, *carry, "n_words", "n_hit", "items", "spans")
 
 
 def _spans(text: str, flat: bytes, line: bytes, found: list, n: int) -> tuple[int, list[dict]]:

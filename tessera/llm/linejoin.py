@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import rarity
+from . import marks, rarity
 from . import words as W
 from .store import store
 
@@ -29,7 +29,6 @@ SIMILARITY = 0.8
 FLUSH = 24 << 20  # bytes of text that a task gathers before it packs
 BUCKET_WORDS = 400_000  # words of the corpus for each bucket
 PAIRS = 1 << 20
-FILTER_BITS = 25  # the table of sets to verify: 4 MB, whatever their number
 
 
 def _ceil_share(n: np.ndarray, share: Fraction) -> np.ndarray:
@@ -178,38 +177,6 @@ def _pairer(share: Fraction):
     return pair
 
 
-def _bit(k1: np.ndarray) -> np.ndarray:
-    return (W.mix(k1.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _marked(names: DataFrame) -> np.ndarray:
-    """Table of bits of the names (k1) of sets: one that is not marked is not among them."""
-    slice_bytes = 1 << 15
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[_bit(batch.column(0).to_numpy())] = True
-        parts = np.packbits(bits).reshape(-1, slice_bytes)
-        used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["slice", "bits"])
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(bits, np.uint8)
-                sums[i] = sums[i] | got if i in sums else got
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "bits"])
-
-    shape = "slice int, bits binary"
-    table = np.zeros(((1 << FILTER_BITS) // 8 // slice_bytes, slice_bytes), np.uint8)
-    for row in names.mapInArrow(mark, shape).repartition("slice").mapInArrow(unite, shape).collect():  # 4 MB at most
-        table[row["slice"]] |= np.frombuffer(row["bits"], np.uint8)
-    return table.reshape(-1)
-
-
 def similar_sets(texts: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a1, a2, b1, b2) of the names of different line sets of the one column of ``texts`` whose Jaccard similarity is ``similarity`` or more."""
     share = Fraction(str(similarity))
@@ -222,14 +189,14 @@ def similar_sets(texts: DataFrame, counts: np.ndarray, similarity: float = SIMIL
     found = texts.mapInArrow(pack, "bucket long, n int, packed binary").groupBy("bucket").applyInArrow(_pairer(share), ", ".join(f"{c} long" for c in _PAIR))
     found = store(found.distinct(), "candidates")
     names = found.select(F.explode(F.array("a1", "b1")).alias("k1"))
-    wanted = texts.sparkSession.sparkContext.broadcast(_marked(names))
+    wanted = texts.sparkSession.sparkContext.broadcast(marks.table_of(names))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value).view(bool)
+        bits = marks.bits(wanted.value)
         for batch in batches:
             for _, _, data, offsets in W.chunks(batch.column(0)):
                 lines = Lines(data, offsets, sent.value)
-                lines.only(bits[_bit(lines.k1)] & _first_of_equals(lines.k1, lines.k2))
+                lines.only(bits[marks.place(lines.k1)] & _first_of_equals(lines.k1, lines.k2))
                 if len(lines.k1):
                     yield pa.RecordBatch.from_arrays([pa.array(lines.k1), pa.array(lines.k2), W.list_array(lines.words.view(np.int64), lines.size, pa.int64())], ["k1", "k2", "words"])
 
@@ -247,9 +214,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc
     Lines are compared as word sets by Jaccard similarity; earlier means a smaller key, or the same key and an earlier line.  All lines are judged on
     the input, whether or not the earlier line stays itself.  Lines without words stay.  A text keeps its other lines, in order and as they are,
     and an unchanged text is the same to the byte.  Null texts stay null.  Null keys come last; rows that share a key come in the order of a hash
-    of their text, and rows equal in key and text are one document, so both keep the same lines.  All other columns stay as they are.
+    of their text, and rows equal in key and text are one document, so both keep the same lines.  All other columns stay as they are,
+    but for two of the added names, which are replaced.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # names in the plan must be plain and different
+    key, text, names, given = f"c{names.index(key)}", f"c{names.index(text)}", docs.columns, names
     twice = docs.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     tag = F.xxhash64(F.col(text).cast("string")) if twice else F.lit(0).cast("long")
     place_of = (F.col(key).isNull(), F.coalesce(F.col(key).cast("long"), F.lit(0)), tag)
@@ -296,4 +266,4 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
     shape = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(rebuild, shape)
+    return joined.mapInArrow(rebuild, shape).toDF(*given, "n_lines", "n_removed")

@@ -173,10 +173,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 p = model.probabilities(scores)
                 part = batch.slice(low, high - low)
                 tails = pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), p.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), tails], [*part.schema.names, "expected_grade", "p_at_least"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), tails], [f"c{i}" for i in range(part.num_columns + 2)])
 
     shape = T.StructType([*keep, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_at_least", T.ArrayType(T.DoubleType()))])
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, shape)
+    names = [f.name for f in shape.fields]
+    numbered = [f"c{i}" for i in range(len(names))]  # names in the plan must be plain and different
+    shape = T.StructType([T.StructField(n, f.dataType) for n, f in zip(numbered, shape.fields)])
+    return docs.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(keep, numbered)]).mapInArrow(run, shape).toDF(*names)
 
 
 def grade(quality: Column, toxic: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import marks
 from . import words as W
 from .components import components
 from .store import store
@@ -29,21 +30,31 @@ SAMPLE = 16_384  # fingerprints of which the upper tree is fitted
 SHARD = 20_000  # distinct fingerprints in a shard, about; fewer where the session has more shuffle partitions
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """64-bit SimHash of one text: bit i is set if more than half of the shingle hashes have it set."""
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, repeats included, some at a time."""
     words = text.encode("utf-8", "replace").translate(bytes(W.LOWER)).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts, ends = (ends - size)[:max(1, len(words) - shingle + 1)].tolist(), ends[min(shingle, len(words)) - 1:].tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), PIECE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:at + PIECE], ends[at:at + PIECE])], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:at + PIECE], ends[at:at + PIECE])], np.uint64)
+
+
+def fingerprint_of(pieces: Iterator[np.ndarray]) -> int:
+    """64-bit SimHash: bit i is set if more than half of the hashes have it set."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,9 +108,9 @@ def fit_tree(sample: np.ndarray, leaves: int) -> list[tuple[int, int, int, int]]
     return nodes
 
 
-def deal(nodes: list, points: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+def deal(nodes: list, points: np.ndarray, distance: int, home: bool = True) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(shard, places in points, whether they live there or only ask there)."""
-    todo = [(0 if nodes else -1, np.arange(len(points)), True)]
+    todo = [(0 if nodes else -1, np.arange(len(points)), home)]
     while todo:
         at, rows, home = todo.pop()
         if not len(rows):
@@ -195,3 +206,95 @@ def classes(docs: DataFrame, distance: int = 2, shingle: int = 3, key: str = "do
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return mine.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+
+
+# Near duplicates by verified similarity
+
+
+def _sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """(key, tag, fp, n): hash of the text (0 for all wordless texts), fingerprint and number of different shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags, prints, sizes = batch.column(1).to_numpy().copy(), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
+            for i, value in enumerate(batch.column(2)):
+                pieces = list(shingle_hashes(value.as_py() or "", shingle))
+                prints[i], sizes[i] = fingerprint_of(iter(pieces)), len(np.unique(np.concatenate(pieces))) if pieces else 0
+            tags[sizes == 0] = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags), pa.array(prints.view(np.int64)), pa.array(sizes)], ["key", "tag", "fp", "n"])
+
+    slim = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("tag"), F.col(text).cast("string").alias("text"))
+    return slim.mapInArrow(run, T.StructType([T.StructField("key", slim.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in ("tag", "fp", "n"))]))
+
+
+def candidate_pairs(nodes: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of tags within ``distance`` bits whose shingle counts allow the similarity.  ``nodes`` has tag, fp, n (positive).
+
+    Sets of similarity t differ in size by a factor of t at most, so nodes are parted by size first: each class is searched for itself and for the
+    class below.  Inside, the vantage-point search is exact.
+    """
+    leaves = max(1, nodes.count() // SHARD)
+    sample = nodes.orderBy(F.xxhash64("fp", F.lit(7)), "fp").select("fp").limit(SAMPLE).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    tree = fit_tree(sample, leaves)
+    step = -np.log(similarity)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags, points, n = (batch.column(c).to_numpy() for c in ("tag", "fp", "n"))
+            points = points.view(np.uint64)
+            level = np.floor(np.log(n) / step + 1e-9).astype(np.int64)
+            for shard, rows, home in deal(tree, points, distance):
+                yield _sent(level[rows], shard, tags[rows], points[rows], n[rows], home)
+            for shard, rows, _ in deal(tree, points, distance, home=False):
+                yield _sent(level[rows] + 1, shard, tags[rows], points[rows], n[rows], False)
+
+    def search(group: pa.Table) -> pa.Table:
+        tags, points, n, home = (group[c].to_numpy() for c in ("tag", "fp", "n", "home"))
+        points, found = points.view(np.uint64), []
+        for a, b in _pairs(points, np.flatnonzero(home), np.flatnonzero(~home), distance):
+            ok = (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9) & (tags[a] != tags[b])
+            found.append(np.stack([np.minimum(tags[a[ok]], tags[b[ok]]), np.maximum(tags[a[ok]], tags[b[ok]])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    shape = "level long, shard int, tag long, fp long, n long, home boolean"
+    return nodes.select("tag", "fp", "n").mapInArrow(send, shape).groupBy("level", "shard").applyInArrow(search, "a long, b long").distinct()
+
+
+def _sent(level: np.ndarray, shard: int, tags: np.ndarray, points: np.ndarray, n: np.ndarray, home: bool) -> pa.RecordBatch:
+    columns = [level, np.full(len(level), shard, np.int32), tags, points.view(np.int64), n, np.full(len(level), home)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["level", "shard", "tag", "fp", "n", "home"])
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 12, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with the smallest key, null last, then text hash.
+
+    Texts link if their fingerprints differ in at most ``distance`` bits and the Jaccard similarity of their sets of ``shingle``-word shingles is at least
+    ``similarity``; groups are connected components.  All wordless and null texts are one group.  Of rows equal in key and text one stays.
+    All columns stay as they are.
+    """
+    mine = store(_sketches(docs, shingle, key, text), "sketches")
+    nodes = store(mine.groupBy("tag", "fp", "n").agg(F.min(F.struct(F.col("key").isNull().alias("late"), "key")).alias("first")), "nodes")
+    pairs = store(candidate_pairs(nodes.filter("n > 0"), distance, similarity), "pairs")
+    wanted = docs.sparkSession.sparkContext.broadcast(marks.table_of(pairs.select(F.explode(F.array("a", "b")).alias("tag"))))  # fixed size
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.bits(wanted.value)
+        for batch in batches:
+            for at in np.flatnonzero(bits[marks.place(batch.column(0).to_numpy())]).tolist():
+                hashes = np.unique(np.concatenate(list(shingle_hashes(batch.column(1)[at].as_py(), shingle)) or [np.zeros(0, np.uint64)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], ["tag", "shingles"])
+
+    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text).cast("string")).alias("tag"), F.col(text).cast("string").alias("text"))
+    whole = texts.mapInArrow(sets, "tag long, shingles array<long>").dropDuplicates(["tag"])
+    a, b = (whole.select(F.col("tag").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    links = pairs.join(a, "a").join(b, "b").filter(common >= similarity * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b")
+    roots = components(links)
+    rooted = nodes.join(roots, nodes["tag"] == roots["node"], "left").select("tag", "first", F.coalesce("root", "tag").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min(F.struct("first", "tag")).alias("one")).select("one.first.key", "one.first.late", "one.tag")
+    named = stay.select(F.col("key").alias("k"), F.col("tag").alias("t"))
+    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    rows = docs.withColumn("__tag", F.when(words == 0, F.lit(0)).otherwise(F.xxhash64(F.col(text).cast("string"))))
+    kept = rows.join(named, rows[key].eqNullSafe(named["k"]) & (rows["__tag"] == named["t"]), "left_semi")
+    return kept.dropDuplicates([key, "__tag"]).drop("__tag")
