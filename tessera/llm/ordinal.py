@@ -21,8 +21,8 @@ from . import words as W
 BITS = 20
 SLOTS = 1 << BITS
 MAX_RATED = 20_000  # rated rows that are fitted on, about; more are thinned evenly by the hash of their key
-MIN_ROWS = 8  # rows in which a feature must be present
-MIN_Z = 4.5  # how clearly a feature must shift the mean rating, in standard errors
+MIN_ROWS = 3  # rows in which a feature must be present
+MIN_Z = 3.0  # how clearly a feature must shift the mean rating, in standard errors
 PENALTY = 2e-4
 STEPS = 400
 
