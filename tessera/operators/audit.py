@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scale import cut, flag_members, previous_row, ranked, running_total, top_k, with_group_stats, without_rows
+from .scale import cut, flag_members, previous_row, ranked, running_total, top_k, with_group_stats
 
 MESSAGES = "array<struct<role:string,content:string>>"
 QUANTILES = (("p50", 0.50), ("p90", 0.90), ("p95", 0.95), ("p99", 0.99))
@@ -66,11 +66,12 @@ def check_action_tags(df: DataFrame, answer: str, tags=T.ACTIONS) -> DataFrame:
             .withColumn("tags_ok", T.tags_valid(F.col("_tk"))).drop("_tk"))
 
 
-def tag_sequence_histogram(df: DataFrame, answer: str, n: int = 20, tags=T.ACTIONS) -> DataFrame:
+def tag_sequence_histogram(df: DataFrame, answer: str, n: int | None = None, tags=T.ACTIONS) -> DataFrame:
+    """Tag sequences by how often they occur: all, or the ``n`` most frequent."""
     seq = T.tag_sequence(T.tag_tokens(answer, tags))
     label = F.when(F.size(seq) == 0, "<none>").otherwise(F.array_join(seq, "->"))
-    return (df.groupBy(label.alias("sequence")).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "sequence").limit(n))
+    counts = df.groupBy(label.alias("sequence")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sequence")
+    return counts if n is None else counts.limit(n)
 
 
 def tag_presence(df: DataFrame, answer: str, tags=T.ACTIONS) -> DataFrame:
@@ -109,12 +110,10 @@ def prompt_digest(c) -> Column:
     return F.sha2(T.squash(c), 256)
 
 
-def flag_eval_prompts(df: DataFrame, prompt: str, bench: DataFrame, bench_prompt: str, flag: str = "is_eval_prompt",
-                      spread: list[str] | None = None) -> DataFrame:
+def flag_eval_prompts(df: DataFrame, prompt: str, bench: DataFrame, bench_prompt: str, flag: str = "is_eval_prompt") -> DataFrame:
     """Mark rows whose white-space-normalised prompt equals a benchmark prompt.  Only digests are joined."""
     keys = bench.select(prompt_digest(bench_prompt).alias("d"))
-    return flag_members(df.withColumn("_pd", prompt_digest(prompt)), "_pd", keys, flag,
-                        spread or ["source", "row_id"]).drop("_pd")
+    return flag_members(df.withColumn("_pd", prompt_digest(prompt)), "_pd", keys, flag).drop("_pd")
 
 
 def exclude_eval_prompts(df: DataFrame, prompt: str, bench: DataFrame, bench_prompt: str) -> DataFrame:
@@ -141,10 +140,10 @@ def later_copies(df: DataFrame, digest: Column, order: list[str], **kw) -> DataF
 def dedup_conversations(df: DataFrame, order: list[str], digest: Column | None = None, **kw) -> DataFrame:
     """Exact duplicates removed; the first occurrence under ``order`` stays.
 
-    The rows to drop are looked up, not the rows to keep: they are few, so the text itself is usually not shuffled.
+    The rows to drop are looked up, not the rows to keep: where they are few, the session broadcasts them and the text is not shuffled.
     """
     digest = T.conversation_digest(F.col("messages")) if digest is None else digest
-    return without_rows(df, later_copies(df, digest, order, **kw), order)
+    return df.join(later_copies(df, digest, order, **kw), order, "left_anti")
 
 
 def repair_reasons(df: DataFrame, bench: DataFrame, bench_prompt: str, tags=T.ACTIONS) -> DataFrame:
@@ -152,7 +151,7 @@ def repair_reasons(df: DataFrame, bench: DataFrame, bench_prompt: str, tags=T.AC
     m = F.col("messages")
     rows = df.withColumn("_ok", pair_is_valid(m)).withColumn("_a", F.when(F.col("_ok"), turn(m, 1)))
     rows = flag_members(rows.withColumn("_pd", F.when(F.col("_ok"), prompt_digest(turn(m, 0)))), "_pd",
-                        bench.select(prompt_digest(bench_prompt).alias("d")), "_eval", ["source", "row_id"])
+                        bench.select(prompt_digest(bench_prompt).alias("d")), "_eval")
     a = F.col("_a")
     reason = first_failing([
         ("schema_invalid", ~F.col("_ok")),

@@ -385,14 +385,15 @@ def gqa(df):
 
 @recipe("coco_detection")
 def coco_detection(df, categories: DataFrame):
-    """Category ids of the boxes to names by a dimension table (id, name), kept in box order.
+    """Category ids of the boxes to names by a dimension table (id, name), in box order.
 
-    A picture has few boxes, so the names gathered per picture are bounded.
+    Every picture and column stays: one without boxes has an empty list, null ids stay null, an unknown category has the name null.
+    The dimension has one row per category (some dozens), held as one map; a category listed twice fails.
     """
-    flat = df.select("image_id", F.posexplode("category_ids").alias("i", "cid"))
-    named = flat.join(categories.select(c("id").alias("cid"), "name"), "cid")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"])
-    return with_prompt("coco")(named.groupBy("image_id").agg(names.alias("ref")))
+    names = categories.agg(F.map_from_entries(F.collect_list(F.struct(c("id"), c("name")))).alias("_names"))
+    named = df.crossJoin(F.broadcast(names))  # one-row side
+    named = named.withColumn("ref", F.transform("category_ids", lambda i: F.try_element_at("_names", i)))
+    return with_prompt("coco")(named.drop("_names"))
 
 
 @recipe("clevr")

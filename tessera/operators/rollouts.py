@@ -6,13 +6,11 @@ work on parallel arrays.
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .sample import hash_rank, seeded_hash, TAKE_LIMIT
+from .sample import hash_rank, seeded_hash
 from .scale import cut, positions, skew_join, top_k, with_group_stats
 
 FLOATS = "array<double>"
@@ -245,8 +243,6 @@ def filter_uniform_groups(df: DataFrame, uid: str, sample: str, reward: str, ord
     if target is None:
         return kept
     rows = target * n_samples
-    if rows <= TAKE_LIMIT:
-        return kept.orderBy(*order).limit(rows)
     return positions(kept, order, "_p").filter(F.col("_p") < rows).drop("_p", "_slab")
 
 
@@ -351,20 +347,26 @@ def tree_preferences(nodes: DataFrame, threshold: float) -> DataFrame:
                     F.col("b.outcome_reward").alias("bad_score")))
 
 
-def tree_path_scores(nodes: DataFrame, max_depth: int) -> DataFrame:
+def tree_path_scores(nodes: DataFrame) -> DataFrame:
     """Mean and minimum of the outcome and process rewards on the path from the root to each terminal leaf.
 
     Paths grow by doubling: each round joins a partial path to the one that ends at its upper end, so trees of depth d
-    need log2(d) joins, whatever the number of trees.
+    need log2(d) joins, whatever the number of trees.  A cycle, or a parent that is not there, fails the query.
     """
     path = nodes.select("tree_id", "node_id", F.col("parent_id").alias("up"), F.lit(1).alias("len"), *[
         F.col(c).alias(f"{f}_{c[0]}") for c in ("outcome_reward", "process_reward") for f in ("sum", "min")])
-    for _ in range(max(1, ceil(log2(max_depth + 1)))):
+    total, rounds = nodes.count(), 0
+    while True:
         path = cut(path)  # both sides of the next join read the same stored rows; the plan stays one round deep
         if path.filter("up IS NOT NULL").isEmpty():
             break
+        if 1 << rounds > total:  # a path of that many nodes passes one of them twice
+            raise ValueError("the nodes of a tree form a cycle")
+        rounds += 1
         side = path.select(*[F.col(c).alias(f"x_{c}") for c in path.columns])
-        j = skew_join(path, side, [("tree_id", "x_tree_id"), ("up", "x_node_id")], ["tree_id", "node_id"], "left")
+        j = path.join(side, (path["tree_id"] == side["x_tree_id"]) & (path["up"] == side["x_node_id"]), "left")
+        lost = F.col("up").isNotNull() & F.col("x_node_id").isNull()
+        j = j.withColumn("len", F.when(lost, F.raise_error(F.lit("a node's parent is missing")).cast("int")).otherwise(F.col("len")))
         path = j.select("tree_id", "node_id", F.col("x_up").alias("up"), (F.col("len") + F.coalesce("x_len", F.lit(0))).alias("len"),
                         *[(F.col(f"sum_{k}") + F.coalesce(f"x_sum_{k}", F.lit(0.0))).alias(f"sum_{k}") for k in "op"],
                         *[F.least(f"min_{k}", f"x_min_{k}").alias(f"min_{k}") for k in "op"])

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .scale import cut, positions, ranked, running_total
 
-TAKE_LIMIT = 100_000  # up to here the k smallest hashes fit one merge of sorted prefixes
-
-
 def seeded_hash(key: list[str], seed: int | str) -> Column:
     return F.sha2(F.concat_ws(T.UNIT, F.lit(str(seed)), *[F.col(c).cast("string") for c in key]), 256)
 
@@ -46,8 +43,6 @@ def hash_rank(df: DataFrame, key: list[str], seed: int, name: str = "rank", upto
 
 def sample_k(df: DataFrame, k: int, seed: int, key: list[str]) -> DataFrame:
     """Uniform sample of exactly k rows (all rows when there are fewer)."""
-    if k <= TAKE_LIMIT:
-        return df.orderBy(seeded_hash(key, seed), *key).limit(k)
     return hash_rank(df, key, seed, "_rk", upto=k).filter(F.col("_rk") <= k).drop("_rk")
 
 
@@ -89,11 +84,13 @@ def interleave(df: DataFrame, source: str, prob: dict[str, float], order: list[s
     """Mix sources by probability.  Row i of a source sits at (i + jitter) / p, so draws follow the probabilities.
 
     ``first_exhausted`` ends at the source that runs out first; ``all_exhausted`` repeats short sources until the
-    longest has been used up.  Adds ``mix_key`` (the order of the mixed stream) and ``round``.
+    longest has been used up.  Adds ``mix_key`` (the order of the mixed stream) and ``round``.  A source without a probability fails
+    the query; give it zero rows or a probability.
     """
     p = F.create_map(*[x for k, v in prob.items() for x in (F.lit(k), F.lit(v))])
-    share = F.try_element_at(p, F.col(source))
-    rows = ranked(df.filter(F.col(source).isin(*prob)), [F.col(c) for c in order], [source], "_i")
+    unknown = F.raise_error(F.concat(F.lit("no probability for source "), F.coalesce(F.col(source).cast("string"), F.lit("null"))))
+    share = F.coalesce(F.try_element_at(p, F.coalesce(F.col(source), F.lit(""))), unknown.cast("double"))
+    rows = ranked(df, [F.col(c) for c in order], [source], "_i")
     jitter = unit_interval(seeded_hash([source, *order], seed))
     rows = rows.withColumn("mix_key", (F.col("_i") - 1 + jitter) / share)
     ends = rows.groupBy(source).agg(F.max("mix_key").alias("_end"), F.count(F.lit(1)).alias("_n"))

@@ -8,6 +8,7 @@ partitions, per-partition totals and salted joins instead.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,23 +16,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-BROADCAST_ROWS = 500_000  # keys of up to about 100 bytes
 LOCAL_BITS = 33  # low bits of monotonically_increasing_id hold the row number inside a partition
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Point the session at the folder the cluster names; a private folder only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.  Where none is named, a private one, on a local master only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder, so that every later read sees the same rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store the columns as Parquet in the shared folder, so that every later read sees the same rows.  For narrow tables."""
+    path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -69,32 +76,13 @@ def with_group_stats(df: DataFrame, by: list[str], aggs: list[Column], spread: l
     return rows.join(side, cond, "inner").drop("_salt", "_gsalt", *[f"_g_{c}" for c in by])
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table of short keys has at most ``rows`` rows.  Reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def flag_members(df: DataFrame, key: str, members: DataFrame, flag: str, spread: list[str], fan: int = 8,
-                 small: int = BROADCAST_ROWS) -> DataFrame:
+def flag_members(df: DataFrame, key: str, members: DataFrame, flag: str) -> DataFrame:
     """Mark the rows whose ``key`` occurs in the one-column ``members``.
 
-    ``members`` is broadcast only after a check of its row count.  Beyond it the join shuffles, and the salt splits any key
-    over ``fan`` tasks (members are copied ``fan`` times, rows are not).
+    A plain join: the session's size threshold decides on a broadcast, and adaptive execution splits a hot key's rows.
     """
-    name = members.columns[0]
-    side = members.select(F.col(name).alias("_m")).distinct()
-    if is_small(side, small):
-        return df.join(F.broadcast(side), df[key] == side["_m"], "left").withColumn(flag, F.col("_m").isNotNull()).drop("_m")
-    side = side.withColumn("_ms", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(fan)).cast("int"))
-    return (rows.join(side, (rows[key] == side["_m"]) & (rows["_salt"] == side["_ms"]), "left")
-            .withColumn(flag, F.col("_m").isNotNull()).drop("_m", "_ms", "_salt"))
-
-
-def without_rows(df: DataFrame, keys: DataFrame, on: list[str], small: int = BROADCAST_ROWS) -> DataFrame:
-    """Anti join by a unique row key.  Few keys go to the rows (checked), so wide rows are not shuffled; many are joined."""
-    keys = cut(keys)
-    return df.join(F.broadcast(keys) if is_small(keys, small) else keys, on, "left_anti")
+    side = members.select(F.col(members.columns[0]).alias("_m")).distinct()
+    return df.join(side, df[key] == side["_m"], "left").withColumn(flag, F.col("_m").isNotNull()).drop("_m")
 
 
 def positions(df: DataFrame, order: list, name: str = "pos") -> DataFrame:

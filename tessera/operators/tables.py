@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scale import top_k
+from .scale import cut, running_total, top_k
 
 
 def totals(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -27,10 +27,12 @@ def clean_rows(df: DataFrame, value: str, limit: float) -> DataFrame:
 
 
 def ordered_totals(df: DataFrame, category: str, order: list[str], value: str) -> DataFrame:
-    """Total and share per category with the declared position of the category (categories not declared are left out)."""
-    per = df.filter(F.col(category).isin(*order)).groupBy(category).agg(F.sum(value).alias("total"))
-    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col(category)).cast("int")
-    return per.withColumn("position", place).withColumn("share", F.col("total") / F.sum("total").over(W.partitionBy())).orderBy("position")
+    """Total and share per category with the declared position of the category; those not declared follow, by name, without a position."""
+    per = df.groupBy(category).agg(F.sum(value).alias("total"))
+    everything = df.agg(F.sum(value).alias("_all"))
+    place = F.nullif(F.array_position(F.array(*[F.lit(c) for c in order]), F.col(category)).cast("int"), F.lit(0))
+    return (per.crossJoin(F.broadcast(everything)).withColumn("position", place).withColumn("share", F.col("total") / F.col("_all")).drop("_all")  # one-row side
+            .orderBy(F.col("position").asc_nulls_last(), category))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -79,10 +81,30 @@ def stratified_rates(df: DataFrame, stratum: str, group: str, event: Column) ->
             .withColumn("stratum", F.when(F.col("_g") == 1, "pooled").otherwise(F.col("stratum"))).drop("_g"))
 
 
-def winsorise(df: DataFrame, col: str, low: float, high: float, accuracy: int = 100000) -> DataFrame:
-    """Values clipped to two quantiles, from a mergeable sketch in one pass."""
-    q = df.agg(F.percentile_approx(col, [low, high], accuracy).alias("_q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(col, F.greatest(F.least(F.col(col), F.col("_q")[1]), F.col("_q")[0])).drop("_q")  # one-row side
+def exact_quantiles(df: DataFrame, col: str, shares: list[float]) -> DataFrame:
+    """One row with the array ``_q`` of exact quantiles: of each share the smallest value that at least that part of the rows does not exceed.
+
+    Values are counted first, so copies are combined map-side; ranks come from running totals over the distinct values.
+    """
+    counts = cut(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    placed = running_total(counts, [F.col("v")], {"upto": F.col("n")})
+    total = counts.agg(F.sum("n").alias("_all"))
+    rank = lambda q: F.greatest(F.lit(1), F.ceil(F.col("_all") * q))
+    return placed.crossJoin(F.broadcast(total)).agg(F.array(*[F.min(F.when(F.col("upto") >= rank(q), F.col("v"))) for q in shares]).alias("_q"))  # one-row side
+
+
+def winsorise(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
+    """Values clipped to two exact quantiles; null stays null."""
+    return _clipped(df, col, exact_quantiles(df, col, [low, high]))
+
+
+def winsorise_approximately(df: DataFrame, col: str, low: float, high: float, accuracy: int = 100_000) -> DataFrame:
+    """Values clipped to two quantiles of a mergeable sketch, in one pass; ranks are off by 1 / ``accuracy`` of the rows at most."""
+    return _clipped(df, col, df.agg(F.percentile_approx(col, [low, high], accuracy).alias("_q")))
+
+
+def _clipped(df: DataFrame, col: str, q: DataFrame) -> DataFrame:
+    return df.crossJoin(F.broadcast(q)).withColumn(col, F.when(F.col(col).isNotNull(), F.greatest(F.least(F.col(col), F.col("_q")[1]), F.col("_q")[0]))).drop("_q")  # one-row side
 
 
 def logistic_regression(df: DataFrame, label: str, covariates: list[str], max_iter: int = 50) -> DataFrame:

@@ -321,8 +321,10 @@ def _(t):
     return a.join(b, "doc_id").select("doc_id", turn(F.col("messages"), 1).alias("sa1b"), turn(F.col("m2"), 1).alias("pixelprose"), ok.alias("known_prompt"))
 
 
-@query("recipe_coco_detection", "recipes", """SELECT o_orderkey AS image_id, 'Task: Object Detection' AS query, a.n_name || ',' || b.n_name AS ref FROM orders JOIN nation a ON a.n_nationkey = o_custkey % 25 JOIN nation b ON b.n_nationkey = o_orderkey % 25""")
+@query("recipe_coco_detection", "recipes", """SELECT o_orderkey AS image_id, o_orderstatus AS status, 'Task: Object Detection' AS query,
+  CASE o_orderkey % 10 WHEN 3 THEN '' ELSE a.n_name || ',' || coalesce(b.n_name, '?') END AS ref FROM orders LEFT JOIN nation a ON a.n_nationkey = o_custkey % 25 LEFT JOIN nation b ON b.n_nationkey = o_orderkey % 30""")
 def _(t):
-    pics = t.orders.select(F.col("o_orderkey").alias("image_id"), F.array(F.col("o_custkey") % 25, F.col("o_orderkey") % 25).alias("category_ids"))
+    pics = t.orders.select(F.col("o_orderkey").alias("image_id"), F.col("o_orderstatus").alias("status"),
+                         F.expr("CASE WHEN o_orderkey % 10 = 3 THEN array() ELSE array(o_custkey % 25, o_orderkey % 30) END").alias("category_ids"))  # some without boxes, some unknown
     cats = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return P.coco_detection(pics, cats).select("image_id", "query", F.array_join("ref", ",").alias("ref"))
+    return P.coco_detection(pics, cats).select("image_id", "status", "query", F.array_join("ref", ",", "?").alias("ref"))

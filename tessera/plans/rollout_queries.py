@@ -241,7 +241,19 @@ def _(t):
    FROM w JOIN nodes n ON n.tree_id = w.tree_id AND n.parent_id = w.node_id)
   SELECT tree_id, node_id, correct, depth, round(so / depth, 6) AS mean_outcome, mo AS min_outcome, round(sp / depth, 6) AS mean_process, mp AS min_process FROM w WHERE terminated""")
 def _(t):
-    out = R.tree_path_scores(select(t.documents, **TREE), 40)
+    out = R.tree_path_scores(select(t.documents, **TREE))
+    return out.select("tree_id", "node_id", "correct", "depth", r6("mean_outcome"), "min_outcome", r6("mean_process"), "min_process")
+
+
+CHAIN = {**TREE, "tree_id": "CAST(floor(doc_id / 150) AS BIGINT)", "node_id": "doc_id", "parent_id": "CASE WHEN doc_id % 150 = 0 THEN NULL ELSE doc_id - 1 END"}
+
+
+@query("tree_path_chain", "A19", "WITH nodes AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in CHAIN.items()) + """ FROM documents),
+  w AS (SELECT *, count(*) OVER p AS depth, avg(outcome_reward) OVER p AS so, min(outcome_reward) OVER p AS mo, avg(process_reward) OVER p AS sp, min(process_reward) OVER p AS mp
+    FROM nodes WINDOW p AS (PARTITION BY tree_id ORDER BY node_id))
+  SELECT tree_id, node_id, correct, CAST(depth AS INT) AS depth, round(so, 6) AS mean_outcome, mo AS min_outcome, round(sp, 6) AS mean_process, mp AS min_process FROM w WHERE terminated""")
+def _(t):
+    out = R.tree_path_scores(select(t.documents, **CHAIN))
     return out.select("tree_id", "node_id", "correct", "depth", r6("mean_outcome"), "min_outcome", r6("mean_process"), "min_process")
 
 

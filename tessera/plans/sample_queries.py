@@ -49,8 +49,8 @@ def _(t):
                      t.benchmark.select(F.col("item_id").alias("id"), "text")])
 
 
-PROB = {"en": 0.5, "de": 0.3, "fr": 0.2}
-MIX = f"""pr AS (SELECT * FROM (VALUES ('en', 0.5::DOUBLE), ('de', 0.3::DOUBLE), ('fr', 0.2::DOUBLE)) v(lang, p)),
+PROB = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
+MIX = f"""pr AS (SELECT * FROM (VALUES ('en', 0.4::DOUBLE), ('de', 0.3::DOUBLE), ('fr', 0.2::DOUBLE), ('es', 0.1::DOUBLE)) v(lang, p)),
   k AS (SELECT lang, doc_id, p, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1
     + ('0x' || substr({hx(7, 'lang', 'doc_id')}, 1, 8))::BIGINT / 4294967296.0::DOUBLE) / p AS mix_key FROM documents JOIN pr USING (lang)),
   e AS (SELECT lang, max(mix_key) AS last, count(*) AS n, any_value(p) AS p FROM k GROUP BY lang)"""

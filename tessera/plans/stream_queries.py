@@ -68,7 +68,7 @@ def _(t):
     return bins.agg(F.sum("n").alias("n_rows"), F.sum("total").alias("tokens"), (F.max("total") <= 4096).alias("all_fit"))
 
 
-@query("resumable_sink", "X6 J3", "SELECT doc_id, n_chars * 2 AS doubled, CASE WHEN doc_id % 3 = 0 THEN 'first' ELSE 'second' END AS run FROM documents")
+@query("resumable_sink", "X6 J3", "SELECT doc_id, n_chars * 2 AS doubled, CASE WHEN doc_id % 3 = 0 THEN 'first' WHEN doc_id % 3 = 1 THEN 'second' ELSE 'third' END AS run FROM documents")
 def _(t):
     path = scratch(t, "x6")
 
@@ -77,5 +77,8 @@ def _(t):
 
     d = t.documents.select("doc_id", "n_chars")
     S.resumable_sink(f"{path}/out", "doc_id", work("first"))(d.filter("doc_id % 3 = 0"), 0)
-    S.resumable_sink(f"{path}/out", "doc_id", work("second"))(d, 1)
-    return S.read_batches(t.spark, f"{path}/out").drop("batch")
+    second = S.resumable_sink(f"{path}/out", "doc_id", work("second"))  # a run of its own: its batches begin at 0 again
+    second(d.filter("doc_id % 3 < 2"), 0)
+    second(d.filter("doc_id % 3 < 2"), 0)  # the same batch again, as after a restart
+    S.resumable_sink(f"{path}/out", "doc_id", work("third"))(d, 0)
+    return S.read_runs(t.spark, f"{path}/out").drop("batch", "run_id")

@@ -11,6 +11,7 @@ from ..operators import audit as A
 from ..operators import normalize as N
 from ..operators import retrieve as X
 from ..operators import tables as W
+from ..operators.scale import shared_folder
 from ..sources import io
 from .derived import CORPUS_CTE, ROLLOUT_CTE, corpus, rollouts, select
 from .registry import query
@@ -22,10 +23,7 @@ def r6(df, *keep):
 
 def scratch(t, name):
     """A new folder under the cluster's shared folder (a private one only where none is named)."""
-    from ..operators.scale import checkpoint_dir
-    checkpoint_dir(t.spark)
-    root = t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- sources and sinks: written, read back, compared
@@ -133,8 +131,8 @@ def _(t):
     return W.totals(W.clean_rows(rows, "v", 200000.0), "v").select("count", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
 
 
-@query("ordered_totals", "W4", """WITH s AS (SELECT o_orderpriority AS p, sum(o_totalprice) AS total FROM orders WHERE o_orderpriority IN ('5-LOW', '1-URGENT', '3-MEDIUM') GROUP BY 1)
-  SELECT p AS o_orderpriority, round(total, 4) AS total, CASE p WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS position, round(total / sum(total) OVER (), 6) AS share FROM s""")
+@query("ordered_totals", "W4", """WITH s AS (SELECT o_orderpriority AS p, sum(o_totalprice) AS total FROM orders GROUP BY 1)
+  SELECT p AS o_orderpriority, round(total, 4) AS total, CASE p WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS position, round(total / sum(total) OVER (), 6) AS share FROM s""")
 def _(t):
     return W.ordered_totals(t.orders, "o_orderpriority", ["5-LOW", "1-URGENT", "3-MEDIUM"], "o_totalprice").select("o_orderpriority", F.round("total", 4).alias("total"), "position", F.round("share", 6).alias("share"))
 
@@ -179,7 +177,7 @@ def _(t):
 
 @query("winsorise", "W9", "WITH q AS (SELECT quantile_disc(o_totalprice, 0.05) AS a, quantile_disc(o_totalprice, 0.95) AS b FROM orders) SELECT o_orderkey, greatest(least(o_totalprice, b), a) AS o_totalprice FROM orders, q")
 def _(t):
-    return W.winsorise(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 0.05, 0.95, 10000000)
+    return W.winsorise(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 0.05, 0.95)
 
 
 @query("logistic_regression", "W10")

@@ -6,6 +6,7 @@ for metrics, and micro-batches whose outputs are folders named by the batch id,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -77,6 +78,10 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/run_id=*/batch=*").withColumn("run_id", F.col("run_id").cast("string"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -124,14 +129,20 @@ def resume(df: DataFrame, finished: DataFrame | None, key: str) -> DataFrame:
     return df if finished is None else df.join(finished.select(key), key, "left_anti")
 
 
-def resumable_sink(path: str, key: str, transform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Processes only keys that no earlier batch or run has written."""
+def resumable_sink(path: str, key: str, transform: Callable[[DataFrame], DataFrame], run: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Processes only keys that no other batch or run has written.
+
+    Folders are named by run and batch, so a run that counts its batches from 0 again touches nothing of the runs before; a batch that is repeated
+    in its own run is written again.  ``run`` names the run; by default each sink is one of its own.
+    """
+    run = run or uuid.uuid4().hex
+
     def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         done = None
         if _exists(spark, path):
-            done = read_batches(spark, path).filter(F.col("batch") != batch)
-        transform(resume(df, done, key)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            done = read_runs(spark, path).filter((F.col("run_id") != run) | (F.col("batch") != batch))
+        transform(resume(df, done, key)).write.mode("overwrite").parquet(f"{path}/run_id={run}/batch={batch}")
     return write
 
 
