@@ -148,10 +148,12 @@ def test_yes_no(spark, text, want):
 
 
 def test_span_scores(spark):
-    data = [(["5.2"], "million", ["5.2"], "million", "arithmetic"), (["red house"], "", ["the red house"], "", "span"), (["a"], "", ["b"], "", "span"), (["12.5%"], "", ["12.5"], "percent", "arithmetic"), ([], "", ["x"], "", "span")]
+    data = [(["5.2"], "million", ["5.2"], "million", "arithmetic"), (["red house"], "", ["the red house"], "", "span"), (["a"], "", ["b"], "", "span"), (["12.5%"], "", ["12.5"], "percent", "arithmetic"), ([], "", ["x"], "", "span"),
+            (["red and blue"], "", ["red", "blue"], "", "multi-span"), (["b; a | c"], "", ["a", "b", "c"], "", "multi-span"), (["1,200 and x"], "", ["x", "1200"], "", "multi-span"), (["3.0"], "", ["3"], "", "count"),
+            (["$(134)"], "", ["-134"], "", "span"), (["2 million"], "", ["2000000"], "", "arithmetic"), (["a cat sat"], "", ["cat ran"], "", "span")]
     d = spark.createDataFrame(data, "p array<string>, ps string, g array<string>, gs string, k string")
     got = [tuple(r.s) for r in d.select(E.span_scores("p", "ps", "g", "gs", "k").alias("s")).collect()]
-    assert got == [(1, 1), (1, 1), (0, 0), (1, 1), (0, 0)]
+    assert got == [(1, 1), (1, 1), (0, 0), (1, 1), (0, 0), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (0, .5)]
 
 
 def test_bleu_and_rouge(spark):
