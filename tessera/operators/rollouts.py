@@ -6,8 +6,11 @@ work on parallel arrays.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from .sample import hash_rank, seeded_hash
@@ -58,29 +61,70 @@ def rloo_advantage(df: DataFrame, uid: str, sample: str, score: str, **kw) -> Da
             .drop("_rows", "_mean", "_std"))
 
 
-def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
-    """Returns from the end to the start; the running value is dropped behind a masked token."""
-    steps = F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m")))
-    start = F.struct(F.lit(0.0).alias("run"), F.array().cast(FLOATS).alias("out"))
+def _backward(lengths: np.ndarray, step) -> None:
+    """Call ``step(places, rows)`` for the last tokens of all rows, then those before them, and so on.
+
+    Rows are taken longest first, so the rows that still have a token are a prefix; the work is the number of tokens, in one array step for each
+    token of the longest row.  ``rows`` counts in that order.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    ends = np.cumsum(lengths)[order]
+    open_ = len(order) - np.searchsorted(np.sort(lengths), np.arange(int(lengths.max(initial=0))), "right")
+    for back, n in enumerate(open_):
+        step(ends[:n] - 1 - back, n)
 
-    def step(acc, x):
-        ret = x["r"].cast("double") + F.lit(float(gamma)) * acc["run"]
-        return F.struct((ret * x["m"]).alias("run"), F.concat(F.array(ret), acc["out"]).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+def _tokens(*lists: pd.Series) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Which rows are whole, their lengths, and the tokens of each list on end; a shorter list is filled up with NaN."""
+    good = np.logical_and.reduce([x.notna().to_numpy() for x in lists])
+    rows = [x[good] for x in lists]
+    lengths = np.array([max(map(len, r)) for r in zip(*rows)], np.int64)
+    filled = [[np.asarray(x, float) if len(x) == n else np.concatenate((np.asarray(x, float), np.full(n - len(x), np.nan))) for x, n in zip(r, lengths)] for r in rows]
+    return good, lengths, [np.concatenate(r) if r else np.zeros(0) for r in filled]
 
 
-def gae_advantages(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantages before whitening."""
-    following = F.concat(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
-    steps = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), following.alias("nv")))
-    start = F.struct(F.lit(0.0).alias("run"), F.array().cast(FLOATS).alias("out"))
+def _as_lists(good: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> pd.Series:
+    out = np.full(len(good), None, object)
+    for at, part in zip(np.flatnonzero(good), np.split(values, np.cumsum(lengths)[:-1]) if len(lengths) else []):
+        out[at] = part
+    return pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _returns(rewards: pd.Series, mask: pd.Series, gamma: pd.Series) -> pd.Series:
+    good, lengths, (r, m) = _tokens(rewards, mask)
+    out, run, g = np.zeros(len(r)), np.zeros(len(lengths)), float(gamma.iloc[0])
+
+    def step(at, n):
+        out[at] = r[at] + g * run[:n]
+        run[:n] = out[at] * m[at]
+
+    _backward(lengths, step)
+    return _as_lists(good, lengths, out)
 
-    def step(acc, x):
-        run = x["r"] + F.lit(float(gamma)) * x["nv"] - x["v"] + F.lit(float(gamma * lam)) * acc["run"]
-        return F.struct(run.alias("run"), F.concat(F.array(run), acc["out"]).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+@F.pandas_udf(ArrayType(DoubleType()))
+def _gae(rewards: pd.Series, values: pd.Series, gamma: pd.Series, lam: pd.Series) -> pd.Series:
+    good, lengths, (r, v) = _tokens(rewards, values)
+    out, run, after = np.zeros(len(r)), np.zeros(len(lengths)), np.zeros(len(lengths))
+    g, keep = float(gamma.iloc[0]), float(gamma.iloc[0] * lam.iloc[0])
+
+    def step(at, n):
+        out[at] = run[:n] = r[at] + g * after[:n] - v[at] + keep * run[:n]
+        after[:n] = v[at]
+
+    _backward(lengths, step)
+    return _as_lists(good, lengths, out)
+
+
+def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
+    """Returns from the end to the start; the running value is dropped behind a masked token.  Linear in the number of tokens."""
+    return _returns(rewards.cast(FLOATS), mask.cast(FLOATS), F.lit(float(gamma)))
+
+
+def gae_advantages(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
+    """Generalised advantages before whitening.  Linear in the number of tokens."""
+    return _gae(rewards.cast(FLOATS), values.cast(FLOATS), F.lit(float(gamma)), F.lit(float(lam)))
 
 
 def masked_stats(df: DataFrame, values: str, mask: str) -> DataFrame:

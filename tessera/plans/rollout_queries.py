@@ -221,6 +221,25 @@ def _(t):
     return out.select("uid", "chosen", "rejected", r6("score"), "rank")
 
 
+LONG = """WITH RECURSIVE l AS (SELECT l_suppkey AS uid, l_discount * 10 AS r, l_tax * 5 AS v, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE 1 END AS m,
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_quantity DESC) AS back FROM lineitem),
+  w AS (SELECT uid, back, m, v, r AS ret, r - v AS adv FROM l WHERE back = 1
+    UNION ALL SELECT l.uid, l.back, l.m, l.v, l.r + 0.9 * w.ret * w.m, l.r + 0.9 * w.v - l.v + 0.9 * 0.8 * w.adv FROM l JOIN w ON l.uid = w.uid AND l.back = w.back + 1)
+  SELECT uid, count(*) AS n, round(sum(ret), 4) AS returns, round(sum(ret * back) / count(*), 4) AS weighted, round(sum(adv), 4) AS advantages, round(sum(adv * back) / count(*), 4) AS weighted_advantages FROM w GROUP BY uid"""
+
+
+@query("long_token_recursions", "A4 A5", LONG)
+def _(t):
+    rows = t.lineitem.select(F.col("l_suppkey").alias("uid"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_discount") * 10).alias("r"), (F.col("l_tax") * 5).alias("v"),
+                                                                       F.when(F.col("l_linenumber") % 5 == 0, 0).otherwise(1).alias("m")).alias("x"))
+    lists = rows.groupBy("uid").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a supplier's lines, as one long response
+    out = lists.select("uid", F.col("x.r").alias("r"), R.discounted_returns(F.col("x.r"), F.col("x.m"), 0.9).alias("ret"), R.gae_advantages(F.col("x.r"), F.col("x.v"), 0.9, 0.8).alias("adv"))
+    both = out.select("uid", F.posexplode(F.arrays_zip("ret", "adv")).alias("at", "y"), F.size("r").alias("n"))
+    back = F.col("n") - F.col("at")
+    return both.groupBy("uid").agg(F.count("*").alias("n"), F.round(F.sum("y.ret"), 4).alias("returns"), F.round(F.sum(F.col("y.ret") * back) / F.count("*"), 4).alias("weighted"),
+                                   F.round(F.sum("y.adv"), 4).alias("advantages"), F.round(F.sum(F.col("y.adv") * back) / F.count("*"), 4).alias("weighted_advantages"))
+
+
 TREE = dict(tree_id="doc_id % 20", node_id="CAST(floor(doc_id / 20) AS BIGINT)",
             parent_id="CASE WHEN doc_id < 20 THEN NULL ELSE CAST(floor((floor(doc_id / 20) - 1) / 2) AS BIGINT) END",
             outcome_reward="(n_chars % 10) / 10E0", process_reward="(n_chars % 7) / 10E0", step_text="lang",
