@@ -289,8 +289,11 @@ def record_errors(max_kinds: bool = True) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in kinds]))
 
 
-def audit_corpus(df: DataFrame, max_length: int, expected: int | None = None) -> DataFrame:
-    """The whole report as (section, item, value) rows, all from one stored projection of the check columns."""
+def audit_corpus(df: DataFrame, max_length: int, expected: int | None = None, sequences: int | None = None) -> DataFrame:
+    """The whole report as (section, item, value) rows, all from one stored projection of the check columns.
+
+    ``sequences`` keeps that many of the most frequent tag sequences; by default all are reported.
+    """
     m = F.col("messages")
     # rows that pass the shape tests carry the content checks; the stored rows hold no text
     slim = cut(df.select("source", "row_id", "id", "input_tokens", "output_tokens", "total_tokens",
@@ -316,8 +319,10 @@ def audit_corpus(df: DataFrame, max_length: int, expected: int | None = None) ->
            good.groupBy("digest").agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.sum("extra").cast("double").alias("value"))
            .withColumn("item", F.lit("duplicate_conversations")).withColumn("section", F.lit("content"))]
     label = F.when(F.size("seq") == 0, "<none>").otherwise(F.array_join("seq", "->"))
-    out.append(good.groupBy(label.alias("item")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-               .orderBy(F.desc("value"), "item").limit(20).withColumn("section", F.lit("tag_sequence")))
+    counts = good.groupBy(label.alias("item")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    if sequences is not None:
+        counts = counts.orderBy(F.desc("value"), "item").limit(sequences)
+    out.append(counts.withColumn("section", F.lit("tag_sequence")))
     lengths = length_distribution(good, ["input_tokens", "output_tokens", "total_tokens", "user_chars", "assistant_chars"])
     stats = ["count", "min", "p50", "p90", "p95", "p99", "max", "mean"]
     out.append(lengths.select("field", *[F.col(c).cast("double").alias(c) for c in stats])

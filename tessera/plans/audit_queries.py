@@ -56,7 +56,7 @@ def _(t):
        f"WITH {CHECKED_CTE} SELECT CASE WHEN len(seq) = 0 THEN '<none>' ELSE array_to_string(seq, '->') END AS sequence, "
        "count(*) AS n FROM checked GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
 def _(t):
-    return A.tag_sequence_histogram(corpus(t), "answer")
+    return A.tag_sequence_histogram(corpus(t), "answer", n=20)
 
 
 @query("tag_presence", "Q4", f"WITH {CHECKED_CTE} " + " UNION ALL ".join(
@@ -215,7 +215,7 @@ def _(t):
   UNION ALL SELECT * FROM (SELECT 'tag_sequence', CASE WHEN len(seq) = 0 THEN '<none>' ELSE array_to_string(seq, '->') END AS x, count(*) AS c
     FROM good GROUP BY x ORDER BY c DESC, x LIMIT 20)""")
 def _(t):
-    return A.audit_corpus(corpus(t), 2000)
+    return A.audit_corpus(corpus(t), 2000, sequences=20)
 
 
 CODE = dict(problem_id="doc_id", response="CASE doc_id % 7 WHEN 0 THEN text WHEN 1 THEN '```python' || chr(10) || 'import Subprocess' || chr(10) || '```' || text "

@@ -53,7 +53,7 @@ GROUP_CTE = "g AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in GROUP.items())
 def _(t):
     path = scratch(t, "x4")
     groups = S.stream_complete_groups(select(stream_of(t, "events"), **GROUP), "uid", "sample", "reward", 4)
-    S.run(groups, f"{path}/ck", S.group_collector(f"{path}/out", 1000))
+    S.run(groups, f"{path}/ck", S.group_collector(f"{path}/out"))
     return S.collected_groups(t.spark, f"{path}/out", 1000).select("uid", "sample", "reward")
 
 

@@ -106,13 +106,18 @@ def dataset_manifest(df: DataFrame, outcome: str, digest: Column, kept: str = "k
                               F.coalesce(F.sum(F.when(keep, piece)), F.lit(0)).alias("content_digest"))
 
 
-def preview_page(df: DataFrame, order: list[str], page: int, page_size: int, max_cols: int = 30, max_chars: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(page of cells as text, totals).  Page and size are clamped; long text is cut and missing cells are ''."""
-    size = min(max(int(page_size), 1), 200)
+def preview_page(df: DataFrame, order: list[str], page: int, page_size: int, max_cols: int | None = 30, max_chars: int | None = 500,
+                 max_size: int | None = 200) -> tuple[DataFrame, DataFrame]:
+    """(page of cells as text, totals).  A preview for people: page and size are clamped, long text is cut and missing cells are ''.
+
+    Each limit is a parameter, None for no limit.  The totals tell how many rows and columns there are in all.
+    """
+    size = max(int(page_size), 1) if max_size is None else min(max(int(page_size), 1), max_size)
     rows = df.count()
     pages = max((rows + size - 1) // size, 1)
     at = min(max(int(page), 1), pages)
-    cells = [F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, max_chars).alias(c) for c in df.columns[:max_cols]]
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns[:max_cols]]
+    cells = [(x if max_chars is None else F.substring(x, 1, max_chars)).alias(c) for x, c in zip(cells, df.columns)]
     view = df.orderBy(*order).offset((at - 1) * size).limit(size).select(*cells)
     totals = df.sparkSession.createDataFrame([(rows, len(df.columns), pages, at)], "total_rows long, total_columns int, total_pages long, page long")
     return view, totals

@@ -87,21 +87,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def group_collector(path: str, target_rows: int) -> Callable[[DataFrame, int], None]:
-    """Stages complete groups until ``target_rows`` rows of earlier batches are there; later batches stay empty."""
+def group_collector(path: str) -> Callable[[DataFrame, int], None]:
+    """Stages the complete groups of every batch; how many are used is decided when they are read."""
     def write(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        have = 0
-        if batch and _exists(spark, path):
-            have = read_batches(spark, path).filter(F.col("batch") < batch).count()
-        rows = df if have < target_rows else df.limit(0)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return write
 
 
 def collected_groups(spark: SparkSession, path: str, target_rows: int) -> DataFrame:
-    """The first ``target_rows`` staged rows in (batch, uid, sample) order."""
-    return read_batches(spark, path).orderBy("batch", "uid", "sample").limit(target_rows)
+    """The first ``target_rows`` staged rows by (uid, sample), whatever batches they came in."""
+    return read_batches(spark, path).orderBy("uid", "sample").limit(target_rows)
 
 
 def packer(out: str, open_bins: str, key: str, length: str, max_len: int, shards: int) -> Callable[[DataFrame, int], None]:
