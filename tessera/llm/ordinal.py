@@ -20,7 +20,7 @@ from . import words as W
 
 BITS = 20
 SLOTS = 1 << BITS
-MAX_RATED = 20_000  # rated rows that are fitted on, about; more are thinned evenly by the hash of their key
+MAX_RATED = 10_000  # rated rows that are fitted on, about; more are thinned evenly by the hash of their key
 MIN_ROWS = 3  # rows in which a feature must be present
 MIN_Z = 3.0  # how clearly a feature must shift the mean rating, in standard errors
 PENALTY = 2e-4
@@ -79,10 +79,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def fit(rows: np.ndarray, slots: np.ndarray, grades: np.ndarray, n_grades: int) -> Model:
+def fit(parts: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> Model:
     """Penalised maximum likelihood over features that shift the rating clearly, by gradient steps with momentum and scaling.
 
-    ``rows`` and ``slots`` list the present features.  Thresholds start at the smoothed shares of the grades and stay ordered.
+    ``parts`` list, for some rows after the others, how many features each row has and the slots of all.  Thresholds start at the smoothed shares of the grades and stay ordered.
     """
     n = len(grades)
     share = (np.bincount(grades, minlength=n_grades) + 0.5) / (n + 0.5 * n_grades)
@@ -91,14 +91,23 @@ def fit(rows: np.ndarray, slots: np.ndarray, grades: np.ndarray, n_grades: int)
     weights = np.zeros(SLOTS)
     if not n:
         return Model(weights, thresholds)
-    seen = np.bincount(slots, minlength=SLOTS)
-    shift = np.bincount(slots, (grades - grades.mean())[rows], minlength=SLOTS)
+    seen, shift, at = np.zeros(SLOTS), np.zeros(SLOTS), 0
+    off = grades - grades.mean()
+    for lengths, slots in parts:
+        seen += np.bincount(slots, minlength=SLOTS)
+        shift += np.bincount(slots, np.repeat(off[at:at + len(lengths)], lengths), minlength=SLOTS)
+        at += len(lengths)
     z = shift / np.sqrt(np.maximum(seen, 1)) / max(grades.std(), 1e-9)
     use = np.flatnonzero((seen >= MIN_ROWS) & (np.abs(z) >= MIN_Z))
     place = np.full(SLOTS, -1)
     place[use] = np.arange(len(use))
-    kept = place[slots] >= 0
-    rows, cols = rows[kept], place[slots[kept]]
+    rows, cols, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for lengths, slots in parts:
+        kept = place[slots] >= 0
+        rows.append(np.repeat(np.arange(at, at + len(lengths)), lengths)[kept])
+        cols.append(place[slots[kept]])
+        at += len(lengths)
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
     gaps = np.log(np.diff(thresholds))  # thresholds are the first and positive gaps
     value = np.concatenate((np.zeros(len(use)), thresholds[:1], gaps))
     speed, spread = np.zeros_like(value), np.zeros_like(value)
@@ -142,13 +151,8 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, key: str = "doc_id
                 yield pa.RecordBatch.from_arrays([W.list_array(slots.astype(np.int32), lengths, pa.int32()), batch.column(1).slice(low, high - low)], ["slots", "grade"])
 
     got = rows.mapInArrow(hash_features, "slots array<int>, grade int").toArrow()
-    lists = got["slots"].combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    lengths = np.asarray(lists.value_lengths().fill_null(0)) if len(lists) else np.zeros(0, np.int64)
-    slots = np.asarray(lists.flatten()).astype(np.int64)
-    grades = np.asarray(got["grade"].to_numpy(), np.int64)
-    return fit(np.repeat(np.arange(len(grades)), lengths), slots, grades, n_grades)
+    parts = [(x.value_lengths().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)) for x in got["slots"].chunks]
+    return fit(parts, got["grade"].to_numpy().astype(np.int64), n_grades)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

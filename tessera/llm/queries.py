@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linejoin, mixing, multiset_hash, ordinal, secret_scan, simhash, superkmers, token_counts, warc
+from . import decontaminate, linejoin, mixing, multiset_hash, oracles, ordinal, secret_scan, simhash, superkmers, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,13 +35,13 @@ def op9_simhash_classes(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-@query
+@with_sql(oracles.REPEATED_PASSAGES)
 def op8_repeated_passages(spark, sf_dir):
     kept = superkmers.remove_repeats(table(spark, sf_dir, "documents"), width=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query
+@with_sql(oracles.BENCHMARK_HITS)
 def op3_benchmark_hits(spark, sf_dir):
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -89,7 +89,7 @@ def op6_source_mix(spark, sf_dir):
 @query
 def op4_quality_grades(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = ordinal.train(docs, labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade")), n_grades=3, max_rated=20_000)
+    model = ordinal.train(docs, labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade")), n_grades=3, max_rated=10_000)
     graded = ordinal.score(docs.select("doc_id", "text"), model)
     good = F.get("p_at_least", F.lit(1))
     return graded.select("doc_id", "expected_grade", F.get("p_at_least", F.lit(0)).alias("p_not_toxic"), good.alias("p_good"), (good >= 0.5).alias("keep"))
