@@ -3,9 +3,10 @@
 A line is the set of its words, A-Z in lower case.  Words are ordered from rare to frequent, the same way everywhere.  Two sets of Jaccard similarity t
 or more share a word among the first n - ceil(t n) + 1 of either, so only those prefixes are sent out, each word to its bucket.  There, sets with a
 word in common are paired if their sizes allow the similarity (length filter) and if, with this as their first common word, enough words follow in both
-(positional filter).  Pairs are verified on the whole sets.
+(positional filter).  A set's name holds, for each of 64 classes of words, whether it has an odd number of them; two sets differ in at least as many words
+as names differ in classes, which rules out most pairs that are not similar.  Those left are verified on the whole sets.
 
-Equal sets are one from the start: they are named by sums of word hashes, combined before each shuffle, and only their first line stays.  Sets too small
+Equal sets are one from the start: they are named by a sum of word hashes and the odd classes, combined before each shuffle, and only their first line stays.  Sets too small
 to be similar to any other set are not sent at all.
 """
 
@@ -23,12 +24,13 @@ from pyspark.sql import types as T
 
 from . import marks, rarity
 from . import words as W
-from .store import store
+from .store import release, store
 
 SIMILARITY = 0.8
 FLUSH = 24 << 20  # bytes of text that a task gathers before it packs
 BUCKET_WORDS = 400_000  # words of the corpus for each bucket
-PAIRS = 1 << 20
+ENOUGH = 2  # partners for each word of a line at first
+BITS = 22  # of the table of word counts: 16 MB, whatever the size of the corpus
 
 
 def _ceil_share(n: np.ndarray, share: Fraction) -> np.ndarray:
@@ -42,7 +44,7 @@ class Lines:
         cuts = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
         found = W.find_words(data, cuts, fold=W.LOWER)
         hashes, line = found.hashes(), found.rows()
-        order = np.lexsort((hashes, counts[rarity.slot(hashes)], line))
+        order = np.lexsort((hashes, counts[rarity.slot(hashes, len(counts).bit_length() - 1)], line))
         hashes, line = hashes[order], line[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -52,8 +54,12 @@ class Lines:
         begin = line[self.first]
         self.row = np.searchsorted(offsets, cuts[begin], "right") - 1
         self.number = begin - np.searchsorted(cuts, offsets[self.row])
-        names = [np.add.reduceat(W.mix(self.words ^ np.uint64(k)), self.first) if len(line) else np.zeros(0, np.uint64) for k in (0x51, 0xA7)]
-        self.k1, self.k2 = names[0].view(np.int64), (names[1] >> np.uint64(32)).astype(np.int64)
+        mixed = W.mix(self.words ^ np.uint64(0x51))
+        if len(line):
+            self.k1 = np.add.reduceat(mixed, self.first).view(np.int64)
+            self.k2 = np.bitwise_xor.reduceat(np.uint64(1) << (self.words & np.uint64(63)), self.first).view(np.int64)
+        else:
+            self.k1 = self.k2 = np.zeros(0, np.int64)
 
     def only(self, keep: np.ndarray) -> None:
         """Keep some of the lines."""
@@ -73,7 +79,9 @@ def _first_of_equals(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     return out
 
 
-_POSTING = np.dtype([("word", np.uint64), ("k1", np.int64), ("k2", np.uint32), ("n", np.uint32), ("place", np.uint32)])
+#: A word of a set's prefix: the set's name and size, the word's place in it, and the first line that has the set, as far as the task has seen.
+_POSTING = np.dtype([("word", np.uint64), ("k1", np.int64), ("k2", np.int64), ("n", np.uint32), ("place", np.uint32), ("late", np.uint8), ("doc", np.int64), ("tag", np.int64), ("line", np.uint32)])
+_ORDER = ("line", "tag", "doc", "late")  # of lexsort: the last counts most
 
 
 def _packer(counts: np.ndarray, share: Fraction, buckets: int):
@@ -84,7 +92,7 @@ def _packer(counts: np.ndarray, share: Fraction, buckets: int):
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held)
             bucket = (W.mix(rows["word"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((rows["k1"], rows["word"], bucket))
+            order = np.lexsort((*(rows[c] for c in _ORDER), rows["k2"], rows["k1"], rows["word"], bucket))
             rows, bucket = rows[order], bucket[order]
             new = np.ones(len(rows), bool)
             new[1:] = (rows["word"][1:] != rows["word"][:-1]) | (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1])
@@ -96,11 +104,12 @@ def _packer(counts: np.ndarray, share: Fraction, buckets: int):
             for a, b in zip(begins, ends):
                 part = rows[a:b]
                 gaps = np.diff(part["word"], prepend=np.uint64(0))
-                packed.append(zstandard.compress(b"".join([gaps.tobytes(), *(np.ascontiguousarray(part[c]).tobytes() for c in ("k1", "k2", "n", "place"))]), 3))
+                packed.append(zstandard.compress(b"".join([gaps.tobytes(), *(np.ascontiguousarray(part[c]).tobytes() for c in _POSTING.names[1:])]), 3))
             return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), pa.array((ends - begins).astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "n", "packed"])
 
         for batch in batches:
-            for _, _, data, offsets in W.chunks(batch.column(0)):
+            late, doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for low, _, data, offsets in W.chunks(batch.column(3)):
                 lines = Lines(data, offsets, counts)
                 # A set of n words is similar to another only if n >= t (n + 1).
                 lines.only((lines.size >= _ceil_share(lines.size + 1, share)) & _first_of_equals(lines.k1, lines.k2))
@@ -111,6 +120,8 @@ def _packer(counts: np.ndarray, share: Fraction, buckets: int):
                 for name, values in (("k1", lines.k1), ("k2", lines.k2), ("n", lines.size)):
                     rows[name] = np.repeat(values, sent)
                 rows["place"] = place
+                row = low + np.repeat(lines.row, sent)
+                rows["late"], rows["doc"], rows["tag"], rows["line"] = late[row], doc[row], tag[row], np.repeat(lines.number, sent)
                 held.append(rows)
                 size += len(data)
                 if size >= FLUSH:
@@ -138,57 +149,71 @@ _PLACE = ["_late", "_doc", "_tag"]
 _PAIR = ["a1", "a2", "b1", "b2"]
 
 
-def _pairer(share: Fraction):
+def _pairer(share: Fraction, enough: int | None, asked: np.ndarray | None):
+    """Pairs of an earlier set a and a later set b.  A set gets its earliest ``enough`` partners for a word, and ``more`` tells that it may have others; None
+    means all.  Where ``asked`` marks names, only those sets look for partners."""
     both = share / (1 + share)
 
     def pair(group: pa.Table) -> pa.Table:
         rows = np.concatenate([_unpack(n, x) for n, x in zip(group["n"].to_pylist(), group["packed"].to_pylist())])
-        order = np.lexsort((rows["k2"], rows["k1"], rows["n"], rows["word"]))
-        rows = rows[order]
+        rows = rows[np.lexsort((*(rows[c] for c in _ORDER), rows["k2"], rows["k1"], rows["word"]))]
         new = np.ones(len(rows), bool)
         new[1:] = (rows["word"][1:] != rows["word"][:-1]) | (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1])
-        rows = rows[new]
-        word, n, place = rows["word"], rows["n"].astype(np.int64), rows["place"].astype(np.int64)
-        out, held = [], 0
-        at, step = np.arange(len(rows)), 0
-        while True:  # each row with the next, the one after, ... of the same word, as long as the sizes allow it
+        rows = rows[new]  # of equal sets the first line
+        rows = rows[np.lexsort((*(rows[c] for c in _ORDER), rows["word"]))]
+        word, n, place, odd = rows["word"], rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["k2"].view(np.uint64)
+        start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        start = np.repeat(start, np.diff(np.append(start, len(word))))
+        have = np.zeros(len(rows), np.int64)
+        later = np.flatnonzero(np.arange(len(rows)) > start)
+        if asked is not None:
+            later = later[marks.bits(asked)[marks.place(rows["k1"][later])]]
+        out, step = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        while len(later):  # each set with the first of its word, the second, ... up to itself
+            earlier = start[later] + step
+            small, large = np.minimum(n[earlier], n[later]), np.maximum(n[earlier], n[later])
+            need = _ceil_share(n[earlier] + n[later], both)
+            near = (small >= _ceil_share(large, share)) & (np.minimum(n[earlier] - place[earlier], n[later] - place[later]) >= need)
+            near &= np.bitwise_count(odd[earlier] ^ odd[later]) <= n[earlier] + n[later] - 2 * need
+            out.append((earlier[near], later[near]))
+            have[later[near]] += 1
             step += 1
-            at = at[at + step < len(rows)]
-            to = at + step
-            ok = (word[at] == word[to]) & (n[at] >= _ceil_share(n[to], share))
-            at, to = at[ok], to[ok]
-            if not len(at):
-                break
-            need = _ceil_share(n[at] + n[to], both)
-            near = np.minimum(n[at] - place[at], n[to] - place[to]) >= need
-            a, b = at[near], to[near]
-            if len(a):
-                out.append(np.stack([rows["k1"][a], rows["k2"][a].astype(np.int64), rows["k1"][b], rows["k2"][b].astype(np.int64)], axis=1))
-                held += len(a)
-                if held > PAIRS:
-                    out = [np.unique(np.concatenate(out), axis=0)]
-                    held = len(out[0])
-        pairs = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        turned = (pairs[:, 0] > pairs[:, 2]) | (pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] > pairs[:, 3])
-        pairs[turned] = pairs[turned][:, [2, 3, 0, 1]]
-        pairs = np.unique(pairs, axis=0)
-        return pa.table({name: pairs[:, i] for i, name in enumerate(_PAIR)})
+            stay = start[later] + step < later
+            if enough is not None:
+                stay &= have[later] < enough
+            later = later[stay]
+        a, b = (np.concatenate(x) for x in zip(*out))
+        more = np.zeros(len(a), bool) if enough is None else have[b] >= enough
+        return pa.table({"a1": rows["k1"][a], "a2": rows["k2"][a], "b1": rows["k1"][b], "b2": rows["k2"][b], "more": more})
 
     return pair
 
 
-def similar_sets(texts: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a1, a2, b1, b2) of the names of different line sets of the one column of ``texts`` whose Jaccard similarity is ``similarity`` or more."""
-    share = Fraction(str(similarity))
-    sent = texts.sparkSession.sparkContext.broadcast(counts)  # fixed size
-    buckets = max(16, int(counts.sum()) // BUCKET_WORDS)
+def candidate_sets(lines: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY, enough: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Pairs (a1, a2, b1, b2, more) of the names of line sets that the filters leave: all similar ones, and a few others.  a is the earlier one.
+
+    ``lines`` has _late, _doc, _tag and text.  ``enough`` stops a set at that many partners for a word and tells by ``more``; ``only``, a column of names
+    k1, restricts the later sets (and lets a few others through).
+    """
+    share, spark = Fraction(str(similarity)), lines.sparkSession
+    sent = spark.sparkContext.broadcast(counts)  # fixed size
+    buckets = max(16, int(counts.sum(dtype=np.int64)) // BUCKET_WORDS)
 
     def pack(batches):
         yield from _packer(sent.value, share, buckets)(batches)
 
-    found = texts.mapInArrow(pack, "bucket long, n int, packed binary").groupBy("bucket").applyInArrow(_pairer(share), ", ".join(f"{c} long" for c in _PAIR))
-    found = store(found.distinct(), "candidates")
-    names = found.select(F.explode(F.array("a1", "b1")).alias("k1"))
+    asked = None if only is None else marks.table_of(only)
+    found = lines.mapInArrow(pack, "bucket long, n int, packed binary").groupBy("bucket").applyInArrow(_pairer(share, enough, asked), ", ".join(f"{c} long" for c in _PAIR) + ", more boolean")
+    found = store(found.groupBy(*_PAIR).agg(F.bool_or("more").alias("more")), "candidates")
+    release(spark)
+    return found
+
+
+def verified(pairs: DataFrame, texts: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (a1, a2, b1, b2) whose whole sets have a Jaccard similarity of ``similarity`` or more."""
+    share = Fraction(str(similarity))
+    sent = texts.sparkSession.sparkContext.broadcast(counts)  # fixed size
+    names = pairs.select(F.explode(F.array("a1", "b1")).alias("k1"))
     wanted = texts.sparkSession.sparkContext.broadcast(marks.table_of(names))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +227,7 @@ def similar_sets(texts: DataFrame, counts: np.ndarray, similarity: float = SIMIL
 
     whole = texts.mapInArrow(sets, "k1 long, k2 long, words array<long>").dropDuplicates(["k1", "k2"])
     a, b = (whole.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("words").alias(f"{x}_words")) for x in "ab")
-    both = found.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     common = F.size(F.array_intersect("a_words", "b_words"))
     union = F.size("a_words") + F.size("b_words") - common
     return both.filter(common * share.denominator >= union * share.numerator).select(*_PAIR)
@@ -225,7 +250,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc
     place_of = (F.col(key).isNull(), F.coalesce(F.col(key).cast("long"), F.lit(0)), tag)
     rows = docs.select("*", *[v.alias(k) for k, v in zip(_PLACE, place_of)])
     slim = rows.filter(F.col(text).isNotNull()).select(*_PLACE, F.col(text).cast("string").alias("text"))
-    counts = rarity.count_words(slim.select("text"), fold=W.LOWER)
+    counts = np.minimum(rarity.count_words(slim.select("text"), fold=W.LOWER, bits=BITS), 0x7FFFFFFF).astype(np.int32)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +263,17 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc
     place = F.struct(*_PLACE, "line")
     firsts = slim.mapInArrow(lines_of, "k1 long, k2 long, _late boolean, _doc long, _tag long, line int").groupBy("k1", "k2").agg(F.min(place).alias("first"))
     firsts = store(firsts, "lines")
-    pairs = similar_sets(slim.select("text"), counts, similarity)
-    a, b = (firsts.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("first").alias(x)) for x in "ab")
-    placed = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-    later = placed.select(F.when(F.col("a") > F.col("b"), F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2"))).otherwise(F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).alias("s"))
-    gone = later.select("s.k1", "s.k2").distinct()
+    release(docs.sparkSession)
+    texts = slim.select("text")
+    # One similar earlier line is enough, so a line is first tried against a few; only where those fail and there may be more, against all.
+    pairs = candidate_sets(slim, counts, similarity, enough=ENOUGH)
+    gone = store(verified(pairs, texts, counts, similarity).select("b1", "b2").distinct(), "gone")
+    left = store(pairs.filter("more").select("b1", "b2").distinct().join(gone, ["b1", "b2"], "left_anti"), "left")
+    if not left.isEmpty():
+        rest = candidate_sets(slim, counts, similarity, only=left.select("b1")).join(left, ["b1", "b2"], "left_semi")
+        gone = store(gone.unionByName(verified(rest, texts, counts, similarity).select("b1", "b2").distinct()), "gone")
+    gone = gone.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
+    release(docs.sparkSession)
     stay = firsts.join(gone, ["k1", "k2"], "left_anti").groupBy(*[F.col(f"first.{c}").alias(c) for c in _PLACE]).agg(F.collect_list("first.line").alias("_stay"))
     joined = rows.join(stay, _PLACE, "left").select(*names, "_stay")
     at = names.index(text)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from . import words as W
 
 BITS = 18  # 262,144 counters: 2 MB, whatever the size of the corpus
 SLICE = 4096
+HOLD = 1 << 20  # words that are counted together
 
 
 def slot(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -30,19 +32,31 @@ def count_words(texts: DataFrame, fold: np.ndarray = W.PLAIN, bits: int = BITS)
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.int64)
+        table, held, size = np.zeros(1 << bits, np.int64), [], 0
+
+        def add_held() -> None:
+            table[:] += np.bincount(np.concatenate(held), minlength=1 << bits)
+            held.clear()
+
         for batch in batches:
             for _, _, data, offsets in W.chunks(batch.column(0)):
-                table += np.bincount(slot(W.find_words(data, offsets, fold=fold).hashes(), bits), minlength=1 << bits)
+                held.append(slot(W.find_words(data, offsets, fold=fold).hashes(), bits))
+                size += len(held[-1])
+                if size > HOLD:
+                    add_held()
+                    size = 0
+        if held:
+            add_held()
         parts = table.reshape(-1, min(SLICE, 1 << bits))
         used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["slice", "counts"])
+        packed = [zstandard.compress(parts[i].tobytes(), 1) for i in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed, pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(counts, np.int64)
+                got = np.frombuffer(zstandard.decompress(counts), np.int64)
                 sums[i] = sums[i] + got if i in sums else got
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])

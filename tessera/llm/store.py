@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: dict[str, list[str]] = {}
-
+from ..operators.scale import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.  Where it is unset, a private one, on a local master only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_before.isDefined():
-        return set_before.get()
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="tessera-llm-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+_MADE: dict[str, list[str]] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -38,6 +25,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are stored: it does so when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this application has stored.  For callers that have consumed their results."""
     jvm = spark.sparkContext._jvm
