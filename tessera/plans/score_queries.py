@@ -95,7 +95,7 @@ REACT = dict(id="doc_id", c=case("doc_id", 6, ["'Thought: x' || chr(10) || 'Acti
 
 @query("tool_call_match", "R3", """SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN CASE WHEN regexp_matches(text, '[^\\s]') THEN 1.0 ELSE 0 END WHEN 4 THEN 1 WHEN 5 THEN CASE WHEN contains(text, 'Action:') THEN 0 ELSE 1 END ELSE 0 END AS reward FROM documents""")
 def _(t):
-    return select(t.documents, **REACT).select("id", R.tool_call_match("c", "gold").alias("reward"))
+    return select(t.documents, **REACT).select("id", R.tool_call_match("c", "gold", rouge_scale=100.0).alias("reward"))
 
 
 BOX = dict(id="doc_id", c=case("doc_id", 5, ["'so # Answer' || chr(10) || '\\boxed{' || n_chars || '.0}'", "'it is \\boxed{ x^{2}  } ok'", "text || '\\boxed{\\frac{1}{2}}'", "'# Answer 12'"], "text"),
