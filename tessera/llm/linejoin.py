@@ -213,7 +213,7 @@ def verified(pairs: DataFrame, texts: DataFrame, counts: np.ndarray, similarity:
     """Those of ``pairs`` (a1, a2, b1, b2) whose whole sets have a Jaccard similarity of ``similarity`` or more."""
     share = Fraction(str(similarity))
     sent = texts.sparkSession.sparkContext.broadcast(counts)  # fixed size
-    names = pairs.select(F.explode(F.array("a1", "b1")).alias("k1"))
+    names = pairs.select("a1", "b1")
     wanted = texts.sparkSession.sparkContext.broadcast(marks.table_of(names))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

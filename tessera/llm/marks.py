@@ -18,13 +18,14 @@ def place(names: np.ndarray) -> np.ndarray:
 
 
 def table_of(names: DataFrame) -> np.ndarray:
-    """Packed bits of the one long column of ``names``: a name whose bit is not set is not among them."""
+    """Packed bits of the long columns of ``names``: a name whose bit is not set is not among them."""
     slice_bytes = 1 << 15
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BITS, bool)
         for batch in batches:
-            bits[place(batch.column(0).to_numpy())] = True
+            for column in batch.columns:
+                bits[place(column.to_numpy())] = True
         parts = np.packbits(bits).reshape(-1, slice_bytes)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["slice", "bits"])

@@ -276,7 +276,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 12, similarit
     mine = store(_sketches(docs, shingle, key, text), "sketches")
     nodes = store(mine.groupBy("tag", "fp", "n").agg(F.min(F.struct(F.col("key").isNull().alias("late"), "key")).alias("first")), "nodes")
     pairs = store(candidate_pairs(nodes.filter("n > 0"), distance, similarity), "pairs")
-    wanted = docs.sparkSession.sparkContext.broadcast(marks.table_of(pairs.select(F.explode(F.array("a", "b")).alias("tag"))))  # fixed size
+    wanted = docs.sparkSession.sparkContext.broadcast(marks.table_of(pairs.select("a", "b")))  # fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = marks.bits(wanted.value)
