@@ -6,7 +6,7 @@ frequent and to tell which can be frequent; results never depend on a count bein
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,17 @@ def slot(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def count_words(texts: DataFrame, fold: np.ndarray = W.PLAIN, bits: int = BITS) -> np.ndarray:
-    """Counters of all words of the one string column of ``texts``.
+    """Counters of all words of the one string column of ``texts``."""
+
+    def hashes(column: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in W.chunks(column):
+            yield W.find_words(data, offsets, fold=fold).hashes()
+
+    return count_hashes(texts, hashes, bits)
+
+
+def count_hashes(texts: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], bits: int = BITS) -> np.ndarray:
+    """Counters of the hashes that ``hashes`` finds in the one column of ``texts``.
 
     Each task adds up its rows and sends the table in slices; a slice is added up where it arrives, one batch at a time.
     """
@@ -39,8 +49,8 @@ def count_words(texts: DataFrame, fold: np.ndarray = W.PLAIN, bits: int = BITS)
             held.clear()
 
         for batch in batches:
-            for _, _, data, offsets in W.chunks(batch.column(0)):
-                held.append(slot(W.find_words(data, offsets, fold=fold).hashes(), bits))
+            for found in hashes(batch.column(0)):
+                held.append(slot(found, bits))
                 size += len(held[-1])
                 if size > HOLD:
                     add_held()

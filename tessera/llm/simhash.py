@@ -5,6 +5,9 @@ A node of the tree holds a vantage fingerprint v and a radius r.  Fingerprints w
 sent outside, as a query.  A query goes down every branch that the triangle bounds leave open.  The upper part of the tree, fitted on a
 bounded sample, deals the fingerprints to shards; inside a shard the same rule goes on down to small leaves, where distances are counted.
 The sample decides only how even the shards are: the search is exact for any tree.
+
+Near duplicates are pairs of similar shingle sets.  Fingerprints of such pairs may differ in more bits than any radius allows, so a prefix-filter join on
+the shingles finds, beside the trees, every pair that is similar enough.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import marks
+from . import marks, rarity
 from . import words as W
 from .components import components
 from .store import store
@@ -27,6 +31,9 @@ SEED = 42
 LEAF = 192
 PIECE = 1 << 15  # shingles hashed at a time
 SAMPLE = 16_384  # fingerprints of which the upper tree is fitted
+COUNTER_BITS = 22  # of the table of shingle counts: 16 MB, whatever the size of the corpus
+BUCKET_SHINGLES = 2_000_000  # shingles of the corpus for each bucket
+HELD = 1 << 20  # postings that a task gathers before it packs
 SHARD = 20_000  # distinct fingerprints in a shard, about; fewer where the session has more shuffle partitions
 
 
@@ -44,6 +51,12 @@ def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:at + PIECE], ends[at:at + PIECE])], np.uint64)
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the different shingles of a text, sorted."""
+    pieces = list(shingle_hashes(text or "", shingle))
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+
+
 def fingerprint_of(pieces: Iterator[np.ndarray]) -> int:
     """64-bit SimHash: bit i is set if more than half of the hashes have it set."""
     ones, n = np.zeros(64, np.int64), 0
@@ -212,14 +225,14 @@ def classes(docs: DataFrame, distance: int = 2, shingle: int = 3, key: str = "do
 
 
 def _sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """(key, tag, fp, n): hash of the text (0 for all wordless texts), fingerprint and number of different shingles."""
+    """(key, tag, fp, n): hash of the text (0 for all wordless texts), fingerprint of the different shingles and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tags, prints, sizes = batch.column(1).to_numpy().copy(), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
             for i, value in enumerate(batch.column(2)):
-                pieces = list(shingle_hashes(value.as_py() or "", shingle))
-                prints[i], sizes[i] = fingerprint_of(iter(pieces)), len(np.unique(np.concatenate(pieces))) if pieces else 0
+                hashes = shingle_set(value.as_py(), shingle)
+                prints[i], sizes[i] = fingerprint_of(iter([hashes])), len(hashes)
             tags[sizes == 0] = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags), pa.array(prints.view(np.int64)), pa.array(sizes)], ["key", "tag", "fp", "n"])
 
@@ -228,7 +241,7 @@ def _sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
 
 
 def candidate_pairs(nodes: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of tags within ``distance`` bits whose shingle counts allow the similarity.  ``nodes`` has tag, fp, n (positive).
+    """Pairs (a, b) of tags, some repeated, within ``distance`` bits whose shingle counts allow the similarity.  ``nodes`` has tag, fp, n (positive).
 
     Sets of similarity t differ in size by a factor of t at most, so nodes are parted by size first: each class is searched for itself and for the
     class below.  Inside, the vantage-point search is exact.
@@ -258,7 +271,7 @@ def candidate_pairs(nodes: DataFrame, distance: int, similarity: float) -> DataF
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     shape = "level long, shard int, tag long, fp long, n long, home boolean"
-    return nodes.select("tag", "fp", "n").mapInArrow(send, shape).groupBy("level", "shard").applyInArrow(search, "a long, b long").distinct()
+    return nodes.select("tag", "fp", "n").mapInArrow(send, shape).groupBy("level", "shard").applyInArrow(search, "a long, b long")
 
 
 def _sent(level: np.ndarray, shard: int, tags: np.ndarray, points: np.ndarray, n: np.ndarray, home: bool) -> pa.RecordBatch:
@@ -266,26 +279,106 @@ def _sent(level: np.ndarray, shard: int, tags: np.ndarray, points: np.ndarray, n
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["level", "shard", "tag", "fp", "n", "home"])
 
 
+_POSTING = np.dtype([("shingle", np.uint64), ("tag", np.int64), ("n", np.uint32), ("place", np.uint32)])
+
+
+def shared_postings(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(shingle, tag, n, place): the shingles that texts (tag, text) share with others, of each text's prefix, which is rare shingles first.
+
+    Sets of n shingles with the similarity have a shingle in common among the first n - ceil(similarity * n) + 1 of either, in any one order.
+    """
+
+    def hashes_of(column: pa.Array) -> Iterator[np.ndarray]:
+        for value in column:
+            yield shingle_set(value.as_py(), shingle)
+
+    counts = rarity.count_hashes(texts.select("text"), hashes_of, COUNTER_BITS)
+    buckets = max(16, int(counts.sum()) // BUCKET_SHINGLES)
+    sent = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, 0x7FFFFFFF).astype(np.int32))  # fixed size
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = (W.mix(rows["shingle"]) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((rows["shingle"], bucket))
+        rows, bucket = rows[order], bucket[order]
+        ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(rows))
+        begins = np.concatenate(([0], ends[:-1]))
+        parts = [zstandard.compress(b"".join(np.ascontiguousarray(rows[a:b][c]).tobytes() for c in _POSTING.names), 1) for a, b in zip(begins, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), pa.array((ends - begins).astype(np.int32)), pa.array(parts, pa.binary())], ["bucket", "n", "packed"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for tag, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = shingle_set(value.as_py(), shingle)
+                if not len(hashes):
+                    continue
+                first = np.lexsort((hashes, sent.value[rarity.slot(hashes, COUNTER_BITS)]))[:len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
+                rows = np.empty(len(first), _POSTING)
+                rows["shingle"], rows["tag"], rows["n"], rows["place"] = hashes[first], tag, len(hashes), np.arange(len(first))
+                held.append(rows)
+                size += len(rows)
+                if size >= HELD:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def shared(group: pa.Table) -> pa.Table:
+        parts = []
+        for n, raw in zip(group["n"].to_pylist(), group["packed"].to_pylist()):
+            rows, raw, at = np.empty(n, _POSTING), zstandard.decompress(raw), 0
+            for name in _POSTING.names:
+                rows[name] = np.frombuffer(raw, _POSTING[name], n, at)
+                at += n * _POSTING[name].itemsize
+            parts.append(rows)
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["tag"], rows["shingle"]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1])
+        rows = rows[new]  # equal texts are one
+        same = rows["shingle"][1:] == rows["shingle"][:-1]
+        rows = rows[np.append(same, False) | np.append(False, same)]
+        return pa.table({"shingle": rows["shingle"].view(np.int64) if len(rows) else pa.array([], pa.int64()), "tag": rows["tag"], "n": rows["n"].astype(np.int64), "place": rows["place"].astype(np.int64)})
+
+    return texts.select("tag", "text").mapInArrow(post, "bucket long, n int, packed binary").groupBy("bucket").applyInArrow(shared, "shingle long, tag long, n long, place long")
+
+
+def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of tags of ``texts`` (tag, text), a < b, among them all whose sets of shingles have the similarity.
+
+    A common shingle counts if the sizes allow the similarity and if, with it as the first common one, enough shingles follow in both.  Pairs are
+    formed by a plain equi join, whose large partitions adaptive execution splits.
+    """
+    held = store(shared_postings(texts, shingle, similarity), "postings")
+    a, b = (held.select("shingle", F.col("tag").alias(x), F.col("n").alias(f"{x}_n"), (F.col("n") - F.col("place")).alias(f"{x}_left")) for x in "ab")
+    sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6
+    follow = F.least("a_left", "b_left") * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n")) - 1e-6
+    return a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & sizes & follow).select("a", "b")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 12, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest key, null last, then text hash.
 
-    Texts link if their fingerprints differ in at most ``distance`` bits and the Jaccard similarity of their sets of ``shingle``-word shingles is at least
-    ``similarity``; groups are connected components.  All wordless and null texts are one group.  Of rows equal in key and text one stays.
+    Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is at least ``similarity``; groups are connected components.  The trees
+    propose the pairs whose fingerprints differ in at most ``distance`` bits, a prefix-filter join all others, so ``distance`` does not change the result.
+    All wordless and null texts are one group.  Of rows equal in key and text one stays.
     All columns stay as they are.
     """
     mine = store(_sketches(docs, shingle, key, text), "sketches")
     nodes = store(mine.groupBy("tag", "fp", "n").agg(F.min(F.struct(F.col("key").isNull().alias("late"), "key")).alias("first")), "nodes")
-    pairs = store(candidate_pairs(nodes.filter("n > 0"), distance, similarity), "pairs")
+    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text).cast("string")).alias("tag"), F.col(text).cast("string").alias("text"))
+    near = candidate_pairs(nodes.filter("n > 0"), distance, similarity)
+    pairs = store(near.unionByName(prefix_pairs(texts, shingle, similarity)).distinct(), "pairs")
     wanted = docs.sparkSession.sparkContext.broadcast(marks.table_of(pairs.select("a", "b")))  # fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = marks.bits(wanted.value)
         for batch in batches:
             for at in np.flatnonzero(bits[marks.place(batch.column(0).to_numpy())]).tolist():
-                hashes = np.unique(np.concatenate(list(shingle_hashes(batch.column(1)[at].as_py(), shingle)) or [np.zeros(0, np.uint64)]))
+                hashes = shingle_set(batch.column(1)[at].as_py(), shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], ["tag", "shingles"])
 
-    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text).cast("string")).alias("tag"), F.col(text).cast("string").alias("text"))
     whole = texts.mapInArrow(sets, "tag long, shingles array<long>").dropDuplicates(["tag"])
     a, b = (whole.select(F.col("tag").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
     common = F.size(F.array_intersect("a_set", "b_set"))

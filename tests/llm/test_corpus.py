@@ -172,6 +172,23 @@ def test_stages(spark):
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()}
 
 
+def test_near_duplicates_at_the_threshold(spark, docs_of):
+    """The stage with its own parameters against brute force: pairs just above and just below 0.8, and a passage repeated more or less often."""
+    rng = np.random.default_rng(11)
+    new = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    rows = []
+    for i in range(120):  # 100 shingles each, of which 89 or 88 are shared: 0.802 or 0.786
+        words, common = new(104), 93 if i % 3 else 92
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:common] + new(104 - common)))]
+    head, passage = new(60), new(9)
+    rows += [(1000, " ".join(head + passage * 2)), (1001, " ".join(head + passage * 40))]
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in (x.split() for _, x in rows)]
+    gone = {rows[j][0] for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(gone) == 81
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), SF).collect()}
+    assert got == {k for k, _ in rows} - gone
+
+
 def test_pipeline_is_its_stages(spark):
     first, second = (sorted((r.doc_id, r.copies) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == second and first
