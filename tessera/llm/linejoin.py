@@ -70,12 +70,13 @@ class Lines:
         self.first = np.cumsum(self.size) - self.size
 
 
-def _first_of_equals(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    order = np.lexsort((k2, k1))
+def _first_of_equals(k1: np.ndarray, k2: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """Marks one line of each name: the first in the order of ``by`` (as for lexsort: the last counts most), then of arrival."""
+    order = np.lexsort((*by, k2, k1))
     new = np.ones(len(k1), bool)
     new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
     out = np.zeros(len(k1), bool)
-    out[order[new]] = True  # lexsort is stable: the first line of each name
+    out[order[new]] = True  # lexsort is stable
     return out
 
 
@@ -112,7 +113,9 @@ def _packer(counts: np.ndarray, share: Fraction, buckets: int):
             for low, _, data, offsets in W.chunks(batch.column(3)):
                 lines = Lines(data, offsets, counts)
                 # A set of n words is similar to another only if n >= t (n + 1).
-                lines.only((lines.size >= _ceil_share(lines.size + 1, share)) & _first_of_equals(lines.k1, lines.k2))
+                at = low + lines.row
+                first = _first_of_equals(lines.k1, lines.k2, lines.number, tag[at], doc[at], late[at])
+                lines.only((lines.size >= _ceil_share(lines.size + 1, share)) & first)
                 sent = lines.size - _ceil_share(lines.size, share) + 1
                 place = np.arange(int(sent.sum())) - np.repeat(np.cumsum(sent) - sent, sent)
                 rows = np.empty(len(place), _POSTING)

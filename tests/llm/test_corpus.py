@@ -50,6 +50,16 @@ def test_similar_lines_of_repeated_rows(docs_of):
     assert linejoin.dedup_lines(docs_of([])).count() == 0
 
 
+def test_similar_lines_in_any_order_of_arrival(spark):
+    """Equal lines stand for the earliest of them, whichever row a task reads first."""
+    base = [" ".join(f"{c}{i}" for i in range(9)) for c in "abcdefgh"]
+    rows = [(50, base[0]), (20, base[0] + " new"), (5, base[0]), (None, base[1]), (7, base[1] + " new"), (6, base[1])]
+    rows += [(i * 37 % 101 + 100, f"{base[i % 8]} new\n{base[i * 5 % 8]}" if i % 3 else base[i * 3 % 8]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.text) for r in linejoin.dedup_lines(docs).collect()]
+    assert sorted(got, key=repr) == sorted(kept_lines(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))), key=repr)
+
+
 def test_counts_of_words(spark, small):
     texts = spark.createDataFrame([(x,) for _, x in small], "text string").repartition(4)
     assert rarity.count_words(texts).sum() == sum(len(re.findall(WS, x or "")) for _, x in small)
