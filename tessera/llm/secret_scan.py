@@ -1,8 +1,8 @@
-"""Secrets in texts, told from copied examples by how many owners in the whole corpus share a value.
+"""Secrets in texts, told from copied examples by how many owners and repositories in the whole corpus share a value.
 
 One pass finds the spans of fixed patterns and, beside them, bare runs of characters that look generated.  Values leave the task only as digests.
-Their distinct repositories and owners are counted over the corpus: a value of many owners is a widely copied example, one of few owners
-looks live.  The patterns' spans are all reported; a bare run is reported, as kind ``live``, if its value belongs to few owners.
+Their distinct repositories and owners are counted over the corpus: a value of few owners and few repositories looks live, one of many of either
+is a widely copied example.  The patterns' spans are all reported; a bare run is reported, as kind ``live``, if its value looks live.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ KINDS = ["assign", "access", "hex", "live"]
 RUN = 20  # characters of a bare run, at least
 ENTROPY = 3.5  # bits per character of a bare run, at least
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 10
 
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 # A longest run of one character class fails or passes by its length alone, so the length can stand in the pattern.
@@ -80,20 +81,21 @@ def written(spans) -> F.Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS,
+         max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(key, base, spans, n_live, n_example) for each document.
 
     ``base`` has the spans of the fixed patterns as (start, kind, end) in code points, end exclusive; ``spans`` also has the added ones.  ``n_live``
-    counts the spans whose value at most ``max_owners`` owners have, ``n_example`` the others.  Null and empty texts have no spans.  A null owner
-    or repository counts as one of its own.  Repeated rows each get their row; further columns are ignored.
+    counts the spans whose value at most ``max_owners`` owners and at most ``max_repositories`` repositories have, ``n_example`` the others.  Null and
+    empty texts have no spans.  A null owner or repository counts as one of its own.  Repeated rows each get their row; further columns are ignored.
     """
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.struct(F.col(owner)).alias("owner"), F.struct(F.col(repository)).alias("repo"), F.col(text).cast("string").alias("text"))
     slim = slim.withColumns({c: F.xxhash64(F.to_json(c)) for c in ("owner", "repo")})  # a null has a hash of its own
     shape = T.StructType([*slim.schema.fields[:-1], T.StructField("found", T._parse_datatype_string(_SPAN_TYPE))])
     rows = store(slim.mapInArrow(_scan, shape), "secrets")
     uses = rows.select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", F.col("s.value").alias("value"))
-    shared = uses.groupBy("value", "owner", "repo").agg(F.count("*").alias("n")).groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repos"))
-    live = uses.select("row", "value").distinct().join(shared, "value").filter(F.col("owners") <= max_owners).groupBy("row").agg(F.collect_set("value").alias("live"))
+    shared = uses.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
+    live = uses.select("row", "value").distinct().join(shared, "value").filter((F.col("owners") <= max_owners) & (F.col("repos") <= max_repositories)).groupBy("row").agg(F.collect_set("value").alias("live"))
     judged = rows.join(live, "row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<string>")))
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"]))
     kept = F.filter("found", lambda s: (s["kind"] < 3) | F.array_contains("live", s["value"]))
