@@ -3,10 +3,10 @@
 A paragraph is hashed to a wide vector and a document's fingerprint is the sum of its paragraphs' vectors, each lane modulo a power of two.  So the
 order of paragraphs does not matter, and a paragraph is put in or taken out by one addition or subtraction (``merge``, ``take_out``).
 
-The vector has two parts.  Eight lanes of 32 bits are hashes of the whole paragraph: they tell different multisets apart.  Sixty lanes of 20 bits count,
+The vector has two parts.  Eight lanes of 32 bits are hashes of the whole paragraph: they tell different multisets apart.  Sixty lanes of 31 bits count,
 for each bit of the hash of each pair of neighbouring words in the paragraph, how often it is set; as sums of random signs they estimate the
-inner product of two documents' word-pair counts, hence how alike they are.  Three of those lanes share a long.  Beyond about two million words
-a lane runs over into its neighbour: equality still holds, likeness gets rough.
+inner product of two documents' word-pair counts, hence how alike they are.  Two of those lanes share a long.  A text has at most 2^31 bytes, so
+at most 2^30 words: no lane of a whole text runs over.  Merged texts of more than 2^31 words together may: equality still holds, likeness does not.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DENSE = 8
-SHIFTS = 20
-FIELD = 20  # bits of a counting lane
+SHIFTS = 30
+FIELD = 31  # bits of a counting lane
 LOW = (1 << 32) - 1
-ONES = 1 | 1 << FIELD | 1 << 2 * FIELD
+ONES = 1 | 1 << FIELD
 WRAP = (1 << 62) - 1
 PARAGRAPH = "\\n"
 GAP = r"[\x20\x09-\x0D]+"
@@ -77,7 +77,7 @@ def take_out(a: Column, b: Column) -> Column:
 def signs(print_: Column) -> Column:
     """The counting lanes as sums of random signs, one double each."""
     packed = F.slice(print_, DENSE + 2, SHIFTS)
-    lanes = F.flatten(F.transform(packed, lambda c: F.array(*[F.shiftrightunsigned(c, FIELD * i).bitwiseAND(F.lit((1 << (FIELD if i < 2 else 22)) - 1)) for i in range(3)])))
+    lanes = F.flatten(F.transform(packed, lambda c: F.array(*[F.shiftrightunsigned(c, FIELD * i).bitwiseAND(F.lit((1 << FIELD) - 1)) for i in range(2)])))
     return F.transform(lanes, lambda x: (2 * x - F.get(print_, F.lit(0))).cast("double"))
 
 

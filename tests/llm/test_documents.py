@@ -212,6 +212,15 @@ def test_fingerprints_add_and_subtract(spark):
     assert row.x == row.y and row.z == row.w != row.y
 
 
+def test_likeness_of_very_long_repetitive_texts(spark):
+    """Counts beyond 2^20 stay in their lanes: by word-pair counts x of one text and y of the other the likeness is xy / (xx + yy - xy)."""
+    n, m = 1_100_000, 1_400_000
+    row = spark.range(1).select(multiset_hash.fingerprint(F.repeat(F.lit("w "), n)).alias("a"), multiset_hash.fingerprint(F.repeat(F.lit("w "), m)).alias("b"))
+    row = row.select(multiset_hash.likeness(F.col("a"), F.col("b")).alias("near"), F.transform(multiset_hash.signs(F.col("a")), F.abs).alias("signs")).first()
+    assert row.near == pytest.approx(n * m / (n * n + m * m - n * m), abs=1e-4)
+    assert len(row.signs) == 60 and min(row.signs) >= n - 3 and max(row.signs) <= n + 1  # n + 1 pairs, all equal but for both ends
+
+
 def test_single_and_empty_tables(spark, docs_of):
     none = docs_of([])
     assert superkmers.remove_repeats(none).count() == 0
