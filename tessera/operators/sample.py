@@ -191,8 +191,8 @@ def pack_sequences(df: DataFrame, key: str, length: str, max_len: int, shards: i
     """Bins of total length at most ``max_len``.
 
     Rows are spread over ``shards`` by a hash of the key.  A shard is read in batches of ``interval``; the last bin of a
-    batch stays open and joins the next batch.  Result: (shard, bin, slot, key, length); longer rows must be rejected
-    before.  State inside a task is one batch and one open bin.
+    batch stays open and joins the next batch.  Result: (shard, bin, slot, key, length, reason); a longer row is in no bin and
+    has the reason ``too_long``.  State inside a task is one batch and one open bin.
     """
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
     slim = (df.select(shard.alias("shard"), F.col(key).cast("long").alias("_k"), F.col(length).cast("long").alias("_l"))
@@ -207,9 +207,14 @@ def pack_sequences(df: DataFrame, key: str, length: str, max_len: int, shards: i
             for b in bins:
                 rows += [(sid, number, slot, k, v) for slot, (k, v) in enumerate(b)]
                 number += 1
-            return pd.DataFrame(rows, columns=["shard", "bin", "slot", "k", "len"])
+            return pd.DataFrame(rows, columns=["shard", "bin", "slot", "k", "len"]).assign(reason=None)
 
         for frame in frames:
+            long = frame["_l"] > max_len
+            if long.any():
+                out = frame[long].rename(columns={"_k": "k", "_l": "len"})
+                yield out.assign(bin=pd.array([None] * len(out), "Int64"), slot=pd.array([None] * len(out), "Int32"), reason="too_long")[["shard", "bin", "slot", "k", "len", "reason"]]
+                frame = frame[~long]
             for sid, k, v in zip(frame["shard"], frame["_k"], frame["_l"]):
                 if sid != current:
                     if waiting:
@@ -224,7 +229,7 @@ def pack_sequences(df: DataFrame, key: str, length: str, max_len: int, shards: i
         if waiting:
             yield emit(_best_fit(waiting, max_len), current)
 
-    packed = slim.mapInPandas(pack, "shard int, bin long, slot int, k long, len long")
+    packed = slim.mapInPandas(pack, "shard int, bin long, slot int, k long, len long, reason string")
     return packed.withColumnsRenamed({"k": key, "len": length})
 
 

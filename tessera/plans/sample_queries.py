@@ -123,7 +123,7 @@ def _(t):
 
 @query("pack_sequences", "D10", """SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, sum(n_chars)::BIGINT AS tokens, TRUE AS all_fit FROM documents WHERE n_chars <= 4096""")
 def _(t):
-    bins = (S.pack_sequences(t.documents.filter("n_chars <= 4096"), "doc_id", "n_chars", 4096, 8)
+    bins = (S.pack_sequences(t.documents, "doc_id", "n_chars", 4096, 8).filter("reason IS NULL")
             .withColumn("k", F.col("doc_id")).groupBy("shard", "bin")
             .agg(F.count("*").alias("n"), F.count_distinct("k").alias("d"), F.sum("n_chars").alias("total")))
     return bins.agg(F.sum("n").alias("n_rows"), F.sum("d").alias("n_keys"), F.sum("total").alias("tokens"),

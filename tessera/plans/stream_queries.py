@@ -60,11 +60,11 @@ def _(t):
 @query("stream_pack", "X5", "SELECT count(*) AS n_rows, sum(n_chars)::BIGINT AS tokens, TRUE AS all_fit FROM documents WHERE n_chars <= 4096")
 def _(t):
     path = scratch(t, "x5")
-    S.run(stream_of(t, "documents").filter("n_chars <= 4096"), f"{path}/ck", S.packer(f"{path}/out", f"{path}/open", "doc_id", "n_chars", 4096, 8))
+    S.run(stream_of(t, "documents"), f"{path}/ck", S.packer(f"{path}/out", f"{path}/open", "doc_id", "n_chars", 4096, 8))
     done = S.read_batches(t.spark, f"{path}/out")
     left = S.read_batches(t.spark, f"{path}/open")
     left = left.join(left.agg(F.max("batch").alias("batch")), "batch", "left_semi")
-    bins = done.unionByName(left).groupBy("batch", "shard", "bin").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
+    bins = done.unionByName(left).filter("reason IS NULL").groupBy("batch", "shard", "bin").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
     return bins.agg(F.sum("n").alias("n_rows"), F.sum("total").alias("tokens"), (F.max("total") <= 4096).alias("all_fit"))
 
 

@@ -102,7 +102,8 @@ def collected_groups(spark: SparkSession, path: str, target_rows: int) -> DataFr
 def packer(out: str, open_bins: str, key: str, length: str, max_len: int, shards: int) -> Callable[[DataFrame, int], None]:
     """Packs each micro-batch together with the bins left open by the one before.
 
-    The last bin of each shard stays open: its rows are the carry table of the batch (at most one bin per shard).
+    The last bin of each shard stays open: its rows are the carry table of the batch (at most one bin per shard).  Rows longer than ``max_len`` are
+    written with their reason and are in no bin.
     """
     def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
@@ -113,7 +114,7 @@ def packer(out: str, open_bins: str, key: str, length: str, max_len: int, shards
         pack_sequences(rows, key, length, max_len, shards).write.mode("overwrite").parquet(staged)
         packed = spark.read.parquet(staged)
         last = packed.groupBy(F.col("shard").alias("_s")).agg(F.max("bin").alias("_last"))
-        marked = packed.join(F.broadcast(last), F.col("shard") == F.col("_s")).withColumn("open", F.col("bin") == F.col("_last")).drop("_s", "_last")
+        marked = packed.join(F.broadcast(last), F.col("shard") == F.col("_s")).withColumn("open", F.coalesce(F.col("bin") == F.col("_last"), F.lit(False))).drop("_s", "_last")
         marked.filter("NOT open").drop("open").write.mode("overwrite").parquet(f"{out}/batch={batch}")
         marked.filter("open").drop("open").write.mode("overwrite").parquet(f"{open_bins}/batch={batch}")
     return write

@@ -38,6 +38,19 @@ def test_runs_keep_each_others_rows(spark, tmp_path):
     assert sorted(r.k for r in stream.read_runs(spark, path).collect()) == list(range(10))
 
 
+def test_packers_report_rows_that_are_too_long(spark, tmp_path):
+    rows = spark.createDataFrame([(i, 4097 + i if i % 5 == 0 else 100 + i) for i in range(60)], "k long, n long")
+    want = [(i, 4097 + i, "too_long") if i % 5 == 0 else (i, 100 + i, None) for i in range(60)]
+    got = sample.pack_sequences(rows, "k", "n", 4096, 3)
+    assert sorted((r.k, r.n, r.reason) for r in got.collect()) == want
+    assert got.filter("(reason IS NULL) <> (bin IS NOT NULL AND slot IS NOT NULL)").count() == 0
+    write = stream.packer(f"{tmp_path}/out", f"{tmp_path}/open", "k", "n", 4096, 3)
+    write(rows.filter("k < 30"), 0)
+    write(rows.filter("k >= 30"), 1)
+    done = spark.read.parquet(f"{tmp_path}/out").unionByName(spark.read.parquet(f"{tmp_path}/open/batch=1"), allowMissingColumns=True)
+    assert sorted((r.k, r.n, r.reason) for r in done.collect()) == want
+
+
 def test_source_without_probability_fails(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "s string, k int")
     for bad in (rows.filter("s IS NOT NULL"), rows.filter("s = 'a' OR s IS NULL")):
