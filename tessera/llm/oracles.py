@@ -31,3 +31,20 @@ REPEATED_PASSAGES = r"""
     x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
     y AS (SELECT x.doc_id, count(g.p) AS gone, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY x.doc_id)
     SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y ON y.doc_id = d.doc_id"""
+
+
+def _terms(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+RANKED_SEARCH = f"""
+    WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark) GROUP BY ALL),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {_terms('text')} AS ws FROM documents),
+    s AS (SELECT CAST(count(*) FILTER (len(ws) > 0) AS BIGINT) AS docs, CAST(sum(len(ws)) AS BIGINT) AS words FROM d),
+    p AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+    f AS (SELECT term, count(*) AS df FROM p SEMI JOIN q USING (term) GROUP BY term),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, s),
+    g AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM g WHERE score > 0
+    QUALIFY row_number() OVER o <= 10 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)"""

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linejoin, mixing, multiset_hash, oracles, ordinal, secret_scan, simhash, superkmers, token_counts, warc
+from . import (decontaminate, fp_tree, linejoin, mixing, multiset_hash, oracles, ordinal, packing, pair_bitmaps, secret_scan, simhash, superkmers, token_counts,
+               warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +100,18 @@ def op4_quality_grades(spark, sf_dir):
 def op1_similar_lines(spark, sf_dir):
     done = linejoin.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), similarity=0.8)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_token_pair_counts(spark, sf_dir):
+    return pair_bitmaps.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_packed_sequences(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
+
+
+@with_sql(oracles.RANKED_SEARCH)
+def op13_ranked_search(spark, sf_dir):
+    return fp_tree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
