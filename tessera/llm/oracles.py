@@ -47,4 +47,4 @@ RANKED_SEARCH = f"""
     g AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
           FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL)
     SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM g WHERE score > 0
-    QUALIFY row_number() OVER o <= 10 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)"""
+    WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10"""

@@ -7,56 +7,80 @@ copies; rows find their places in it by their rank among the rows of equal lengt
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
 from .store import store
 
-CACHED_WORD = 64  # bytes of the longest word that is remembered
-CACHE_WORDS = 150_000
+CACHED_WORD = 64  # characters of the longest word that is remembered
+CACHE_WORDS = 300_000
+# What is fixed in Unicode below U+0250: letters, numbers, white space.  None of these characters is changed by composition.
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+LATIN = re.compile("[\0-ɏ]*")
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"
+# The file's own pattern, of which SPLIT is the part below U+0250.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # fillings as ((length, how many), ...) with the number of sequences filled so
 
 
 class WordIds:
-    """Token ids of whole texts for a tokenizer that drops white space, word by word.
+    """Token ids of whole texts for a BPE file that lower-cases, drops white space and cuts texts into words by ``PATTERN``.
 
-    Such a tokenizer treats the text between two white-space bytes by itself, so that the ids of a text are those of its words in a row.  Words seen before are
-    looked up; the others go through the library together.
+    Such a tokenizer treats the text between two white-space bytes by itself, and its words one by one, so that the ids of a text are those of its words in a
+    row.  Texts of Latin letters are cut into words here, others at white space only.  Words seen before are looked up; the others go through the library together.
     """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        shape = json.loads(spec)
+        steps = [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"] or split[:1] != [PATTERN] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in shape["added_tokens"]):
+            raise ValueError("only a tokenizer that composes, lower-cases and cuts words by the fixed pattern is taken")
         self.library = Tokenizer.from_str(spec)
-        self.known: dict[bytes, bytes] = {}
-        if self.library.encode("a b", add_special_tokens=False).ids != self.library.encode("a \n\t b ", add_special_tokens=False).ids:
-            raise ValueError("the tokenizer keeps white space")
+        self.bare = Tokenizer.from_str(json.dumps(shape | {"normalizer": None, "added_tokens": []}))  # for words that are cut and lower-cased already
+        self.special = [t["content"] for t in shape["added_tokens"]]
+        self.split = re.compile(SPLIT)
+        self.known: dict[str, bytes] = {}
+        self.known_bare: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        parts = [x.split() for x in texts]  # at the six ASCII white-space bytes
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        new = {w for p, f in zip(parts, found) if None in f for w, ids in zip(p, f) if ids is None}
-        more = {}
-        if new:
-            order = list(new)
-            coded = self.library.encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
-            more = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(order, coded)}
-            self.known.update((w, ids) for w, ids in more.items() if len(w) <= CACHED_WORD)
-        return [b"".join(f if None not in f else [more[w] if ids is None else ids for w, ids in zip(p, f)]) for p, f in zip(parts, found)]
+        parts: list[list[str]] = []
+        plain: list[bool] = []
+        for x in texts:
+            plain.append(LATIN.fullmatch(x) is not None and not any(s in x for s in self.special))
+            # Bytes are split at the six ASCII white-space characters alone.
+            parts.append(self.split.findall(x.lower()) if plain[-1] else [w.decode() for w in x.encode().split()])
+        out: list[bytes] = [b""] * len(texts)
+        for library, known, rows in ((self.bare, self.known_bare, [i for i, p in enumerate(plain) if p]), (self.library, self.known, [i for i, p in enumerate(plain) if not p])):
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            found = [list(map(known.get, parts[i])) for i in rows]
+            new = list({w for i, f in zip(rows, found) if None in f for w, ids in zip(parts[i], f) if ids is None})
+            more = {}
+            if new:
+                coded = [x.ids for x in library.encode_batch_fast(new, add_special_tokens=False)]
+                raw, ends = np.fromiter(chain.from_iterable(coded), "<u4").tobytes(), np.cumsum([0, *map(len, coded)]).tolist()
+                more = {w: raw[4 * a:4 * b] for w, a, b in zip(new, ends, ends[1:])}
+                known.update((w, ids) for w, ids in more.items() if len(w) <= CACHED_WORD)
+            for i, f in zip(rows, found):
+                out[i] = b"".join(f if None not in f else [more[w] if ids is None else ids for w, ids in zip(parts[i], f)])
+        return out
 
 
 _HELD: dict[int, WordIds] = {}  # one tokenizer for each Python worker
@@ -77,9 +101,8 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, key: str = "doc_i
             _HELD[name] = WordIds(spec)
         tail, part, seen = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            for low, high, data, offsets in W.chunks(batch.column(1), 1 << 20):
-                raw = data.tobytes()
-                ids = [x + tail for x in _HELD[name]([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])]
+            for low, high, _, _ in W.chunks(batch.column(1), 1 << 20):
+                ids = [x + tail for x in _HELD[name]([x or "" for x in batch.column(1).slice(low, high - low).to_pylist()])]
                 whole = np.array([len(x) // 4 for x in ids], np.int64)
                 per = -(-whole // size)
                 row = np.repeat(np.arange(len(ids)), per)
@@ -313,8 +336,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, key: str
     rows and rows without a key are documents like others; very long texts are cut like others; further columns are ignored; an empty table gives an empty one.
 
     ``branches``, ``nodes`` and ``effort`` bound the search, not the rows: the incumbent is a whole best-fit packing from the start.  The search ends early where
-    it meets the lower bound.  What goes through the driver is one count for each length and the plan, both bounded by ``size``.  ``path`` is a tokenizer file of
-    the ``tokenizers`` library that drops white space; it is read on the driver.
+    it meets the lower bound.  What goes through the driver is one count for each length and the plan, both bounded by ``size``.  ``path`` is a tokenizer file as
+    described in ``WordIds``; it is read on the driver.
     """
     rows = pieces(docs, path, size, end_id, key, text)
     tasks = rows.groupBy("part", "length").agg((F.max("nth") + 1).alias("n"))

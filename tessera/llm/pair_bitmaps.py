@@ -9,6 +9,7 @@ of a pair.  The bitmaps, which are postings as well, then carry the scores of th
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -27,9 +28,12 @@ from .store import store
 
 CONTAINER = 16  # bits of a place inside a container
 HOLD = 3_000_000  # postings that are merged together in a task
-CACHE_PIECES, CACHE_LINKS = 150_000, 3_000_000
-SAFE = re.compile(r"(?<=\S) (?=\S)")  # no token of either tokenizer spans the place before such a space
-UNSAFE = re.compile(r"\s | \s")
+CACHE_PIECES, CACHE_LINKS = 300_000, 4_000_000
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # all letters below BEYOND; those have no marks that join them
+LATIN, OTHER, BEYOND = re.compile(f"[{LETTERS}]"), re.compile(f"[^{LETTERS}]"), re.compile("[^\0-ɏ]")
+SAFE = re.compile(r"(?<=\S)(?= \S)")
+# Letters with the space before; other characters up to a space before letters, or to letters behind a mark or one white space that is no space; else both together.
+TILES = re.compile(rf" ?[{LETTERS}]+|[^{LETTERS}]+?(?:(?<=\S)(?= [{LETTERS}])|(?<=[^\s'])(?=[{LETTERS}])|(?<=\S[^\S ])(?=[{LETTERS}])|\Z)|[^{LETTERS}]+[{LETTERS}]+")
 DOCUMENT = -1  # plane number of the document bitmap; ROW marks the rows of documents themselves
 ROW = -2
 
@@ -37,8 +41,9 @@ ROW = -2
 class Aligner:
     """Alignment of texts by two tokenizers, piece by piece.
 
-    A piece runs from one single space between two other characters to the next.  Byte-level pre-tokenizers start a token at such a space, and so does a vocabulary in which
-    the space mark is only at the front of a token, so pieces are aligned by themselves and equal pieces once.
+    Texts are cut where the pre-tokenizer of A starts a token and no entry of B holds the two characters side by side, so that pieces are aligned by themselves
+    and equal pieces once: before a single space, and, in texts of Latin letters, between letters and what is none.  What the vocabularies do not allow is not done;
+    then pieces are larger or whole texts.
     """
 
     def __init__(self, byte_level: str, sentence_piece: bytes):
@@ -55,57 +60,73 @@ class Aligner:
         self.bytes_a = [bytes(byte_of.get(c, 0) for c in entries.get(i, "")) for i in range(max(entries) + 1)]
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.whole = any("▁" in x.lstrip("▁") for x in names)  # then no place is safe
+        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+
+        spec = json.loads(byte_level)
+        plain = not spec["normalizer"] and spec["pre_tokenizer"]["type"] == "ByteLevel" and spec["pre_tokenizer"]["use_regex"] and not spec["pre_tokenizer"]["add_prefix_space"]
+        texts = [x for i, x in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        after_line = [names[i] for i in self.b.encode("\nab")][:2]
+        self.whole = not plain or any("▁" in x.lstrip("▁") or "\n" in x for x in texts) or after_line != ["▁", "<0x0A>"]
+        self.latin = not any(LATIN.search(x) and OTHER.search(x.lstrip("▁")) for x in texts)
         self.restart()
 
     def restart(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.facts: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links; links -1 where the bytes differ
+        self.facts = np.zeros((0, 4), np.int64)  # of each piece: tokens of A, of B, groups, links; links -1 where the bytes differ
         self.pair: dict[int, int] = {}
-        self.links: list[int] = []
-        self.first: list[int] = [0]
+        self.links = np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)
 
     def full(self) -> bool:
         return len(self.groups) > CACHE_PIECES or len(self.links) > CACHE_LINKS
 
-    def learn(self, new: list[str]) -> None:
-        many_a = self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False)
-        for x, ids_a, ids_b in zip(new, many_a, self.b.encode(new, num_threads=1)):
-            self.number[x] = len(self.groups)
-            groups, links = self.align(ids_a.ids, ids_b, (" " + x).encode())
-            self.groups.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups))
-            self.links += [self.pair.setdefault(p, len(self.pair)) for p in links]
-            self.first.append(len(self.links))
-            self.facts.append((len(ids_a.ids), len(ids_b), len(groups), len(links) if groups else -1))
-
-    def align(self, a: list[int], b: list[int], text: bytes) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
-        """Groups between common ends, and the linked pairs in order (A id in the upper 32 bits); nothing where the bytes of the tokens are not the text."""
-        if b"".join([self.bytes_a[i] for i in a]) != text or b"".join([self.bytes_b[i] for i in b]) != text:
-            return [], []
-        groups, links, i, j, end_a, end_b = [], [], 0, 0, len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        from_a = from_b = 0
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                groups.append((a[from_a:i + 1], b[from_b:j + 1]))
-                from_a, from_b = i + 1, j + 1
-                if from_a == len(a):
-                    return groups, links
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a:
-                i += 1
-                end_a += len(self.bytes_a[a[i]])
-            if step_b:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
-
     def pieces(self, text: str) -> list[str]:
+        """The pieces of a space and the text."""
+        text = " " + text
         if self.whole:
             return [text]
-        if UNSAFE.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return SAFE.split(text)
-        return text.split(" ")
+        return TILES.findall(text) if self.latin and not BEYOND.search(text) else SAFE.split(text)
+
+    def coded(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and of B.  B puts a space in front by itself; a piece that begins otherwise or is a space alone is read behind a line end, which joins with nothing."""
+        led = [len(x) > 1 and x[0] == " " for x in pieces]
+        many_a = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        many_b = self.b.encode([x[1:] if s else "\n" + x for x, s in zip(pieces, led)], num_threads=1)
+        return many_a, [ids if s else ids[2:] for ids, s in zip(many_b, led)]
+
+    def learn(self, new: list[str]) -> None:
+        """Align the pieces.  Every place where a token of A or of B ends is one link, of the two tokens there; a place where both end closes a group."""
+        many_a, many_b = self.coded(new)
+        texts = [x.encode() for x in new]
+        good = [b"".join([self.bytes_a[i] for i in a]) == x and b"".join([self.bytes_b[i] for i in b]) == x for a, b, x in zip(many_a, many_b, texts)]
+        n_a, n_b, size = (np.array([len(x) if g else 0 for x, g in zip(xs, good)], np.int64) for xs in (many_a, many_b, texts))
+        a, b = (np.fromiter(chain.from_iterable(x for x, g in zip(xs, good) if g), np.int64) for xs in (many_a, many_b))
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends = np.union1d(end_a, end_b)
+        link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        closes = (end_a[link_a] == ends) & (end_b[link_b] == ends) if len(ends) else np.zeros(0, bool)
+        edge = np.concatenate(([0], np.cumsum(size)))
+        n_links, n_groups = np.diff(np.searchsorted(ends, edge, "right")), np.diff(np.searchsorted(ends[closes], edge, "right"))
+        self.facts = np.concatenate((self.facts, np.stack((n_a, n_b, n_groups, np.where(good, n_links, -1)), 1)))
+        names, local = np.unique(a[link_a] << 32 | b[link_b], return_inverse=True)
+        numbers = np.array([self.pair.setdefault(x, len(self.pair)) for x in names.tolist()], np.int64)
+        self.links = np.concatenate((self.links, numbers[local])) if len(local) else self.links
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(n_links)))
+        # The groups as text, all of them one behind the other, then those of each piece.
+        words_a, words_b = a.astype(str).tolist(), b.astype(str).tolist()
+        upto_a, upto_b = (link_a[closes] + 1).tolist(), (link_b[closes] + 1).tolist()
+        written = [f"{words_a[i] if j - i == 1 else ','.join(words_a[i:j])}|{words_b[k] if m - k == 1 else ','.join(words_b[k:m])}"
+                   for i, j, k, m in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)]
+        at = np.concatenate(([0], np.cumsum(n_groups))).tolist()
+        known = len(self.groups)
+        self.groups += [";".join(written[i:j]) for i, j in zip(at, at[1:])]
+        self.number.update(zip(new, range(known, known + len(new))))
+
+    def gives_back(self, text: str) -> bool:
+        """Whether the tokens of both give back a space and the text, taken as a whole."""
+        whole = (" " + text).encode()
+        return whole == b"".join([self.bytes_a[i] for i in self.a.encode(" " + text, add_special_tokens=False).ids]) == b"".join([self.bytes_b[i] for i in self.b.encode(text)])
 
 
 _HELD: dict[int, Aligner] = {}  # one for each Python worker
@@ -260,8 +281,7 @@ def documents(align: Aligner, texts: list[str], place: int) -> tuple[np.ndarray,
     if new:
         align.learn(new)
         found = [f if None not in f else [align.number[w] for w in p] for p, f in zip(parts, found)]
-    facts = np.array(align.facts, np.int64).reshape(-1, 4)
-    first = np.array(align.first, np.int64)
+    facts, first = align.facts, align.first
     flat = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
     size = np.array([len(f) for f in found], np.int64)
     owner = np.repeat(np.arange(len(texts)), size)
@@ -269,10 +289,9 @@ def documents(align: Aligner, texts: list[str], place: int) -> tuple[np.ndarray,
     np.add.at(sums, owner, facts[flat])
     bad = np.zeros(len(texts), bool)
     bad[owner[facts[flat, 3] < 0]] = True
-    for i in np.flatnonzero(bad).tolist():  # a piece whose bytes differ: then those of the whole text do, or it is taken as a whole
-        whole = align.a.encode(" " + texts[i], add_special_tokens=False).ids, align.b.encode(texts[i])
-        if align.align(*whole, (" " + texts[i]).encode())[0]:
-            raise ValueError("pieces of a text are not aligned as the text is")
+    for i in np.flatnonzero(bad).tolist():
+        if align.gives_back(texts[i]):
+            raise ValueError("a piece differs from its tokens where its text does not")
     sums[bad] = 0
     groups = align.groups
     hashes = ["" if b or not f else hashlib.sha256(";".join([groups[i] for i in f]).encode()).hexdigest() for f, b in zip(found, bad.tolist())]
@@ -280,7 +299,7 @@ def documents(align: Aligner, texts: list[str], place: int) -> tuple[np.ndarray,
     flat, owner = flat[good], owner[good]
     n = first[flat + 1] - first[flat]
     begin = np.cumsum(n) - n
-    links = np.array(align.links, np.int64)[np.arange(int(n.sum())) + np.repeat(first[flat] - begin, n)] if len(flat) else np.zeros(0, np.int64)
+    links = align.links[np.arange(int(n.sum())) + np.repeat(first[flat] - begin, n)] if len(flat) else np.zeros(0, np.int64)
     postings, counts = np.unique(links << CONTAINER | (np.repeat(owner, n) + place), return_counts=True)
     return sums, hashes, postings, (counts - 1).astype(np.uint32)
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -28,9 +29,15 @@ def same(got, want):
 # -- operator 11
 
 
-def aligned(rows):
+@lru_cache
+def libraries():
     a, b = Tokenizer.from_file(BYTE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
     a.encode_special_tokens = True
+    return a, b
+
+
+def aligned(rows):
+    a, b = libraries()
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in shown)}
     out, links_of, documents = [], [], Counter()
@@ -76,8 +83,8 @@ def test_aligned_nothing(docs_of):
     assert [tuple(r) for r in got] == [(1, 0, 0, 0, 0, 0, 0, "")] * 2
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab \n\t.'é▁日\x1c\xa0A1<>|", max_size=40))
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="abst  \n\t.,''é▁日\x1c\xa0A1<>|İɏ", max_size=40))
 def test_pieces_align_as_texts_do(text):
     align = test_pieces_align_as_texts_do.align
     if not text:
@@ -266,3 +273,15 @@ def test_bounds_leave_documents_out():
         assert sorted(((s, k) for s, k, _ in found.rows), reverse=True) == want
         scored += found.scored
     assert scored < 0.5 * 40 * n
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abSTst' \n\t.,1²½ªéÀɏ̱İ日\x1c\x85\xa0<|>", max_size=40) | st.text(max_size=30))
+def test_word_ids_are_those_of_the_library(text):
+    ids = test_word_ids_are_those_of_the_library.ids
+    text = text.encode("utf-8", "ignore").decode()
+    for x in (text, text + "<|endoftext|>" + text):
+        assert np.frombuffer(ids([x])[0], "<u4").tolist() == ids.library.encode(x, add_special_tokens=False).ids
+
+
+test_word_ids_are_those_of_the_library.ids = packing.WordIds(open(WORD, encoding="utf-8").read())
