@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -24,22 +25,40 @@ from pyspark.sql import types as T
 from . import words as W
 from .store import store
 
-CACHED_WORD = 64  # characters of the longest word that is remembered
-CACHE_WORDS = 300_000
+CACHE_RUNS, CACHE_WORDS = 400_000, 250_000
+LONG = 64  # longer words are not remembered
+JOINED = 2000  # words that go through the library as one text
 # What is fixed in Unicode below U+0250: letters, numbers, white space.  None of these characters is changed by composition.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
-LATIN = re.compile("[\0-ɏ]*")
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"
 # The file's own pattern, of which SPLIT is the part below U+0250.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # fillings as ((length, how many), ...) with the number of sequences filled so
 
 
+@dataclass
+class Lists:
+    """Lists of ids one behind the other."""
+
+    size: np.ndarray
+    ids: np.ndarray
+
+    def plus(self, more: Lists) -> Lists:
+        return Lists(np.concatenate((self.size, more.size)), np.concatenate((self.ids, more.ids)))
+
+    def take(self, at: np.ndarray) -> Lists:
+        size = self.size[at]
+        begin = np.cumsum(size) - size
+        first = np.cumsum(self.size) - self.size
+        return Lists(size, self.ids[np.arange(int(size.sum())) + np.repeat(first[at] - begin, size)])
+
+
 class WordIds:
     """Token ids of whole texts for a BPE file that lower-cases, drops white space and cuts texts into words by ``PATTERN``.
 
-    Such a tokenizer treats the text between two white-space bytes by itself, and its words one by one, so that the ids of a text are those of its words in a
-    row.  Texts of Latin letters are cut into words here, others at white space only.  Words seen before are looked up; the others go through the library together.
+    Such a tokenizer treats a run between two ASCII white-space characters by itself, so that the ids of a text are those of its runs in a row.  All runs of a batch
+    are found and hashed as arrays (two independent 64-bit hashes), and their ids gathered from those of earlier runs.  In texts of characters below U+0250 new runs
+    are cut into words here, and new words go through the library's BPE; runs of other texts, and of texts with special strings, go through the whole tokenizer.
     """
 
     def __init__(self, spec: str):
@@ -49,40 +68,129 @@ class WordIds:
         shape = json.loads(spec)
         steps = [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        if steps != ["NFC", "Replace", "Lowercase"] or split[:1] != [PATTERN] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in shape["added_tokens"]):
+        if steps != ["NFC", "Replace", "Lowercase"] or split != [PATTERN, None] or shape["model"]["end_of_word_suffix"] != "</w>" or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in shape["added_tokens"]):
             raise ValueError("only a tokenizer that composes, lower-cases and cuts words by the fixed pattern is taken")
         self.library = Tokenizer.from_str(spec)
-        self.bare = Tokenizer.from_str(json.dumps(shape | {"normalizer": None, "added_tokens": []}))  # for words that are cut and lower-cased already
-        self.special = [t["content"] for t in shape["added_tokens"]]
-        self.split = re.compile(SPLIT)
-        self.known: dict[str, bytes] = {}
-        self.known_bare: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        parts: list[list[str]] = []
-        plain: list[bool] = []
-        for x in texts:
-            plain.append(LATIN.fullmatch(x) is not None and not any(s in x for s in self.special))
-            # Bytes are split at the six ASCII white-space characters alone.
-            parts.append(self.split.findall(x.lower()) if plain[-1] else [w.decode() for w in x.encode().split()])
-        out: list[bytes] = [b""] * len(texts)
-        for library, known, rows in ((self.bare, self.known_bare, [i for i, p in enumerate(plain) if p]), (self.library, self.known, [i for i, p in enumerate(plain) if not p])):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            found = [list(map(known.get, parts[i])) for i in rows]
-            new = list({w for i, f in zip(rows, found) if None in f for w, ids in zip(parts[i], f) if ids is None})
-            more = {}
-            if new:
-                coded = [x.ids for x in library.encode_batch_fast(new, add_special_tokens=False)]
-                raw, ends = np.fromiter(chain.from_iterable(coded), "<u4").tobytes(), np.cumsum([0, *map(len, coded)]).tolist()
-                more = {w: raw[4 * a:4 * b] for w, a, b in zip(new, ends, ends[1:])}
-                known.update((w, ids) for w, ids in more.items() if len(w) <= CACHED_WORD)
-            for i, f in zip(rows, found):
-                out[i] = b"".join(f if None not in f else [more[w] if ids is None else ids for w, ids in zip(parts[i], f)])
+        spaced = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, shape["pre_tokenizer"]["pretokenizers"][1]]}
+        self.bare = Tokenizer.from_str(json.dumps(shape | {"normalizer": None, "added_tokens": [], "pre_tokenizer": spaced}))  # for words that are cut and lower-cased
+        self.closes = np.zeros(max(shape["model"]["vocab"].values()) + 1, bool)
+        self.closes[[i for k, i in shape["model"]["vocab"].items() if k.endswith("</w>")]] = True
+        self.special = [t["content"].encode() for t in shape["added_tokens"]]
+        self.find = re.compile(SPLIT).findall
+        self.restart()
+
+    def restart(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.name, self.proof, self.runs, self.seen = none.astype(np.uint64), none.astype(np.uint64), Lists(none, np.zeros(0, np.uint32)), np.zeros(0, bool)
+        self.number: dict[str, int] = {}  # of each word
+        self.words = Lists(none, np.zeros(0, np.uint32))
+
+    def learn_words(self, words: set[str]) -> None:
+        """Many words go through the library as one text: each ends with its one id that ends a word."""
+        new = list(words.difference(self.number))
+        if new:
+            coded = self.bare.encode_batch_fast([" ".join(new[i:i + JOINED]) for i in range(0, len(new), JOINED)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in coded), np.uint32)
+            size = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+            if len(size) != len(new):
+                raise ValueError("words and ids do not agree")
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.words = self.words.plus(Lists(size, ids))
+
+    def of_runs(self, runs: list[bytes], latin: np.ndarray) -> Lists:
+        """Ids of new runs."""
+        if len(self.number) > CACHE_WORDS:
+            self.number, self.words = {}, Lists(np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        find = self.find
+        parts = [find(x.decode().lower()) if p else [] for x, p in zip(runs, latin.tolist())]
+        flat = list(chain.from_iterable(parts))
+        self.learn_words(set(flat))
+        known = self.words.take(np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat)))
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        size = np.zeros(len(runs), np.int64)
+        np.add.at(size, np.repeat(np.arange(len(runs)), n), known.size)
+        if latin.all():
+            return Lists(size, known.ids)
+        whole = self.library.encode_batch_fast([x.decode() for x, p in zip(runs, latin.tolist()) if not p], add_special_tokens=False)
+        others = Lists(np.array([len(x.ids) for x in whole], np.int64), np.fromiter(chain.from_iterable(x.ids for x in whole), np.uint32))
+        place = np.empty(len(runs), np.int64)
+        place[latin], place[~latin] = np.arange(int(latin.sum())), int(latin.sum()) + np.arange(len(whole))
+        return Lists(size[latin], known.ids).plus(others).take(place)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and how many each text has."""
+        latin = self.latin(data, offsets)
+        folded = np.where(np.repeat(latin, np.diff(offsets)), W.LOWER[data], data)
+        runs = W.find_words(folded, offsets)
+        row = runs.rows()
+        if not len(row):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        name, proof = two_hashes(runs, latin[row])
+        order = np.argsort(name, kind="stable")
+        fresh = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (proof[order][1:] != proof[order][:-1])))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        one = order[fresh]  # a run of each kind
+        at = np.minimum(np.searchsorted(self.name, name[one]), max(len(self.name) - 1, 0))
+        known = (self.name[at] == name[one]) & (self.proof[at] == proof[one]) if len(self.name) else np.zeros(len(one), bool)
+        new = one[~known]
+        raw = folded.tobytes()
+        coded = self.of_runs([raw[a:b] for a, b in zip(runs.starts[new].tolist(), runs.ends[new].tolist())], latin[row[new]])
+        place = np.empty(len(one), np.int64)
+        place[known], place[~known] = at[known], len(self.name) + np.arange(len(new))
+        all_runs = self.runs.plus(coded)
+        out = all_runs.take(place[number])
+        per_row = np.bincount(row, out.size, len(offsets) - 1).astype(np.int64)
+        self.seen[at[known]] = True
+        self.remember(name[new], proof[new], all_runs, runs.ends[new] - runs.starts[new] <= LONG)
+        return out.ids, per_row
+
+    def remember(self, name: np.ndarray, proof: np.ndarray, all_runs: Lists, short: np.ndarray) -> None:
+        """Keep the new runs that are short.  Where there are too many, those that have not come again go, or all."""
+        keep = np.concatenate((np.ones(len(self.name), bool), short))
+        if len(keep) > CACHE_RUNS:
+            keep[:len(self.name)] = self.seen
+            if 2 * keep.sum() > CACHE_RUNS:
+                keep[:len(self.name)] = False
+        name, proof, seen = np.concatenate((self.name, name)), np.concatenate((self.proof, proof)), np.concatenate((self.seen, np.zeros(len(name), bool)))
+        order = np.flatnonzero(keep)
+        order = order[np.argsort(name[order], kind="stable")]
+        self.name, self.proof, self.seen, self.runs = name[order], proof[order], seen[order], all_runs.take(order)
+
+    def latin(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts of characters below U+0250 without special strings, and without the separators that only Python takes for white space."""
+        odd = (data >= 0xCA) | ((data >= 0x1C) & (data <= 0x1F))
+        lead = np.flatnonzero(data == 0xC9)
+        odd[lead] = data[np.minimum(lead + 1, len(data) - 1)] >= 0x90
+        out = np.diff(np.concatenate(([0], np.cumsum(odd)))[offsets]) == 0
+        raw = data.tobytes()
+        for x in self.special:
+            at = raw.find(x)
+            while at >= 0:
+                out[np.searchsorted(offsets, at, "right") - 1] = False
+                at = raw.find(x, at + 1)
         return out
 
 
+_PLACES = W.odd(2 * LONG, 11), W.odd(2 * LONG, 12)
+
+
+def two_hashes(runs: W.Words, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent multilinear hashes of each run and its kind."""
+    lengths = runs.ends - runs.starts
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+    letters = runs.data[place + np.repeat(runs.starts, lengths)].astype(np.uint64) + np.uint64(1)
+    out = []
+    for i, table in enumerate(_PLACES):
+        far = place >= len(table)
+        factor = table[place % len(table)]
+        if far.any():
+            factor[far] = W.mix(place[far].astype(np.uint64) + np.uint64(1000 * i + 77)) | np.uint64(1)
+        out.append(W.mix(np.add.reduceat(letters * factor, begin) + (2 * lengths + kind).astype(np.uint64)))
+    return out[0], out[1]
+
+
 _HELD: dict[int, WordIds] = {}  # one tokenizer for each Python worker
 
 
@@ -99,16 +207,20 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, key: str = "doc_i
         if name not in _HELD:
             _HELD.clear()
             _HELD[name] = WordIds(spec)
-        tail, part, seen = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            for low, high, _, _ in W.chunks(batch.column(1), 1 << 20):
-                ids = [x + tail for x in _HELD[name]([x or "" for x in batch.column(1).slice(low, high - low).to_pylist()])]
-                whole = np.array([len(x) // 4 for x in ids], np.int64)
+            for low, high, data, offsets in W.chunks(batch.column(1), 1 << 20):
+                ids, n = _HELD[name](data, offsets)
+                whole = n + 1  # with the end id
+                ends = np.cumsum(whole)
+                full = np.full(int(ends[-1]), end_id, "<u4")
+                full[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
                 per = -(-whole // size)
-                row = np.repeat(np.arange(len(ids)), per)
+                row = np.repeat(np.arange(len(n)), per)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
                 length = np.minimum(whole[row] - piece * size, size)
-                sums = [zlib.crc32(memoryview(ids[r])[4 * a:4 * (a + n)]) for r, a, n in zip(row.tolist(), (piece * size).tolist(), length.tolist())]
+                raw, begin = memoryview(full.tobytes()), ends[row] - whole[row] + piece * size
+                sums = [zlib.crc32(raw[4 * a:4 * (a + x)]) for a, x in zip(begin.tolist(), length.tolist())]
                 order = np.argsort(length, kind="stable")
                 first = np.searchsorted(length[order], length[order])
                 nth = np.empty(len(row), np.int64)

@@ -276,12 +276,19 @@ def test_bounds_leave_documents_out():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abSTst' \n\t.,1²½ªéÀɏ̱İ日\x1c\x85\xa0<|>", max_size=40) | st.text(max_size=30))
-def test_word_ids_are_those_of_the_library(text):
+@given(st.lists(st.text(alphabet="abSTst' \n\t.,1²½ªéÀɏ̱İ日\x1c\x85\xa0<|>", max_size=40) | st.text(max_size=30), min_size=1, max_size=4), st.booleans())
+def test_word_ids_are_those_of_the_library(texts, restart):
+    import pyarrow as pa
+    from tessera.llm import words
     ids = test_word_ids_are_those_of_the_library.ids
-    text = text.encode("utf-8", "ignore").decode()
-    for x in (text, text + "<|endoftext|>" + text):
-        assert np.frombuffer(ids([x])[0], "<u4").tolist() == ids.library.encode(x, add_special_tokens=False).ids
+    if restart:
+        ids.restart()
+    texts = [x.encode("utf-8", "ignore").decode() for x in texts]
+    texts += [texts[0] + "<|endoftext|>" + texts[0], "x" * 200 + " " + texts[-1]]
+    flat, n = ids(*words.utf8(pa.array(texts)))
+    ends = n.cumsum()
+    for x, a, b in zip(texts, ends - n, ends):
+        assert flat[a:b].tolist() == ids.library.encode(x, add_special_tokens=False).ids
 
 
 test_word_ids_are_those_of_the_library.ids = packing.WordIds(open(WORD, encoding="utf-8").read())
