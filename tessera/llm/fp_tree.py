@@ -170,7 +170,7 @@ def build(ranks: np.ndarray, tfs: np.ndarray, sizes: np.ndarray, m: np.ndarray,
         while stack:  # a branch that holds most of the node is opened here: then each level is smaller by a factor
             a, b, d = stack.pop()
             d = shared(a, b, d)
-            if d * 4 == len(paths[a]) == len(paths[b - 1]):
+            if max(len(paths[a]), len(paths[b - 1])) <= 4 * d:  # equal paths, which end here
                 parts.append((a, b, d))
                 continue
             for x, y in branches(a, b, d)[::-1]:

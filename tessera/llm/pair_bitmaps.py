@@ -3,7 +3,7 @@
 Rows are numbered by task and place, and 65,536 numbers of one task make a container.  For each linked pair and container there is one compressed bitmap of the
 documents that hold the pair (bit positions of 16 bits, or plain bits where those are shorter), and for documents that hold it more than once, multiplicity planes: plane
 k has the documents where bit k of the further links is set.  Bitmaps are merged inside their task; the popcounts of containers add up to the document count
-of a pair.  The bitmaps, which are postings as well, then carry the scores of their pair back to their documents.
+of a pair.  The bitmaps, which are postings as well, then give the score of their pair back to their documents.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ SAFE = re.compile(r"(?<=\S)(?= \S)")
 TILES = re.compile(rf" ?[{LETTERS}]+|[^{LETTERS}]+?(?:(?<=\S)(?= [{LETTERS}])|(?<=[^\s'])(?=[{LETTERS}])|(?<=\S[^\S ])(?=[{LETTERS}])|\Z)|[^{LETTERS}]+[{LETTERS}]+")
 DOCUMENT = -1  # plane number of the document bitmap; ROW marks the rows of documents themselves
 ROW = -2
+SCORE = 127  # a row with the count of a pair, before the bitmaps of the pair
 
 
 class Aligner:
@@ -327,20 +328,24 @@ def align_documents(docs: DataFrame, byte_level: str, sentence_piece: str, key:
     Null and empty texts, and texts that the tokens do not give back byte for byte, have zeros and an empty hash.  Repeated rows and rows without a key are documents
     like others; further columns are ignored; an empty table gives an empty one.  A text is taken whole, piece by piece; memory follows the longest text.
 
-    The bitmaps are stored once in the shared folder and shuffled by pair, where the counts join them, and by container, where the scores of a container add
-    up in arrays of fixed size while its bitmaps stream by.  No group holds more than the bitmaps of one container of one pair.
+    The bitmaps are stored once in the shared folder and shuffled once, by container.  The counts come to the containers by the pairs' ids alone; the scores of a container add up in
+    arrays of fixed size while its bitmaps stream by, each behind its count.  No group holds more than the bitmaps of one container of one pair.
     """
     planes = encode(docs, byte_level, sentence_piece, key, text)
     rows = planes.filter(F.col("plane") == ROW)
     maps = planes.filter(F.col("plane") > ROW).select("container", "plane", "a", "b", "bits")
-    scored = maps.join(pair_counts(planes), ["a", "b"]).select("container", "plane", "bits", "count", "best")
-    none = [F.lit(None).cast(t).alias(k) for k, t in (("bits", "binary"), ("count", "long"), ("best", "boolean"))]
+    asked = maps.filter(F.col("plane") == DOCUMENT).select("container", "a", "b").distinct()
+    scores = asked.join(pair_counts(planes), ["a", "b"]).withColumn("plane", F.lit(SCORE))
     facts = ["place", "key", *NUMBERS, "groups_sha256"]
-    meet = scored.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in facts]).unionByName(rows.select("container", "plane", *none, *facts))
-    meet = meet.repartition("container").sortWithinPartitions("container", F.col("plane").desc())  # bitmaps first, then the rows of documents
+    columns = {f.name: f.dataType for f in (*maps.schema, *scores.schema, *rows.select(*facts).schema)}
+    parts = [df.select(*[F.col(c) if c in df.columns and not (df is rows and c in ("a", "b", "bits")) else F.lit(None).cast(t).alias(c) for c, t in columns.items()]) for df in (maps, scores, rows)]
+    meet = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # For each pair its count, then its bitmaps; the rows of documents come last.
+    meet = meet.repartition("container").sortWithinPartitions("container", F.col("a").asc_nulls_last(), "b", F.col("plane").desc())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, best, now = np.zeros(1 << CONTAINER, np.int64), np.zeros(1 << CONTAINER, np.int64), None
+        last = 0, 0  # count and whether it is the highest, of the pair before
         for batch in batches:
             containers = batch.column("container").to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], containers[1:] != containers[:-1]))) if len(containers) else []
@@ -352,12 +357,16 @@ def align_documents(docs: DataFrame, byte_level: str, sentence_piece: str, key:
                 plane = some.column("plane").to_numpy()
                 n_maps = int((plane > ROW).sum())
                 if n_maps:
-                    part = some.slice(0, n_maps)
-                    places, sizes = places_of(part.column("bits"))
-                    weight = np.left_shift(np.int64(1), np.maximum(plane[:n_maps], 0).astype(np.int64))
-                    np.add.at(total, places, np.repeat(weight * part.column("count").to_numpy(), sizes))
-                    wins = np.where(part.column("best").to_numpy(zero_copy_only=False).astype(bool), weight, 0)
-                    np.add.at(best, places, np.repeat(wins, sizes))
+                    is_score = plane[:n_maps] == SCORE
+                    behind = np.cumsum(is_score)
+                    count = np.concatenate(([last[0]], some.column("count").slice(0, n_maps).drop_null().to_numpy()))
+                    wins = np.concatenate(([last[1]], some.column("best").slice(0, n_maps).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)))
+                    last = count[-1], wins[-1]
+                    chosen = np.flatnonzero(~is_score)
+                    places, sizes = places_of(some.column("bits").take(pa.array(chosen)))
+                    weight = np.left_shift(np.int64(1), np.maximum(plane[chosen], 0).astype(np.int64))
+                    np.add.at(total, places, np.repeat(weight * count[behind[chosen]], sizes))
+                    np.add.at(best, places, np.repeat(weight * wins[behind[chosen]], sizes))
                 if n_maps < len(plane):
                     part = some.slice(n_maps)
                     place = part.column("place").to_numpy()

@@ -238,6 +238,20 @@ def test_ranked_search(docs_of, small, monkeypatch, rows):
     same([(r.item_id, r["rank"], r.doc_id, r.score) for r in got], ranked(docs, items, 7))
 
 
+def test_trees_of_equal_documents_and_of_prefixes():
+    paths = [[0, 1, 2]] * 400 + [[0, 1]] * 300 + [[0]] * 50 + [[0, 1, 2, 3]] * 60 + [[0, 1, 2, 3, i] for i in range(4, 40)] + [[5]]
+    sizes = np.array([len(p) for p in paths])
+    ranks = np.array([r for p in paths for r in p])
+    m = np.arange(len(paths)) % 90 + 30
+    tree = fp_tree.build(ranks, np.ones(len(ranks), np.int64), sizes, m, 40)
+    leaves = [(int(a), int(b)) for a, b, c in zip(tree.low, tree.high, tree.children) if c == (0, 0)]
+    assert sorted(leaves)[0][0] == 0 and all(a[1] == b[0] for a, b in zip(sorted(leaves), sorted(leaves)[1:])) and max(b for _, b in leaves) == len(paths)
+    assert max(b - a for a, b in leaves) <= fp_tree.LEAF
+    found = fp_tree.descend(tree, np.array([2, 3]), np.array([5, 9]), np.zeros(40, np.int64), np.arange(len(paths)), 20, 0)
+    score = [sum(w * (1_000_000_000 // (1000 + 8 * m[i])) for t, w in ((2, 5), (3, 9)) if t in p) for i, p in enumerate(paths)]
+    assert sorted(((s, k) for s, k, _ in found.rows), reverse=True) == sorted(((int(s), -i) for i, s in enumerate(score)), reverse=True)[:20]
+
+
 def test_ranked_search_in_blocks(docs_of, small, monkeypatch):
     monkeypatch.setattr(fp_tree, "BLOCK", 20)
     queries = docs_of([]).sparkSession.createDataFrame(ITEMS, "item_id long, text string")
