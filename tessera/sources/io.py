@@ -10,18 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.rollouts import source_label
 from ..operators.scale import positions, ranked
+from .json_array import read_json_array  # noqa: F401
 
 BAD = "_corrupt"
 
 
-def read_json_array(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """Objects of top-level JSON arrays.  One task reads one file, so land the result before working on it.
-
-    Text that is no array of objects (or is cut off) fails the job.
-    """
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
-
-
 def read_records(spark: SparkSession, path: str | list[str], fmt: str, schema: str | None = None) -> DataFrame:
     """jsonl, txt, csv or parquet.  An empty CSV field stays an empty text; nothing is read as missing."""
     reader = spark.read.schema(schema) if schema else spark.read
