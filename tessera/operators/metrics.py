@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scale import cut, positions, running_total, skew_join
+from .scale import cut, positions, running_total
 
 EPS = 2.220446049250313e-16  # distance from 1.0 to the next double; the clip of the log loss
 
@@ -113,24 +113,30 @@ def median_absolute_error(pairs: DataFrame, col: str) -> DataFrame:
                  .alias("median_ae")))
 
 
+def _long(pairs: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, x, y): predicted and true values of all columns one below the other."""
+    entry = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"pred_{c}").cast("double").alias("x"), F.col(f"gold_{c}").cast("double").alias("y"))
+    return pairs.select(F.explode(F.array(*[entry(c) for c in cols])).alias("e")).select("e.*")
+
+
+def _auc_by_column(rows: DataFrame) -> DataFrame:
+    per = rows.groupBy("column", F.col("x").alias("s")).agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
+    run = running_total(per, [F.col("s")], {"below": F.col("neg")}, by=["column"])
+    wins = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2))
+    return run.groupBy("column").agg((wins / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+
+
 def roc_auc(pairs: DataFrame, col: str) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties half.
 
     Positives and negatives are counted per distinct score; running totals over the distinct scores give the rest.
     """
-    per = pairs.groupBy(F.col(f"pred_{col}").alias("s")).agg(
-        F.sum((F.col(f"gold_{col}") == 1).cast("long")).alias("pos"), F.sum((F.col(f"gold_{col}") != 1).cast("long")).alias("neg"))
-    run = running_total(per, [F.col("s")], {"below": F.col("neg")})
-    wins = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2))
-    return run.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return _auc_by_column(_long(pairs, [col])).select("roc_auc")
 
 
 def mean_roc_auc(pairs: DataFrame, cols: list[str]) -> DataFrame:
-    return _mean_of_rows([roc_auc(pairs, c) for c in cols], "roc_auc")
-
-
-def _mean_of_rows(rows: list[DataFrame], name: str) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), rows).agg(F.avg(name).alias(name))
+    """One sort for all columns."""
+    return _auc_by_column(_long(pairs, cols)).agg(F.avg("roc_auc").alias("roc_auc"))
 
 
 def confusion(pairs: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
@@ -159,41 +165,43 @@ def quadratic_weighted_kappa(pairs: DataFrame, col: str, classes: int) -> DataFr
     return pairs.agg((1 - (F.avg((g - p) * (g - p)) / scale) / (expected / scale)).alias("qwk"))
 
 
-def tied_ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
-    """Average rank of each distinct value from its counts: (value, rank)."""
-    per = counts.groupBy(F.col(value).alias("_v")).agg(F.sum(n).alias("_n"))
-    run = running_total(per, [F.col("_v")], {"_upto": F.col("_n")})
-    return run.select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("_r"))
-
+def spearman_by_column(rows: DataFrame) -> DataFrame:
+    """(column, spearman) of a long table (column, x, y): Pearson correlation of tie-averaged ranks.
 
-def spearman(pairs: DataFrame, col: str) -> DataFrame:
-    """Pearson correlation of tie-averaged ranks, weighted over the distinct value pairs, which are counted once."""
-    cells = cut(pairs.groupBy(F.col(f"pred_{col}").alias("x"), F.col(f"gold_{col}").alias("y")).agg(F.count(F.lit(1)).alias("w")))
-    rx = tied_ranks(cells, "x", "w").withColumnsRenamed({"_v": "_xv", "_r": "rx"})
-    ry = tied_ranks(cells, "y", "w").withColumnsRenamed({"_v": "_yv", "_r": "ry"})
-    both = skew_join(skew_join(cells, rx, [("x", "_xv")], ["x", "y"]), ry, [("y", "_yv")], ["x", "y"])
+    Distinct value pairs are counted once.  Values of all columns and both sides are one table of counts, which is sorted once; its running totals are the ranks, and they
+    come back to the value pairs by plain joins.
+    """
+    cells = cut(rows.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+    side = lambda name: cells.select("column", F.lit(name).alias("side"), F.col(name).alias("v"), "w")
+    values = side("x").unionByName(side("y")).groupBy("column", "side", "v").agg(F.sum("w").alias("n"))
+    ranks = cut(running_total(values, [F.col("v")], {"upto": F.col("n")}, by=["column", "side"]).select("column", "side", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("r")))
+    of = lambda name: ranks.filter(F.col("side") == name).select("column", F.col("v").alias(name), F.col("r").alias(f"r{name}"))
+    both = cells.join(of("x"), ["column", "x"]).join(of("y"), ["column", "y"])
     w, x, y = F.col("w"), F.col("rx"), F.col("ry")
     n = F.sum(w)
     mid = (n + 1) / 2  # the mean of the ranks is known, so the moments can be centred in the same pass
     sxy, sxx, syy = F.sum(w * x * y), F.sum(w * x * x), F.sum(w * y * y)
-    return both.agg(((sxy - n * mid * mid) / F.sqrt((sxx - n * mid * mid) * (syy - n * mid * mid))).alias("spearman"))
+    return both.groupBy("column").agg(((sxy - n * mid * mid) / F.sqrt((sxx - n * mid * mid) * (syy - n * mid * mid))).alias("spearman"))
+
+
+def spearman(pairs: DataFrame, col: str) -> DataFrame:
+    return spearman_by_column(_long(pairs, [col])).select("spearman")
 
 
 def mean_spearman(pairs: DataFrame, cols: list[str]) -> DataFrame:
-    return _mean_of_rows([spearman(pairs, c) for c in cols], "spearman")
+    """One sort for all columns."""
+    return spearman_by_column(_long(pairs, cols)).agg(F.avg("spearman").alias("spearman"))
 
 
 def normalized_gini(pairs: DataFrame, col: str, key: list[str]) -> DataFrame:
     """Gini of the gold values ordered by falling prediction (ties in key order), over the Gini of the perfect order.
 
-    An item at position i (from 0) enters n - i of the running sums, so positions are enough.
+    An item at position i (from 0) enters n - i of the running sums, so positions are enough.  Equal gold values are interchangeable in the perfect order, so there counts of distinct values
+    do instead of rows.
     """
-    def gini(order: str) -> DataFrame:
-        rows = positions(pairs.select(*key, F.col(f"gold_{col}").alias("g"), F.col(order).alias("o")),
-                         [F.desc("o"), *[F.col(k) for k in key]], "i")
-        n = F.count(F.lit(1))
-        weighted = F.sum(F.col("g") * F.col("i"))
-        return rows.agg((((n * F.sum("g") - weighted) / F.sum("g") - (n + 1) / 2) / n).alias("v"))
-
-    a, b = gini(f"pred_{col}"), gini(f"gold_{col}").withColumnRenamed("v", "best")
-    return a.crossJoin(b).select((F.col("v") / F.col("best")).alias("normalized_gini"))  # one row each
+    slim = pairs.select(*key, F.col(f"gold_{col}").cast("double").alias("g"), F.col(f"pred_{col}").alias("o"))
+    rows = positions(slim, [F.desc("o"), *[F.col(k) for k in key]], "i").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("total"), F.sum(F.col("g") * F.col("i")).alias("weighted"))
+    values = running_total(slim.groupBy("g").agg(F.count(F.lit(1)).alias("c")), [F.desc("g")], {"upto": F.col("c")})
+    best = values.agg(F.sum(F.col("g") * F.col("c") * (F.col("upto") - (F.col("c") + 1) / 2)).alias("best"))
+    gini = lambda weighted: ((F.col("n") * F.col("total") - F.col(weighted)) / F.col("total") - (F.col("n") + 1) / 2) / F.col("n")
+    return rows.crossJoin(best).select((gini("weighted") / gini("best")).alias("normalized_gini"))  # one row each

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .audit import MESSAGES
-from .scale import running_total
+from .scale import running_total, with_group_stats
 
 # The standard columns, the accepted roles and the aliases of columns and roles.
 STANDARD = ("messages", "rejected_response", "label", "images", "videos", "audios", "tools",
@@ -250,23 +250,31 @@ def media_manifest_filter(df: DataFrame, path: str, manifest: DataFrame, manifes
     return rows.join(manifest.select(F.col(manifest_path).alias(path)).distinct(), path, "left_semi")
 
 
-def sessionize_steps(df: DataFrame, key: str, order: str, index: str, start: str = "0") -> DataFrame:
-    """Adds ``session``: the running number of step indices equal to ``start`` inside a key.
+def sessionize_steps(df: DataFrame, key: str, order: str, index: str, start: str = "0", step: str | None = None) -> DataFrame:
+    """Adds ``session``: the running number of step indices equal to ``start`` inside a key, and under the name ``step`` the 0-based number of the row in its session.
 
-    A key of any size is cut over many tasks, since the session number is a running total.
+    A key of any size is cut over many tasks, since the session number and the row number are running totals; a session begins at its smallest row number.
     """
     opens = F.when(F.col(index) == start, 1).otherwise(0).cast("long")
-    return running_total(df, [F.col(order)], {"session": opens}, by=[key])
+    if step is None:
+        return running_total(df, [F.col(order)], {"session": opens}, by=[key])
+    rows = running_total(df, [F.col(order)], {"session": opens, "_row": F.lit(1).cast("long")}, by=[key])
+    return with_group_stats(rows, [key, "session"], [F.min("_row").alias("_first")], spread=["_row"]).withColumn(step, F.col("_row") - F.col("_first")).drop("_row", "_first", "_rows")
 
 
-def session_messages(df: DataFrame, key: str, order: str, task: str, content: str, action: str) -> DataFrame:
-    """One conversation per session: the observation of each step is a user turn (the first carries the task), the action
-    the assistant turn.  The arrays hold one session."""
-    rows = df.groupBy(key, "session").agg(F.array_sort(F.collect_list(F.struct(order, task, content, action))).alias("_s"))
-    turns = F.flatten(F.transform("_s", lambda s, i: F.array(
-        message("user", F.when(i == 0, F.concat(s[content], F.lit("\n"), s[task])).otherwise(s[content])),
+def session_messages(df: DataFrame, key: str, order: str, task: str, content: str, action: str, step: str, max_steps: int = 4096) -> DataFrame:
+    """One conversation per session, as (key, session, part, messages): the observation of each step is a user turn (the first carries the task), the action
+    the assistant turn.
+
+    ``step`` is the number of the row in its session.  A session of more than ``max_steps`` steps comes out as parts in order, so that no array grows with a session; no step is
+    left out.
+    """
+    part = F.floor(F.col(step) / max_steps).cast("long").alias("part")
+    rows = df.groupBy(key, "session", part).agg(F.array_sort(F.collect_list(F.struct(order, step, task, content, action))).alias("_s"))
+    turns = F.flatten(F.transform("_s", lambda s: F.array(
+        message("user", F.when(s[step] == 0, F.concat(s[content], F.lit("\n"), s[task])).otherwise(s[content])),
         message("assistant", s[action]))))
-    return rows.select(key, "session", turns.alias("messages"))
+    return rows.select(key, "session", "part", turns.alias("messages"))
 
 
 def spans_to_tags(caption: Column, spans: Column, open_tag: str = "<ref-object>") -> Column:

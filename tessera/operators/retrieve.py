@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scale import salted_join, skew_join, top_k
+from .scale import cut, skew_join, top_k
 
 K1, B = 0.9, 0.4  # defaults of the lexical index
-QUERY_BYTES = 64 << 20  # vectors of one query block; more queries make more passes
+BLOCK, GROUP = 64, 64  # documents of a posting block, blocks of a group (expected, by hash)
+SLACK = 1e-9  # a bound and the score it bounds are added up in different orders
+PLACES = 9  # scores are compared after rounding to so many decimal places
+MOST_ROWS, TILE, FIRST_BALLS = 16_384, 256, 2  # vectors of a ball part, query rows that are multiplied at once, balls that give a block its floor
 
 
 def tokens(c) -> Column:
@@ -20,28 +24,76 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.lower(T.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def posting_blocks(terms: DataFrame, corpus: DataFrame, did: str, dtext: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, idf) for the words of ``terms``, stored: one row for each word and block of documents, with the block's postings and their largest weight.
+
+    Documents of about the same length share a block, as their weights are alike.  A block has about ``BLOCK`` documents and a group about ``GROUP`` blocks, whatever
+    the corpus; numbers come from hashes, so nothing is sorted.
+    """
+    docs = corpus.select(F.col(did).alias("_d"), tokens(dtext).alias("_t")).withColumn("dl", F.size("_t"))
+    shelf = F.floor(4 * F.log2(F.col("dl") + 1)).cast("int")
+    shelves = cut(docs.groupBy(shelf.alias("_shelf")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")))  # at most 124 rows
+    size = shelves.agg(F.sum("n").alias("_N"), (F.sum("words") / F.sum("n")).alias("_avg"))
+    words = _each_token(docs).join(terms.select("term").distinct(), "term").groupBy("_d", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    few = shelves.select("_shelf", F.ceil(F.col("n") / (BLOCK * GROUP)).alias("_groups")).crossJoin(size)
+    posts = words.withColumn("_shelf", shelf).join(F.broadcast(few), "_shelf")
+    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
+    spread = F.xxhash64("_d")
+    group = F.concat_ws("/", "_shelf", F.pmod(spread, F.col("_groups")))
+    blocks = (posts.select("term", group.alias("group"), F.pmod(F.shiftrightunsigned(spread, 32), F.lit(GROUP)).cast("int").alias("block"), "_N", F.struct("_d", weight.alias("w")).alias("p"))
+              .groupBy("term", "group", "block", "_N").agg(F.collect_list("p").alias("posts"), F.max("p.w").alias("most")))
+    blocks = cut(blocks)
+    df = blocks.groupBy("term", "_N").agg(F.sum(F.size("posts")).alias("df"))
+    return blocks, df.select("term", F.ln(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qtext: str, did: str, dtext: str) -> DataFrame:
-    """Best k documents per query by BM25; queries with fewer matching documents get fewer rows.
+    """Best k documents per query by BM25, exact; queries with fewer matching documents get fewer rows.
 
-    Only terms that occur in a query are kept.  The query terms come to the postings by broadcast while they are small and by
-    a salted join beyond, so a word found in every document is spread over many tasks.  Scores are added per (query,
-    document), and each task keeps k rows per query before the last exchange.
+    Postings of the query words are stored once in blocks with their largest weight (``posting_blocks``).  The largest weights bound every document of a group of
+    blocks, and of a block, for a query.  Documents of the most promising blocks are scored first, which gives each query a floor; of the rest, only blocks whose
+    bound reaches the floor are opened.  Words found in every document are spread over as many rows as there are blocks.
     """
-    terms = _each_token(queries.select(F.col(qid).alias("_q"), tokens(qtext).alias("_t"))).groupBy("_q", "term").agg(F.count(F.lit(1)).alias("qf"))
-    docs = corpus.select(F.col(did).alias("_d"), tokens(dtext).alias("_t"))
-    size = docs.agg(F.count(F.lit(1)).alias("_N"), F.avg(F.size("_t")).alias("_avg"))
-    vocab = terms.select(F.col("term").alias("_v")).distinct()
-    words = _each_token(docs.withColumn("dl", F.size("_t")))
-    posts = salted_join(words, vocab, [("term", "_v")], ["_d"]).groupBy("_d", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    posts = posts.crossJoin(F.broadcast(size))  # one-row side
-    saturation = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
-    # the same posting columns feed both the document frequencies and the scores, so the postings are exchanged once
-    df = posts.groupBy("term", "_N").agg(F.sum(F.when(saturation > 0, 1)).alias("df"))
-    idf = df.select(F.col("term").alias("_w"), F.ln(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weights = terms.join(idf, terms["term"] == idf["_w"]).select("_q", F.col("term").alias("_qterm"), (F.col("qf") * F.col("idf")).alias("qw"))
-    hits = salted_join(posts.select("_d", "term", saturation.alias("w")), weights, [("term", "_qterm")], ["_d", "term"])
-    total = hits.groupBy("_q", "_d").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    return top_k(total, ["_q"], [F.desc(F.round("score", 9)), F.col("_d")], k).withColumnsRenamed({"_q": qid, "_d": did})
+    terms = cut(_each_token(queries.select(F.col(qid).alias("_q"), tokens(qtext).alias("_t"))).groupBy("_q", "term").agg(F.count(F.lit(1)).alias("qf")))
+    blocks, idf = posting_blocks(terms, corpus, did, dtext)
+    weights = cut(terms.join(idf, "term").select("_q", "term", (F.col("qf") * F.col("idf")).alias("qw")))
+    return _ranked(weights, blocks, k).select(F.col("_q").alias(qid), F.col("_d").alias(did), "score", "rank")
+
+
+def _ranked(weights: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    first, rest = opened(weights, blocks, k)
+    total = first.unionByName(documents(weights, blocks, rest))
+    return top_k(total, ["_q"], [F.desc(F.round("score", PLACES)), F.col("_d")], k)
+
+
+def opened(weights: DataFrame, blocks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(scores of the documents of the first blocks, further (query, group, block) that can hold one of the k best)."""
+    most = cut(blocks.select("term", "group", "block", "most"))
+    coarse = weights.join(most.groupBy("term", "group").agg(F.max("most").alias("most")), "term")
+    coarse = cut(coarse.groupBy("_q", "group").agg(F.sum(F.col("qw") * F.col("most")).alias("bound")))
+
+    def fine(groups: DataFrame) -> DataFrame:
+        inside = weights.join(groups.select("_q", "group"), "_q").join(most, ["term", "group"])
+        return inside.groupBy("_q", "group", "block").agg(F.sum(F.col("qw") * F.col("most")).alias("bound"))
+
+    best = [F.desc("bound"), F.col("group")]
+    tried = cut(top_k(fine(top_k(coarse, ["_q"], best, 2)), ["_q"], [*best, F.col("block")], 2 + k // 16, "place").drop("place"))
+    scores = cut(documents(weights, blocks, tried))
+    floor = top_k(scores, ["_q"], [F.desc("score")], k, "place").filter(F.col("place") == k).select("_q", F.col("score").alias("floor"))
+
+    def reach(df: DataFrame) -> DataFrame:
+        enough = F.col("bound") * (1 + SLACK) + 10.0 ** -PLACES >= F.col("floor")
+        return df.join(floor, "_q", "left").filter(F.col("floor").isNull() | enough).drop("floor")
+
+    rest = reach(fine(reach(coarse))).select("_q", "group", "block").join(tried.select("_q", "group", "block"), ["_q", "group", "block"], "left_anti")
+    return scores, rest
+
+
+def documents(weights: DataFrame, blocks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(_q, _d, score) of all matching documents of the chosen (query, group, block)."""
+    asked = chosen.select("_q", "group", "block").join(weights, "_q")
+    posts = asked.join(blocks.select("term", "group", "block", "posts"), ["term", "group", "block"]).select("_q", "qw", F.explode("posts").alias("p"))
+    return posts.groupBy("_q", F.col("p._d").alias("_d")).agg(F.sum(F.col("qw") * F.col("p.w")).alias("score"))
 
 
 def _each_token(df: DataFrame) -> DataFrame:
@@ -49,44 +101,100 @@ def _each_token(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "_t"], F.explode_outer("_t").alias("term")).filter("term IS NOT NULL")
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: str, did: str, dvec: str,
-               block_bytes: int = QUERY_BYTES) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: str, did: str, dvec: str, block_rows: int | None = None) -> DataFrame:
     """Best k corpus vectors per query by inner product, exact.
 
-    Queries are cut by a hash of their id into blocks whose vectors stay under ``block_bytes``; a block goes to the tasks and
-    meets the corpus as matrix products over Arrow batches.  A task keeps its best k per query, so the last exchange moves
-    k rows per query and task.  More queries mean more passes over the corpus, never a larger block.
+    Corpus and queries lie in balls around centres from the corpus, as packed matrices of about ``block_rows`` vectors at most.  For queries and vectors of two balls the inner product is
+    at most that of the middles plus what the radii add (Cauchy-Schwarz).  Each block of queries first meets the balls with the highest bounds, which gives the block a floor;
+    of the others it meets those whose bound reaches the floor.  What meets is multiplied in Arrow tasks, a row for each pair, and k rows per query come out.
+
+    All vectors have the same dimension; rows without a vector are left out.  No vector passes through the driver.  The centres, one for each ball that is needed and 256 at most,
+    are one row.  Where no bound helps, as for vectors without structure, every block meets every ball.
     """
-    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size(qvec))).first()
-    blocks = max(1, -(-int(n) * int(dim or 1) * 8 * 2 // block_bytes))
-    parts = []
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b).select(F.col(qid).cast("long"), qvec).toPandas()
-        if len(block):
-            parts.append(_block_topk(block[qid].to_numpy(), np.stack(block[qvec].to_numpy()).astype("float64"), corpus, k, qid, did, dvec))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, [qid], [F.desc("score"), F.col(did)], k)
-
-
-def _block_topk(ids: np.ndarray, matrix: np.ndarray, corpus: DataFrame, k: int, qid: str, did: str, dvec: str) -> DataFrame:
-    def search(frames):
-        best_s = np.full((len(ids), 0), -np.inf)
-        best_i = np.zeros((len(ids), 0), dtype="int64")
-        for f in frames:
-            if not len(f):
-                continue
-            s = matrix @ np.stack(f["v"].to_numpy()).astype("float64").T
-            i = np.broadcast_to(f["d"].to_numpy(), s.shape)
-            s, i = np.hstack([best_s, s]), np.hstack([best_i, i])
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        if best_s.shape[1]:
-            yield pd.DataFrame({qid: np.repeat(ids, best_s.shape[1]), did: best_i.ravel(), "score": best_s.ravel()})
-
-    slim = corpus.select(F.col(did).cast("long").alias("d"), F.col(dvec).alias("v"))
-    return slim.mapInPandas(search, f"{qid} long, {did} long, score double")
+    n = corpus.count()
+    rows = block_rows or min(MOST_ROWS, max(1024, -(-n // 64)))
+    sample = corpus.select(F.col(dvec).cast("array<double>").alias("v")).filter("v IS NOT NULL").distinct()
+    sample = sample.orderBy(F.xxhash64("v")).limit(max(1, min(256, -(-n // rows))))
+    centres = sample.agg(F.collect_list("v").alias("centres"))
+    right, left = (pack_balls(df, centres, key, vector, rows) for df, key, vector in ((corpus, did, dvec), (queries, qid, qvec)))
+    first, rest = meetings(left, right, k)
+    found = first.unionByName(products(left, right, rest, k))
+    return top_k(found, ["q"], [F.desc("score"), F.col("d")], k).select(F.col("q").alias(qid), F.col("d").alias(did), "score", "rank")
+
+
+def pack_balls(vectors: DataFrame, centres: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """(ball, part, n, ids, matrix, centre, radius), stored: vectors by their nearest centre, in parts of about ``rows``.
+
+    ``centres`` is one row.  A ball with many vectors, as one of equal ones is, is cut into parts by a hash of the key; a part has a middle and a radius of its own.
+    """
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = None
+        for batch in batches:
+            if batch.num_rows:
+                c = np.array(batch.column("centres")[0].as_py()) if c is None else c
+                x = _matrix(batch.column("v"))
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.array(np.argmin((c * c).sum(1) - 2 * (x @ c.T), axis=1))], ["k", "v", "ball"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("v").combine_chunks())
+        middle = x.mean(axis=0)
+        radius = float(np.sqrt(((x - middle) ** 2).sum(1).max()))
+        return pa.table({"ball": table.column("ball").slice(0, 1), "part": table.column("part").slice(0, 1), "n": [len(x)], "ids": pa.array([table.column("k").to_numpy().astype("<i8").tobytes()], pa.binary()),
+                         "matrix": pa.array([x.astype("<f8").tobytes()], pa.binary()), "centre": pa.array([middle.tolist()]), "radius": [radius]})
+
+    slim = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    placed = cut(slim.crossJoin(F.broadcast(centres)).mapInArrow(nearest, "k long, v array<double>, ball long"))  # one row on the other side
+    parts = placed.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
+    dealt = placed.join(parts, "ball").select("k", "v", "ball", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"))
+    return cut(dealt.groupBy("ball", "part").applyInArrow(pack, "ball long, part long, n long, ids binary, matrix binary, centre array<double>, radius double"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def meetings(left: DataFrame, right: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(best products of each block with its most promising balls, further pairs of parts that can hold one of the k best)."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda c: F.sqrt(dot(c, c))
+    q, d = ([F.col(c).alias(a + c) for c in ("ball", "part", "n", "centre", "radius")] for a in "qd")
+    pairs = left.select(*q, norm(F.col("centre")).alias("qnorm")).crossJoin(right.select(*d, norm(F.col("centre")).alias("dnorm")))  # parts, not vectors
+    bound = dot(F.col("qcentre"), F.col("dcentre")) + F.col("qradius") * F.col("dnorm") + F.col("dradius") * F.col("qnorm") + F.col("qradius") * F.col("dradius")
+    pairs = cut(pairs.select("qball", "qpart", "qn", "dball", "dpart", bound.alias("bound")))
+    tried = cut(top_k(pairs, ["qball", "qpart"], [F.desc("bound"), F.col("dball"), F.col("dpart")], FIRST_BALLS, "place").drop("place"))
+    first = cut(products(left, right, tried, k))
+    kth = top_k(first, ["q"], [F.desc("score")], k, "place").filter(F.col("place") == k)
+    floor = kth.groupBy("qball", "qpart").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("have"))
+    rest = pairs.join(tried.select("qball", "qpart", "dball", "dpart"), ["qball", "qpart", "dball", "dpart"], "left_anti").join(floor, ["qball", "qpart"], "left")
+    enough = F.col("bound") + SLACK * (1 + F.abs("bound")) >= F.col("floor")
+    return first, rest.filter(F.col("floor").isNull() | (F.col("have") < F.col("qn")) | enough).select("qball", "qpart", "dball", "dpart")
+
+
+def products(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(qball, qpart, q, d, score): the k best of each pair of parts for each query."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
+                a_ids, b_ids = np.frombuffer(at("q_ids"), "<i8"), np.frombuffer(at("d_ids"), "<i8")
+                a, b = np.frombuffer(at("q_matrix"), "<f8").reshape(len(a_ids), -1), np.frombuffer(at("d_matrix"), "<f8").reshape(len(b_ids), -1)
+                for low in range(0, len(a), TILE):
+                    s = a[low:low + TILE] @ b.T
+                    least = np.partition(s, len(b) - k, axis=1)[:, len(b) - k] if len(b) > k else s.min(axis=1)
+                    row, col = np.nonzero(s >= least[:, None])
+                    score = s[row, col]
+                    order = np.lexsort((b_ids[col], -score, row))
+                    row, col, score = row[order], col[order], score[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    n = int(keep.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at("qball"))), pa.array(np.full(n, at("qpart"))), pa.array(a_ids[low + row[keep]]), pa.array(b_ids[col[keep]]), pa.array(score[keep])],
+                                                     ["qball", "qpart", "q", "d", "score"])
+
+    side = lambda df, a: df.select(F.col("ball").alias(f"{a}ball"), F.col("part").alias(f"{a}part"), F.col("ids").alias(f"{a}_ids"), F.col("matrix").alias(f"{a}_matrix"))
+    met = pairs.join(side(left, "q"), ["qball", "qpart"]).join(side(right, "d"), ["dball", "dpart"])
+    return met.repartition("qball", "qpart", "dball", "dpart").mapInArrow(multiply, "qball long, qpart long, q long, d long, score double")
 
 
 def attach_documents(hits: DataFrame, corpus: DataFrame, did: str, text: str) -> DataFrame:

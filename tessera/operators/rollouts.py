@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from .sample import hash_rank, seeded_hash
-from .scale import cut, positions, skew_join, top_k, with_group_stats
+from .scale import cut, numbered, skew_join, top_k, with_group_stats
 
 FLOATS = "array<double>"
 
@@ -287,7 +287,7 @@ def filter_uniform_groups(df: DataFrame, uid: str, sample: str, reward: str, ord
     if target is None:
         return kept
     rows = target * n_samples
-    return positions(kept, order, "_p").filter(F.col("_p") < rows).drop("_p", "_slab")
+    return numbered(kept, order, name="_p").filter(F.col("_p") < rows).drop("_p")
 
 
 def replace_uniform_groups(df: DataFrame, uid: str, sample: str, reward: str, n_samples: int, min_ratio: float,

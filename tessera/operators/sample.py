@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scale import cut, positions, ranked, running_total
+from .scale import cut, numbered, ranked, running_total
 
 def seeded_hash(key: list[str], seed: int | str) -> Column:
     return F.sha2(F.concat_ws(T.UNIT, F.lit(str(seed)), *[F.col(c).cast("string") for c in key]), 256)
@@ -68,7 +68,7 @@ def train_val_split(df: DataFrame, ratio: float, seed: int, key: list[str]) -> D
 def take_skip_split(df: DataFrame, n: int, ratio: float, order: list) -> DataFrame:
     """First n rows in order; the first int(n * ratio) of them are the validation part."""
     val = int(n * ratio)
-    rows = positions(df, order, "_p").drop("_slab").filter(F.col("_p") < n)
+    rows = numbered(df, order, name="_p").filter(F.col("_p") < n)
     return rows.withColumn("split", F.when(F.col("_p") < val, "validation").otherwise("train")).drop("_p")
 
 
@@ -90,9 +90,9 @@ def interleave(df: DataFrame, source: str, prob: dict[str, float], order: list[s
     p = F.create_map(*[x for k, v in prob.items() for x in (F.lit(k), F.lit(v))])
     unknown = F.raise_error(F.concat(F.lit("no probability for source "), F.coalesce(F.col(source).cast("string"), F.lit("null"))))
     share = F.coalesce(F.try_element_at(p, F.coalesce(F.col(source), F.lit(""))), unknown.cast("double"))
-    rows = ranked(df, [F.col(c) for c in order], [source], "_i")
+    rows = numbered(df, order, [source], "_i")
     jitter = unit_interval(seeded_hash([source, *order], seed))
-    rows = rows.withColumn("mix_key", (F.col("_i") - 1 + jitter) / share)
+    rows = rows.withColumn("mix_key", (F.col("_i") + jitter) / share)
     ends = rows.groupBy(source).agg(F.max("mix_key").alias("_end"), F.count(F.lit(1)).alias("_n"))
     if stop == "first_exhausted":
         last = ends.agg(F.min("_end").alias("_stop"))
@@ -132,27 +132,52 @@ def token_quotas(df: DataFrame, strata: list[str], length: str, target: int) ->
             .withColumn("quota", F.floor(F.col("available") * ratio).cast("long")).drop("_total"))
 
 
+def overflow_prefix(rows: DataFrame, strata: list[str], digest: str, length: str, quotas: DataFrame, few: int = 4096) -> tuple[DataFrame, int]:
+    """(strata, quota, _prefix, _used) of the strata that overflow their quota, stored, and the length of the prefixes.
+
+    ``_prefix`` begins the digest of the first row in digest order that overflows, ``_used`` is the sum of the lengths of all rows with smaller prefixes.  Each
+    level adds up the rows below the prefixes found so far by two more digits and descends into the first sum that passes the quota.  It ends where at most ``few`` rows of a stratum share
+    the prefix, or where the digest does.
+    """
+    path = quotas.withColumn("_prefix", F.lit("")).withColumn("_used", F.lit(0).cast("long"))
+    depth = 0
+    while True:
+        depth += 2
+        below = rows.join(path, strata).filter(F.substring(digest, 1, depth - 2) == F.col("_prefix"))
+        sums = below.groupBy(*strata, "quota", "_used", F.substring(digest, 1, depth).alias("_next")).agg(F.sum(length).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+        upto = F.col("_used") + F.sum("_sum").over(W.partitionBy(*strata).orderBy("_next"))  # at most 256 rows of hexadecimal digits
+        first = sums.withColumn("_upto", upto).filter(F.col("_upto") > F.col("quota")).groupBy(*strata).agg(F.min_by(F.struct("quota", "_next", (F.col("_upto") - F.col("_sum")).alias("_used"), "_n"), "_next").alias("_s"))
+        path = cut(first.select(*strata, "_s.quota", F.col("_s._next").alias("_prefix"), "_s._used", "_s._n"))
+        most = path.agg(F.max("_n")).first()[0]
+        if (most or 0) <= few or depth >= 64:
+            return path.drop("_n"), depth
+        path = path.drop("_n")
+
+
 def stratified_token_quota(df: DataFrame, strata: list[str], key: list[str], digest: str, length: str, target: int,
                            variant: str = "greedy") -> DataFrame:
     """Fill each stratum's token quota in digest order; a row that would overflow is skipped and filling goes on.
 
-    Works for strata of any size.  Up to the first overflow the fill is a running total.  From there less than one row
-    length R of the quota is left: of every length v only the first R // v rows can still fit (a rejected length stays
+    Works for strata of any size.  Up to the first overflow the fill is all rows, and where that is is found by the token sums of digest prefixes
+    (``overflow_prefix``); only the rows of one last prefix are sorted.  From there less than one row length R of the quota is left: of every length v only the first R // v rows can still fit (a rejected length stays
     rejected), so the sequential part sees at most R * (1 + 1/2 + ... + 1/R) rows per stratum.
     ``variant='prefix'`` stops at the first overflow.
     """
     slim = cut(df.select(*strata, *key, digest, F.col(length).cast("long").alias("_len")))  # lengths and digests are computed once
-    quotas = token_quotas(slim, strata, "_len", target)
-    q = quotas.select(*strata, "quota")
-    run = running_total(slim, [F.col(digest)] + [F.col(c) for c in key], {"_run": F.col("_len")}, by=strata)
-    run = cut(run.join(q, strata))
-    prefix = run.filter(F.col("_run") <= F.col("quota"))
+    quotas = cut(token_quotas(slim, strata, "_len", target).select(*strata, "quota"))
+    path, depth = overflow_prefix(slim, strata, digest, "_len", quotas)
+    met = slim.join(path, strata, "left")
+    head = F.substring(digest, 1, depth)
+    whole = met.filter(F.col("_prefix").isNull() | (head < F.col("_prefix"))).select(*strata, *key, digest, "_len")
+    inside = met.filter(head == F.col("_prefix")).select(*strata, *key, digest, "_len", "_used", "quota")
+    run = cut(running_total(inside, [F.col(digest)] + [F.col(c) for c in key], {"_run": F.col("_len")}, by=strata).withColumn("_run", F.col("_run") + F.col("_used")))
+    within = run.filter(F.col("_run") <= F.col("quota"))
+    prefix = whole.unionByName(within.select(*strata, *key, digest, "_len"))
     if variant == "prefix":
         return prefix.select(*strata, *key, digest, F.col("_len").alias(length))
-    used = prefix.groupBy(*strata).agg(F.max("_run").alias("_used"))
-    rest = (run.filter(F.col("_run") > F.col("quota")).join(used, strata, "left")
-            .withColumn("_left", F.col("quota") - F.coalesce("_used", F.lit(0)))
-            .filter(F.col("_len") <= F.col("_left")))
+    left = path.join(within.groupBy(*strata).agg(F.max("_run").alias("_end")), strata, "left").select(*strata, (F.col("quota") - F.coalesce("_end", "_used")).alias("_left"))
+    beyond = met.filter(head > F.col("_prefix")).select(*strata, *key, digest, "_len").unionByName(run.filter(F.col("_run") > F.col("quota")).select(*strata, *key, digest, "_len"))
+    rest = beyond.join(left, strata).filter(F.col("_len") <= F.col("_left"))
     placed = ranked(rest.select(*strata, *key, digest, "_len", "_left"), [F.col(digest)] + [F.col(c) for c in key],
                       [*strata, "_len"], "_rk")
     tail = placed.filter((F.col("_len") == 0) | (F.col("_rk") * F.col("_len") <= F.col("_left")))
@@ -274,7 +299,7 @@ def even_shards(df: DataFrame, shards: int, order: list) -> DataFrame:
 
 
 def _shard(df: DataFrame, n: int, order: list, even: bool) -> DataFrame:
-    rows = positions(df, order, "_p").drop("_slab")
+    rows = numbered(df, order, name="_p")
     size = rows.agg(F.count(F.lit(1)).alias("_len"))
     rows = rows.crossJoin(F.broadcast(size))  # one-row side
     small, extra, p = F.floor(F.col("_len") / n), F.col("_len") % n, F.col("_p")
@@ -288,7 +313,7 @@ def _shard(df: DataFrame, n: int, order: list, even: bool) -> DataFrame:
 
 def drop_tail(df: DataFrame, multiple: int, order: list) -> DataFrame:
     """The first rows in order, cut to a multiple of ``multiple``."""
-    rows = positions(df, order, "_p").drop("_slab")
+    rows = numbered(df, order, name="_p")
     size = rows.agg((F.floor(F.count(F.lit(1)) / multiple) * multiple).alias("_keep"))
     return rows.crossJoin(F.broadcast(size)).filter(F.col("_p") < F.col("_keep")).drop("_p", "_keep")  # one-row side
 

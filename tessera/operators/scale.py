@@ -133,6 +133,24 @@ def running_total(df: DataFrame, order: list, values: dict[str, Column], by: lis
     return out.drop("_slab", "_pos", "_bs", *drop, *[f"_b_{c}" for c in by])
 
 
+def numbered(df: DataFrame, order: list, by: list[str] | None = None, name: str = "pos") -> DataFrame:
+    """Exact 0-based position of each row under ``order``, inside each group of ``by`` when given, for rows of any width.
+
+    Only keys are sorted and stored: distinct keys with their counts, and the running total of the counts, which is where the rows of a key begin.  It comes
+    back by a join on the keys, so that a row's content is read once and moved once.  Rows with equal keys get the positions of that key in any order.
+    """
+    by = by or []
+    cols = [*by, *order]
+    keys = [f"_k{i}" for i in range(len(cols))]
+    rows = df.withColumns({k: F.col(c) if isinstance(c, str) else c for k, c in zip(keys, cols)})
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_total(counts, [F.col(k) for k in keys[len(by):]], {"_upto": F.col("_n")}, by=keys[:len(by)])
+    side = upto.select(*[F.col(k).alias(f"_s{k}") for k in keys], (F.col("_upto") - F.col("_n")).alias("_first"))
+    met = rows.join(side, _same([rows[k] for k in keys], [side[f"_s{k}"] for k in keys]))
+    among = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0))) - 1  # the join has already dealt the rows by key
+    return met.withColumn(name, F.col("_first") + among).drop("_first", *keys, *[f"_s{k}" for k in keys])
+
+
 def top_k(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     """Best ``k`` rows per group.  The rank filter lets Spark keep only k rows per group on the map side."""
     return (df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))

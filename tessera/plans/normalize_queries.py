@@ -147,10 +147,10 @@ def _(t):
 
 
 @query("session_messages", "N17", f"""WITH {STEP_SQL}, y AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY event_id) AS i FROM z)
-  SELECT user_id, session, string_agg('user=' || props || CASE WHEN i = 1 THEN chr(10) || 'do it' ELSE '' END || chr(10) || 'assistant=' || event_type, chr(10) ORDER BY event_id) AS messages FROM y GROUP BY user_id, session""")
+  SELECT user_id, session, (i - 1) // 3 AS part, string_agg('user=' || props || CASE WHEN i = 1 THEN chr(10) || 'do it' ELSE '' END || chr(10) || 'assistant=' || event_type, chr(10) ORDER BY event_id) AS messages FROM y GROUP BY ALL""")
 def _(t):
-    s = N.sessionize_steps(select(t.events, **STEP), "user_id", "event_id", "idx").withColumn("task", F.lit("do it"))
-    return N.session_messages(s, "user_id", "event_id", "task", "props", "event_type").select("user_id", "session", flat())
+    s = N.sessionize_steps(select(t.events, **STEP), "user_id", "event_id", "idx", step="step").withColumn("task", F.lit("do it"))
+    return N.session_messages(s, "user_id", "event_id", "task", "props", "event_type", "step", max_steps=3).select("user_id", "session", "part", flat())
 
 
 @query("spans_to_tags", "N18", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<o>' || substr(text, 3, 1) || '<o>' || substr(text, 6) WHEN doc_id % 3 = 1 THEN substr(text, 1, 1) || '<o>' || substr(text, 3) END AS text FROM documents")

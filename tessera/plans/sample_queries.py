@@ -121,13 +121,22 @@ def _(t):
     return S.stratified_token_quota(_pool(t), ["source", "bucket"], ["row_id"], "digest", "tokens", 200000).drop("digest")
 
 
-@query("pack_sequences", "D10", """SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, sum(n_chars)::BIGINT AS tokens, TRUE AS all_fit FROM documents WHERE n_chars <= 4096""")
+# The assignment itself is left to the packer; what must hold for it is stated for every row: it is there once, its bin is within the limit and without gaps, and it
+# is rejected where it is longer than a bin.
+PACKED = """SELECT doc_id, n_chars, CASE WHEN n_chars > 4096 THEN 'too_long' END AS reason, count(*) OVER (PARTITION BY doc_id) AS times, TRUE AS fits, TRUE AS gapless FROM documents"""
+
+
+def packed_rows(rows, by):
+    """Packed rows with what is true of their bins."""
+    bins = rows.filter("reason IS NULL").groupBy(*by).agg((F.sum("n_chars") <= 4096).alias("fits"), ((F.count("slot") == F.max("slot") + 1) & (F.count_distinct("slot") == F.count("*"))).alias("gapless"))
+    rejected = F.col("reason").isNotNull() & F.col("bin").isNull()
+    times = rows.groupBy("doc_id").agg(F.count("*").alias("times"))
+    return rows.join(bins, by, "left").join(times, "doc_id").select("doc_id", "n_chars", "reason", "times", F.coalesce("fits", rejected).alias("fits"), F.coalesce("gapless", rejected).alias("gapless"))
+
+
+@query("pack_sequences", "D10", PACKED)
 def _(t):
-    bins = (S.pack_sequences(t.documents, "doc_id", "n_chars", 4096, 8).filter("reason IS NULL")
-            .withColumn("k", F.col("doc_id")).groupBy("shard", "bin")
-            .agg(F.count("*").alias("n"), F.count_distinct("k").alias("d"), F.sum("n_chars").alias("total")))
-    return bins.agg(F.sum("n").alias("n_rows"), F.sum("d").alias("n_keys"), F.sum("total").alias("tokens"),
-                    (F.max("total") <= 4096).alias("all_fit"))
+    return packed_rows(S.pack_sequences(t.documents, "doc_id", "n_chars", 4096, 8), ["shard", "bin"])
 
 
 @query("merge_packed", "D11", f"""WITH {TOKEN_CTE} SELECT uid, array_to_string(flatten(list(ids ORDER BY sample)), ',') AS ids,

@@ -329,15 +329,48 @@ def _(t):
     return E.wikisql_match(select(t.documents, **WSQL), "reply", "gold").select("id", "text_equal", "correct")
 
 
-@query("bleu4_summary", "E12")
+def overlap_sql(n_grams, reference, candidate, units, sep):
+    """Hits of a candidate's n-grams in the reference, for n from 1 to 4: (id, n, hits, size)."""
+    gram = lambda side, n: f"SELECT id, {n} AS n, array_to_string({side}[i:i + {n - 1}], '{sep}') AS g, count(*) AS c FROM (SELECT id, {side}, unnest(range(1, len({side}) - {n - 2})) AS i FROM {units}) GROUP BY ALL"
+    both = " UNION ALL ".join(f"SELECT c.id, c.n, sum(least(c.c, r.c)) AS hits FROM ({gram(candidate, n)}) c JOIN ({gram(reference, n)}) r USING (id, n, g) GROUP BY ALL" for n in n_grams)
+    return f"SELECT u.id, m.n, coalesce(o.hits, 0) AS hits, greatest(1, len({candidate}) - m.n + 1) AS size, len({candidate}) AS lc, len({reference}) AS lr FROM {units} u CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) m LEFT JOIN ({both}) o ON o.id = u.id AND o.n = m.n"
+
+
+TURNS = "p AS (SELECT row_number() OVER () AS id, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
+WORD_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+BREVITY = "CASE WHEN max(lc) < max(lr) THEN 1 - max(lr) / max(lc) ELSE 0 END"
+BLEU = f"""WITH {TURNS}, u AS (SELECT id, regexp_extract_all(lower(a), '{WORD_RE}') AS r, regexp_extract_all(lower(b), '{WORD_RE}') AS c FROM p WHERE a <> '' AND b <> ''),
+  s AS (SELECT p.id, coalesce(v, 0) AS v FROM p LEFT JOIN (SELECT id, CASE WHEN max(hits) FILTER (n = 1) > 0 THEN exp(sum(ln(CASE WHEN hits > 0 THEN hits / size ELSE 0.1 / size END)) / 4 + {BREVITY}) ELSE 0 END AS v
+    FROM ({overlap_sql((1, 2, 3, 4), 'r', 'c', 'u', chr(31))}) GROUP BY id) USING (id))
+  SELECT round(avg(v), 9) AS mean, round(min(v), 9) AS min, round(max(v), 9) AS max, round(stddev_pop(v), 9) AS std, round(median(v), 9) AS median FROM s"""
+
+
+@query("bleu4_summary", "E12", BLEU)
 def _(t):
     a = t.conversations.select("conv_id", "turn", F.col("text").alias("a"))
     b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
     s = a.join(b, ["conv_id", "turn"]).select(E.bleu4(F.array("a"), F.col("b")).alias("bleu"))
-    return E.score_summary(s, "bleu")
-
-
-@query("rouge_bleu_mean", "E13")
+    return E.score_summary(s, "bleu").select(*[F.round(c, 9).alias(c) for c in ("mean", "min", "max", "std", "median")])
+
+
+# The longest common subsequence by recursion over the words of one side: with a row of the table known, the next is the running maximum of its steps.
+ROUGE = f"""WITH RECURSIVE {TURNS}, u AS (SELECT id, regexp_extract_all(a, '{WORD_RE}') AS x, regexp_extract_all(b, '{WORD_RE}') AS y, string_split(b, '') AS r, string_split(a, '') AS c FROM p),
+  k AS (SELECT * FROM u WHERE len(x) > 0 AND len(y) > 0),
+  l AS (SELECT id, 0 AS i, list_transform(y, lambda w: 0::BIGINT) AS row FROM k UNION ALL
+        SELECT id, i + 1, list_transform(range(1, len(step) + 1), lambda j: list_max(step[1:j])) FROM (SELECT l.id, l.i, list_transform(range(1, len(y) + 1), lambda j: greatest(l.row[j], CASE WHEN y[j] = x[l.i + 1] THEN coalesce(l.row[j - 1], 0) + 1 ELSE 0 END)) AS step
+          FROM l JOIN k ON k.id = l.id WHERE l.i < len(x))),
+  q AS (SELECT l.id, l.row[len(y)] AS lcs FROM l JOIN k ON k.id = l.id AND l.i = len(x)),
+  o AS ({overlap_sql((1, 2, 3, 4), 'r', 'c', 'k', '')}),
+  z AS (SELECT *, sum(CASE WHEN hits = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS zeros FROM o),
+  e AS (SELECT id, CASE WHEN max(hits) FILTER (n = 1) > 0 THEN exp(sum(ln(CASE WHEN hits > 0 THEN hits / size ELSE 1 / (2 ** zeros * size) END)) / 4 + {BREVITY}) ELSE 0 END AS bleu FROM z GROUP BY id),
+  g AS (SELECT id, n, list_distinct(list_transform(range(1, len(x) - n + 2), lambda i: array_to_string(x[i:i + n - 1], chr(31)))) AS gx, list_distinct(list_transform(range(1, len(y) - n + 2), lambda i: array_to_string(y[i:i + n - 1], chr(31)))) AS gy
+        FROM k CROSS JOIN (SELECT unnest([1, 2]) AS n)),
+  f AS (SELECT id, n, CASE WHEN len(list_intersect(gx, gy)) > 0 THEN 2 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)) ELSE 0 END AS f FROM g)
+  SELECT round(avg(f) FILTER (n = 1) * 100, 6) AS rouge1, round(avg(f) FILTER (n = 2) * 100, 6) AS rouge2, round((SELECT avg(CASE WHEN lcs > 0 THEN 2 * lcs / (len(x) + len(y)) ELSE 0 END) FROM q JOIN k USING (id)) * 100, 6) AS rougel,
+    round((SELECT avg(bleu) FROM e) * 100, 6) AS bleu4 FROM f"""
+
+
+@query("rouge_bleu_mean", "E13", ROUGE)
 def _(t):
     a = t.conversations.select("conv_id", "turn", F.col("text").alias("a"))
     b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))

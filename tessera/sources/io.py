@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.rollouts import source_label
-from ..operators.scale import positions, ranked
+from ..operators.scale import numbered
 from .json_array import read_json_array  # noqa: F401
 
 BAD = "_corrupt"
@@ -46,9 +46,7 @@ def read_sources(sources: dict[str, DataFrame], subset: list[str] | str | None =
 
 def with_row_index(df: DataFrame, order: list, by: list[str] | None = None, name: str = "row") -> DataFrame:
     """Exact 0-based row number in the given order, per source when ``by`` is given."""
-    if by:
-        return ranked(df, order, by, name).withColumn(name, F.col(name) - 1)
-    return positions(df, order, name).drop("_slab")
+    return numbered(df, order, by, name)
 
 
 def land(df: DataFrame, path: str, partition: list[str] | None = None) -> DataFrame:
@@ -103,7 +101,7 @@ def preview_page(df: DataFrame, order: list[str], page: int, page_size: int, max
                  max_size: int | None = 200) -> tuple[DataFrame, DataFrame]:
     """(page of cells as text, totals).  A preview for people: page and size are clamped, long text is cut and missing cells are ''.
 
-    Each limit is a parameter, None for no limit.  The totals tell how many rows and columns there are in all.
+    A page is cut out by the positions of its rows, so a deep page costs what the first one does.  Each limit is a parameter, None for no limit.  The totals tell how many rows and columns there are in all.
     """
     size = max(int(page_size), 1) if max_size is None else min(max(int(page_size), 1), max_size)
     rows = df.count()
@@ -111,7 +109,8 @@ def preview_page(df: DataFrame, order: list[str], page: int, page_size: int, max
     at = min(max(int(page), 1), pages)
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns[:max_cols]]
     cells = [(x if max_chars is None else F.substring(x, 1, max_chars)).alias(c) for x, c in zip(cells, df.columns)]
-    view = df.orderBy(*order).offset((at - 1) * size).limit(size).select(*cells)
+    low = (at - 1) * size
+    view = numbered(df, order, name="_at").filter((F.col("_at") >= low) & (F.col("_at") < low + size)).orderBy("_at").select(*cells)
     totals = df.sparkSession.createDataFrame([(rows, len(df.columns), pages, at)], "total_rows long, total_columns int, total_pages long, page long")
     return view, totals
 

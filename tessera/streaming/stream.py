@@ -12,13 +12,16 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sample import pack_sequences
+from .key_log import KeyLog
 
 
-def source(spark: SparkSession, folder: str, name: str, schema, fmt: str = "parquet") -> DataFrame:
-    """File stream over one table of a folder (a file or a folder of files).  The schema is fixed, never inferred."""
-    return spark.readStream.schema(schema).format(fmt).load(f"{folder}/{name}*")
+def source(spark: SparkSession, folder: str, name: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+    """File stream over one table of a folder (a file or a folder of files), oldest files first.  The schema is fixed, never inferred."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(f"{folder}/{name}*")
 
 
 def stream_normalize(stream: DataFrame, recipe: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -43,28 +46,59 @@ def stream_rollout_metrics(stream: DataFrame, ts: str, window: str, late: str, r
             F.col(c) for c in ("rollouts", "avg_score", "min_tokens", "max_tokens", "avg_tokens", "avg_tokens_rewarded", "avg_tokens_unrewarded")])
 
 
-def stream_complete_groups(stream: DataFrame, uid: str, sample: str, reward: str, n_samples: int) -> DataFrame:
-    """Prompt groups released once all their samples are there, unless the rewards are all equal.
-
-    State per prompt is at most ``n_samples`` (sample, reward) pairs; it is dropped when the group is complete.
-    """
-    slim = stream.select(F.col(uid).cast("long").alias("uid"), F.col(sample).cast("long").alias("sample"), F.col(reward).cast("double").alias("reward"))
-    shape = "uid long, sample long, reward double"
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        samples, rewards = (list(x) for x in state.get) if state.exists else ([], [])
-        for f in frames:
-            samples += f["sample"].tolist()
-            rewards += f["reward"].tolist()
-        if len(samples) < n_samples:
-            state.update((samples, rewards))
+class _Groups(StatefulProcessor):
+    """Samples of one prompt until they are complete, or until the event-time timer of the last one runs out."""
+
+    def __init__(self, n_samples: int, patience_ms: int):
+        self.n_samples, self.patience_ms = n_samples, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.samples = handle.getListState("samples", "sample long, reward double")
+        self.last = handle.getValueState("last", "ms long")
+
+    def _free(self) -> None:
+        self.handle.deleteTimer(self.last.get()[0])
+        self.samples.clear()
+        self.last.clear()
+
+    def _out(self, key, rows: list[tuple], reason: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"uid": key[0], "sample": [r[0] for r in rows], "reward": [r[1] for r in rows], "reason": reason})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(rows)
+        known = [tuple(r) for r in self.samples.get()] if self.samples.exists() else []
+        have = known + list(zip(new["sample"].tolist(), new["reward"].tolist()))
+        due = int(new["ms"].max()) + self.patience_ms
+        if self.last.exists():
+            due = max(due, self.last.get()[0])
+            self._free()
+        if len(have) >= self.n_samples:
+            same = self.n_samples > 1 and min(r for _, r in have) == max(r for _, r in have)
+            yield self._out(key, have, "uniform" if same else None)
             return
-        if state.exists:
-            state.remove()
-        if min(rewards) < max(rewards) or n_samples == 1:
-            yield pd.DataFrame({"uid": key[0], "sample": samples, "reward": rewards})
+        self.samples.put(have)
+        self.last.update((due,))
+        self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        have = [tuple(r) for r in self.samples.get()]
+        self.samples.clear()
+        self.last.clear()
+        yield self._out(key, have, "unfinished")
+
+
+def stream_complete_groups(stream: DataFrame, uid: str, sample: str, reward: str, n_samples: int, ts: str, late: str, patience_s: int) -> DataFrame:
+    """(uid, sample, reward, reason) of prompt groups, released once all their samples are there.
 
-    return slim.groupBy("uid").applyInPandasWithState(step, shape, "samples array<long>, rewards array<double>", "append", "NoTimeout")
+    A group whose rewards are all equal comes out with the reason ``uniform``.  A group that is not complete when the watermark is ``patience_s`` seconds past its last sample
+    comes out as it is, with the reason ``unfinished``.  Either way its state is freed, so state is bounded by the samples of that time span.  Needs the RocksDB
+    state store (``run(..., rocksdb=True)``).
+    """
+    at = F.col(ts).cast("timestamp")
+    slim = stream.select(F.col(uid).cast("long").alias("uid"), F.col(sample).cast("long").alias("sample"), F.col(reward).cast("double").alias("reward"), at.alias("ts"), F.unix_millis(at).alias("ms"))
+    return slim.withWatermark("ts", late).groupBy("uid").transformWithStateInPandas(
+        _Groups(n_samples, 1000 * patience_s), "uid long, sample long, reward double, reason string", "Append", "EventTime")
 
 
 def batch_writer(path: str, transform: Callable[[DataFrame, int], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -87,6 +121,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def group_collector(path: str) -> Callable[[DataFrame, int], None]:
     """Stages the complete groups of every batch; how many are used is decided when they are read."""
     def write(df: DataFrame, batch: int) -> None:
@@ -95,15 +134,16 @@ def group_collector(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def collected_groups(spark: SparkSession, path: str, target_rows: int) -> DataFrame:
-    """The first ``target_rows`` staged rows by (uid, sample), whatever batches they came in."""
-    return read_batches(spark, path).orderBy("uid", "sample").limit(target_rows)
+    """The first ``target_rows`` staged rows of released groups by (uid, sample), whatever batches they came in."""
+    return read_batches(spark, path).filter("reason IS NULL").orderBy("uid", "sample").limit(target_rows)
 
 
 def packer(out: str, open_bins: str, key: str, length: str, max_len: int, shards: int) -> Callable[[DataFrame, int], None]:
     """Packs each micro-batch together with the bins left open by the one before.
 
     The last bin of each shard stays open: its rows are the carry table of the batch (at most one bin per shard).  Rows longer than ``max_len`` are
-    written with their reason and are in no bin.
+    written with their reason and are in no bin.  The staged batch is deleted when it has been split; the carry table of the batch before stays until then, so that a
+    repeated batch finds it.
     """
     def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
@@ -117,32 +157,56 @@ def packer(out: str, open_bins: str, key: str, length: str, max_len: int, shards
         marked = packed.join(F.broadcast(last), F.col("shard") == F.col("_s")).withColumn("open", F.coalesce(F.col("bin") == F.col("_last"), F.lit(False))).drop("_s", "_last")
         marked.filter("NOT open").drop("open").write.mode("overwrite").parquet(f"{out}/batch={batch}")
         marked.filter("open").drop("open").write.mode("overwrite").parquet(f"{open_bins}/batch={batch}")
+        for old in (staged, f"{open_bins}/batch={batch - 2}"):
+            _delete(spark, old)
     return write
 
 
 def resume(df: DataFrame, finished: DataFrame | None, key: str) -> DataFrame:
-    """Rows whose key is not among the finished ones."""
-    return df if finished is None else df.join(finished.select(key), key, "left_anti")
+    """Rows whose key is not among the finished ones (a column ``key`` of texts)."""
+    return df if finished is None else df.join(finished.select(F.col("key").alias("_done")), F.col(key).cast("string") == F.col("_done"), "left_anti")
 
 
-def resumable_sink(path: str, key: str, transform: Callable[[DataFrame], DataFrame], run: str | None = None) -> Callable[[DataFrame, int], None]:
+def resumable_sink(path: str, key: str, transform: Callable[[DataFrame], DataFrame], run: str | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """Processes only keys that no other batch or run has written.
 
     Folders are named by run and batch, so a run that counts its batches from 0 again touches nothing of the runs before; a batch that is repeated
-    in its own run is written again.  ``run`` names the run; by default each sink is one of its own.
+    in its own run is written again.  ``run`` names the run; by default each sink is one of its own.  Which keys are written is looked up in a ``KeyLog`` beside the
+    folders, so a batch does not read the batches before it.  Folders that a job left without an entry in the log, as it died in between, are entered at the
+    first batch of the next sink.
     """
     run = run or uuid.uuid4().hex
+    ready = False
 
     def write(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        done = None
-        if _exists(spark, path):
-            done = read_runs(spark, path).filter((F.col("run_id") != run) | (F.col("batch") != batch))
-        transform(resume(df, done, key)).write.mode("overwrite").parquet(f"{path}/run_id={run}/batch={batch}")
+        nonlocal ready
+        log = KeyLog(df.sparkSession, f"{path}-keys", buckets)
+        if not ready:
+            _enter_missing(log, path, key, run, batch)
+            ready = True
+        folder = f"{path}/run_id={run}/batch={batch}"
+        done = log.finished(df.select(key), key, run, batch)
+        transform(resume(df, done, key)).write.mode("overwrite").parquet(folder)
+        log.append(df.sparkSession.read.parquet(folder), key, run, batch)
     return write
 
 
-def run(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process what is there and stop."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
-    q.awaitTermination()
+def _enter_missing(log: KeyLog, path: str, key: str, run: str, batch: int) -> None:
+    for owner in sorted(log._names(path)):
+        for part in sorted(log._names(f"{path}/{owner}")):
+            name, number = owner.removeprefix("run_id="), int(part.removeprefix("batch="))
+            if (name, number) != (run, batch) and "_SUCCESS" in log._names(f"{path}/{owner}/{part}") and not log.holds(name, number):
+                log.append(log.spark.read.parquet(f"{path}/{owner}/{part}"), key, name, number)
+
+
+def run(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", rocksdb: bool = False) -> None:
+    """Process what is there and stop.  ``rocksdb`` keeps the state of this stream in RocksDB, as timers need."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    if rocksdb:
+        conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.set(name, before)

@@ -56,8 +56,8 @@ KIND = {"int32": "int64", "large_string": "string", "string": "string"}
 def compare(spark, con, name, fn, sql, folder):
     df = fn(spark, folder)
     got = df.toArrow()
-    if sql is None:
-        return f"rows {got.num_rows}", got.num_rows > 0
+    if sql is None:  # only queries of the training-data operators, which are tested against brute force; every other query states its result in SQL
+        return f"rows {got.num_rows}", got.num_rows > 0 and (name.startswith("op") or name == "pipeline")
     want = con.sql(sql).to_arrow_table() if hasattr(con.sql("select 1"), "to_arrow_table") else con.sql(sql).arrow()
     gc, gr = rows_of(got)
     wc, wr = rows_of(want)

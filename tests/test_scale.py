@@ -1,5 +1,6 @@
 """Building blocks under skew: one key holds a third of the rows and thresholds are small enough to force every branch."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import audit as A
 from tessera.operators import metrics as M
+from tessera.operators import normalize as N
 from tessera.operators import retrieve as X
 from tessera.operators import rollouts as R
 from tessera.operators import sample as S
@@ -178,7 +180,7 @@ def test_dense_topk_in_several_blocks(spark):
     def found(**kw):
         return sorted((r.q, r.id, round(r.score, 9), r["rank"]) for r in X.dense_topk(q, d, 5, "q", "qv", "id", "v", **kw).collect())
 
-    one, many = found(), found(block_bytes=600)
+    one, many = found(), found(block_rows=7)
     assert one == many and len(one) == 150
     best = defaultdict(list)
     for r in q.collect():
@@ -189,3 +191,108 @@ def test_dense_topk_in_several_blocks(spark):
 def test_advantages_sum_to_zero(spark, df):
     out = R.grpo_advantage(df, "k", "id", "x", hot_rows=25).groupBy("k").agg(F.sum("advantage").alias("s"), F.count("*").alias("n")).collect()
     assert all(abs(r.s) < 1e-6 for r in out if r.n > 1)
+
+
+def test_numbered_stores_keys_only(spark, monkeypatch):
+    stored = []
+    cut = C.cut
+    monkeypatch.setattr(C, "cut", lambda df: stored.append(set(df.columns)) or cut(df))
+    data = [(i % 3 or None, i * 7 % 50, f"long text {i}") for i in range(200)]
+    d = spark.createDataFrame(data, "g int, v int, payload string")
+    flat = sorted((r["pos"], r.v) for r in C.numbered(d, ["v"]).collect())
+    assert [p for p, _ in flat] == list(range(200)) and [v for _, v in flat] == sorted(v for _, v, _ in data)
+    by = defaultdict(list)
+    for r in C.numbered(d, ["v", "payload"], ["g"], "row").collect():
+        by[r.g].append((r.row, r.v, r.payload))
+    for g in by:
+        assert [(v, p) for _, v, p in sorted(by[g])] == sorted((v, p) for k, v, p in data if k == g) and [r for r, *_ in sorted(by[g])] == list(range(len(by[g])))
+    assert stored and not any(c in names for names in stored for c in ("payload", "v", "g"))
+
+
+def test_quota_with_equal_digests(spark):
+    """A digest that holds most rows cannot be split by its prefix; the fill is still the one in order."""
+    rng = random.Random(3)
+    data = [("a", i, "00ff" * 16 if i % 3 else f"{rng.randrange(16 ** 8):08x}" * 8, rng.randrange(1, 30)) for i in range(300)] + [("b", i, f"{i:064x}", 5) for i in range(20)] + [("c", 1, "0" * 64, 10 ** 6)]
+    d = spark.createDataFrame(data, "s string, k long, digest string, n long")
+    available = {s: sum(r[3] for r in data if r[0] == s) for s in "abc"}
+    for target in (700, 10 ** 9):
+        ratio = min(1.0, target / sum(available.values()))
+        want = set()
+        for s in "abc":
+            left = int(available[s] * ratio)
+            for r in sorted((r for r in data if r[0] == s), key=lambda r: (r[2], r[1])):
+                if r[3] <= left:
+                    left -= r[3]
+                    want.add((s, r[1]))
+        for few in (1, 4096):
+            real = S.overflow_prefix
+            S.overflow_prefix = lambda *a, f=few: real(*a, few=f)
+            try:
+                got = {(r.s, r.k) for r in S.stratified_token_quota(d, ["s"], ["k"], "digest", "n", target).collect()}
+            finally:
+                S.overflow_prefix = real
+            assert got == want
+
+
+def test_bm25_skips_blocks_and_loses_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.randrange(5, 40))) + f" t{i // 30}") for i in range(900)]
+    queries = [(i, f"w0 w1 t{i}") for i in range(12)] + [(90, "none of it"), (91, "w0 w1 w55"), (92, "")]
+    monkeypatch.setattr(X, "BLOCK", 8)
+    monkeypatch.setattr(X, "GROUP", 4)
+    d, q = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(queries, "q long, qt string")
+    got = defaultdict(list)
+    for r in X.bm25_topk(q, d, 5, "q", "qt", "id", "t").collect():
+        got[r.q].append((r["rank"], r.id, r.score))
+    sizes = {i: len(t.split()) for i, t in docs}
+    mean = sum(sizes.values()) / len(docs)
+    df = Counter(w for _, t in docs for w in set(t.split()))
+    for i, text in queries:
+        scores = []
+        for k, t in docs:
+            tf = Counter(t.split())
+            s = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] / (tf[w] + 0.9 * (0.6 + 0.4 * sizes[k] / mean)) for w in text.split() if tf[w])
+            if s:
+                scores.append((-round(s, 9), k))
+        assert [k for _, k in sorted(scores)[:5]] == [k for _, k, _ in sorted(got[i])]
+        assert [s for *_, s in sorted(got[i])] == pytest.approx([-s for s, _ in sorted(scores)[:5]], abs=1e-7)
+    terms = q.select(F.col("q").alias("_q"), F.explode(X.tokens("qt")).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("qf"))
+    blocks, idf = X.posting_blocks(terms, d, "id", "t")
+    weights = terms.join(idf, "term").select("_q", "term", (F.col("qf") * F.col("idf")).alias("qw"))
+    first, rest = X.opened(weights, blocks, 5)
+    every = weights.join(blocks, "term").select("_q", "group", "block").distinct().count()
+    assert rest.count() < 0.3 * every
+
+
+def test_dense_topk_leaves_far_balls_out(spark):
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 10) for _ in range(6)] for _ in range(12)]
+    vec = [(i, [c + rng.gauss(0, 0.1) for c in centres[i % 12]]) for i in range(600)]
+    d = spark.createDataFrame(vec + [(1000 + i, vec[0][1]) for i in range(150)] + [(2000, None)], "id long, v array<double>")
+    q = d.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    got = defaultdict(list)
+    for r in X.dense_topk(q, d, 4, "q", "qv", "id", "v", block_rows=40).collect():
+        got[r.q].append((r["rank"], r.id))
+    rows = {i: v for i, v in vec} | {1000 + i: vec[0][1] for i in range(150)}
+    for i in (0, 7, 333, 1100):
+        want = sorted(((-round(sum(a * b for a, b in zip(rows[i], v)), 9), k) for k, v in rows.items()))[:4]
+        scores = lambda ids: [round(sum(a * b for a, b in zip(rows[i], rows[k])), 6) for k in ids]  # noqa: E731, B023
+        assert scores(k for _, k in sorted(got[i])) == scores(k for _, k in want)
+    assert len(got) == 750
+    sample = spark.createDataFrame([(centres,)], "centres array<array<double>>")
+    left, right = (X.pack_balls(df, sample, k, v, 40) for df, k, v in ((q, "q", "qv"), (d, "id", "v")))
+    assert right.agg(F.max("n")).first()[0] < 110
+    first, rest = X.meetings(left, right, 4)
+    assert rest.count() < 0.5 * left.count() * right.count()
+
+
+def test_long_sessions_come_in_parts(spark):
+    steps = [("hot", i, "0" if i in (0, 3) else "1", f"o{i}", f"a{i}") for i in range(500)] + [("b", i, "0", f"o{i}", "x") for i in range(3)]
+    d = spark.createDataFrame(steps, "k string, i long, idx string, obs string, act string").withColumn("task", F.lit("do"))
+    out = N.session_messages(N.sessionize_steps(d, "k", "i", "idx", step="step"), "k", "i", "task", "obs", "act", "step", max_steps=50).collect()
+    hot = sorted((r.session, r.part, [m.content for m in r.messages]) for r in out if r.k == "hot")
+    assert all(len(m) <= 100 for *_, m in hot) and len(hot) == 1 + 10
+    flat = [x for *_, m in hot for x in m]
+    want = [x for i in range(500) for x in (f"o{i}\ndo" if i in (0, 3) else f"o{i}", f"a{i}")]
+    assert flat == want and len([r for r in out if r.k == "b"]) == 3
