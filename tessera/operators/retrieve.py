@@ -77,7 +77,7 @@ def opened(weights: DataFrame, blocks: DataFrame, k: int) -> tuple[DataFrame, Da
         return inside.groupBy("_q", "group", "block").agg(F.sum(F.col("qw") * F.col("most")).alias("bound"))
 
     best = [F.desc("bound"), F.col("group")]
-    tried = cut(top_k(fine(top_k(coarse, ["_q"], best, 2)), ["_q"], [*best, F.col("block")], 2 + k // 16, "place").drop("place"))
+    tried = cut(top_k(fine(top_k(coarse, ["_q"], best, 2 + k // GROUP)), ["_q"], [*best, F.col("block")], k, "place").drop("place"))  # the k best lie in k blocks at most
     scores = cut(documents(weights, blocks, tried))
     floor = top_k(scores, ["_q"], [F.desc("score")], k, "place").filter(F.col("place") == k).select("_q", F.col("score").alias("floor"))
 

@@ -240,7 +240,7 @@ def test_bm25_skips_blocks_and_loses_nothing(spark, monkeypatch):
     docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.randrange(5, 40))) + f" t{i // 30}") for i in range(900)]
     queries = [(i, f"w0 w1 t{i}") for i in range(12)] + [(90, "none of it"), (91, "w0 w1 w55"), (92, "")]
     monkeypatch.setattr(X, "BLOCK", 8)
-    monkeypatch.setattr(X, "GROUP", 4)
+    monkeypatch.setattr(X, "GROUP", 16)
     d, q = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(queries, "q long, qt string")
     got = defaultdict(list)
     for r in X.bm25_topk(q, d, 5, "q", "qt", "id", "t").collect():
