@@ -35,12 +35,13 @@ def posting_blocks(terms: DataFrame, corpus: DataFrame, did: str, dtext: str) ->
     shelves = cut(docs.groupBy(shelf.alias("_shelf")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")))  # at most 124 rows
     size = shelves.agg(F.sum("n").alias("_N"), (F.sum("words") / F.sum("n")).alias("_avg"))
     words = _each_token(docs).join(terms.select("term").distinct(), "term").groupBy("_d", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    few = shelves.select("_shelf", F.ceil(F.col("n") / (BLOCK * GROUP)).alias("_groups")).crossJoin(size)
+    groups = F.ceil(F.col("n") / (BLOCK * GROUP))
+    few = shelves.select("_shelf", groups.alias("_groups"), F.ceil(F.col("n") / (groups * BLOCK)).alias("_blocks")).crossJoin(size)
     posts = words.withColumn("_shelf", shelf).join(F.broadcast(few), "_shelf")
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
     spread = F.xxhash64("_d")
     group = F.concat_ws("/", "_shelf", F.pmod(spread, F.col("_groups")))
-    blocks = (posts.select("term", group.alias("group"), F.pmod(F.shiftrightunsigned(spread, 32), F.lit(GROUP)).cast("int").alias("block"), "_N", F.struct("_d", weight.alias("w")).alias("p"))
+    blocks = (posts.select("term", group.alias("group"), F.pmod(F.shiftrightunsigned(spread, 32), F.col("_blocks")).cast("int").alias("block"), "_N", F.struct("_d", weight.alias("w")).alias("p"))
               .groupBy("term", "group", "block", "_N").agg(F.collect_list("p").alias("posts"), F.max("p.w").alias("most")))
     blocks = cut(blocks)
     df = blocks.groupBy("term", "_N").agg(F.sum(F.size("posts")).alias("df"))
@@ -77,7 +78,7 @@ def opened(weights: DataFrame, blocks: DataFrame, k: int) -> tuple[DataFrame, Da
         return inside.groupBy("_q", "group", "block").agg(F.sum(F.col("qw") * F.col("most")).alias("bound"))
 
     best = [F.desc("bound"), F.col("group")]
-    tried = cut(top_k(fine(top_k(coarse, ["_q"], best, 2 + k // GROUP)), ["_q"], [*best, F.col("block")], k, "place").drop("place"))  # the k best lie in k blocks at most
+    tried = cut(top_k(fine(top_k(coarse, ["_q"], best, k)), ["_q"], [*best, F.col("block")], k, "place").drop("place"))  # the k best lie in k groups, and in k blocks, at most
     scores = cut(documents(weights, blocks, tried))
     floor = top_k(scores, ["_q"], [F.desc("score")], k, "place").filter(F.col("place") == k).select("_q", F.col("score").alias("floor"))
 
