@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
 from .scale import cut, skew_join, top_k
 
 K1, B = 0.9, 0.4  # defaults of the lexical index
-BLOCK, GROUP = 64, 64  # documents of a posting block, blocks of a group (expected, by hash)
+BLOCK, GROUP = 32, 128  # documents of a posting block, blocks of a group
+QUERIES, FIRST = 1024, 8  # queries that are searched together; one group in so many is searched first
 SLACK = 1e-9  # a bound and the score it bounds are added up in different orders
 PLACES = 9  # scores are compared after rounding to so many decimal places
 MOST_ROWS, TILE, FIRST_BALLS = 16_384, 256, 2  # vectors of a ball part, query rows that are multiplied at once, balls that give a block its floor
@@ -24,77 +27,155 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.lower(T.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def posting_blocks(terms: DataFrame, corpus: DataFrame, did: str, dtext: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, idf) for the words of ``terms``, stored: one row for each word and block of documents, with the block's postings and their largest weight.
-
-    Documents of about the same length share a block, as their weights are alike.  A block has about ``BLOCK`` documents and a group about ``GROUP`` blocks, whatever
-    the corpus; numbers come from hashes, so nothing is sorted.
-    """
-    docs = corpus.select(F.col(did).alias("_d"), tokens(dtext).alias("_t")).withColumn("dl", F.size("_t"))
-    shelf = F.floor(4 * F.log2(F.col("dl") + 1)).cast("int")
-    shelves = cut(docs.groupBy(shelf.alias("_shelf")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")))  # at most 124 rows
-    size = shelves.agg(F.sum("n").alias("_N"), (F.sum("words") / F.sum("n")).alias("_avg"))
-    words = _each_token(docs).join(terms.select("term").distinct(), "term").groupBy("_d", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    groups = F.ceil(F.col("n") / (BLOCK * GROUP))
-    few = shelves.select("_shelf", groups.alias("_groups"), F.ceil(F.col("n") / (groups * BLOCK)).alias("_blocks")).crossJoin(size)
-    posts = words.withColumn("_shelf", shelf).join(F.broadcast(few), "_shelf")
-    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
-    spread = F.xxhash64("_d")
-    group = F.concat_ws("/", "_shelf", F.pmod(spread, F.col("_groups")))
-    blocks = (posts.select("term", group.alias("group"), F.pmod(F.shiftrightunsigned(spread, 32), F.col("_blocks")).cast("int").alias("block"), "_N", F.struct("_d", weight.alias("w")).alias("p"))
-              .groupBy("term", "group", "block", "_N").agg(F.collect_list("p").alias("posts"), F.max("p.w").alias("most")))
-    blocks = cut(blocks)
-    df = blocks.groupBy("term", "_N").agg(F.sum(F.size("posts")).alias("df"))
-    return blocks, df.select("term", F.ln(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-
-
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qtext: str, did: str, dtext: str) -> DataFrame:
     """Best k documents per query by BM25, exact; queries with fewer matching documents get fewer rows.
 
-    Postings of the query words are stored once in blocks with their largest weight (``posting_blocks``).  The largest weights bound every document of a group of
-    blocks, and of a block, for a query.  Documents of the most promising blocks are scored first, which gives each query a floor; of the rest, only blocks whose
-    bound reaches the floor are opened.  Words found in every document are spread over as many rows as there are blocks.
+    Postings of the query words are stored once, in groups of some ``BLOCK * GROUP`` documents of about the same length, a packed row for each (``posting_groups``).  Queries are packed rows as well, of about
+    ``QUERIES`` each, and a task searches the queries of one row in the documents of another.  There, the largest weight of each word in each block of ``BLOCK``
+    documents bounds the block for a query; only blocks whose bound reaches the query's floor are opened (``search_group``).  The floor is the k-th best score of
+    one group in ``FIRST``, searched before the others, and rises as better documents are found.
     """
     terms = cut(_each_token(queries.select(F.col(qid).alias("_q"), tokens(qtext).alias("_t"))).groupBy("_q", "term").agg(F.count(F.lit(1)).alias("qf")))
-    blocks, idf = posting_blocks(terms, corpus, did, dtext)
-    weights = cut(terms.join(idf, "term").select("_q", "term", (F.col("qf") * F.col("idf")).alias("qw")))
-    return _ranked(weights, blocks, k).select(F.col("_q").alias(qid), F.col("_d").alias(did), "score", "rank")
-
-
-def _ranked(weights: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    first, rest = opened(weights, blocks, k)
-    total = first.unionByName(documents(weights, blocks, rest))
-    return top_k(total, ["_q"], [F.desc(F.round("score", PLACES)), F.col("_d")], k)
-
-
-def opened(weights: DataFrame, blocks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(scores of the documents of the first blocks, further (query, group, block) that can hold one of the k best)."""
-    most = cut(blocks.select("term", "group", "block", "most"))
-    coarse = weights.join(most.groupBy("term", "group").agg(F.max("most").alias("most")), "term")
-    coarse = cut(coarse.groupBy("_q", "group").agg(F.sum(F.col("qw") * F.col("most")).alias("bound")))
-
-    def fine(groups: DataFrame) -> DataFrame:
-        inside = weights.join(groups.select("_q", "group"), "_q").join(most, ["term", "group"])
-        return inside.groupBy("_q", "group", "block").agg(F.sum(F.col("qw") * F.col("most")).alias("bound"))
-
-    best = [F.desc("bound"), F.col("group")]
-    tried = cut(top_k(fine(top_k(coarse, ["_q"], best, k)), ["_q"], [*best, F.col("block")], k, "place").drop("place"))  # the k best lie in k groups, and in k blocks, at most
-    scores = cut(documents(weights, blocks, tried))
-    floor = top_k(scores, ["_q"], [F.desc("score")], k, "place").filter(F.col("place") == k).select("_q", F.col("score").alias("floor"))
-
-    def reach(df: DataFrame) -> DataFrame:
-        enough = F.col("bound") * (1 + SLACK) + 10.0 ** -PLACES >= F.col("floor")
-        return df.join(floor, "_q", "left").filter(F.col("floor").isNull() | enough).drop("floor")
-
-    rest = reach(fine(reach(coarse))).select("_q", "group", "block").join(tried.select("_q", "group", "block"), ["_q", "group", "block"], "left_anti")
-    return scores, rest
-
+    words = terms.select("term").distinct().withColumn("word", F.xxhash64("term"))  # query words are told apart by 64 bits
+    groups, size = posting_groups(words, corpus, did, dtext)
+    df = groups.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("df"))
+    idf = df.crossJoin(F.broadcast(size)).select("word", F.ln(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one-row side
+    weights = terms.join(words, "term").join(idf, "word").select("_q", "word", (F.col("qf") * F.col("idf")).alias("qw"))
+    asked = cut(weights.groupBy("_q").agg(F.sort_array(F.collect_list(F.struct("word", "qw"))).alias("w")))
+    early = F.pmod(F.xxhash64("group"), F.lit(FIRST)) == 0
+    first = cut(searched(asked.withColumn("floor", F.lit(0.0)), groups.filter(early), k))
+    floor = top_k(first, ["_q"], [F.desc("score")], k, "place").filter(F.col("place") == k).select("_q", F.col("score").alias("floor"))
+    rest = searched(asked.join(floor, "_q", "left").fillna(0.0, ["floor"]), groups.filter(~early), k)
+    total = first.unionByName(rest)
+    return top_k(total, ["_q"], [F.desc(F.round("score", PLACES)), F.col("_d")], k).select(F.col("_q").alias(qid), F.col("_d").alias(did), "score", "rank")
+
+
+def posting_groups(words: DataFrame, corpus: DataFrame, did: str, dtext: str) -> tuple[DataFrame, DataFrame]:
+    """(groups, size): postings of the words in packed groups of documents, stored, and one row with the number of documents and their mean length.
+
+    Documents of about the same length share a group, as their weights are alike.  Which group a document is in comes from its length and a hash of its id, so nothing is sorted
+    across tasks; a length that very many documents have is as many groups as it needs.
+    """
+    docs = corpus.select(F.col(did).alias("_d"), tokens(dtext).alias("_t")).select("_d", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+    # words outside the queries are one row for each document, so that documents without any query word are counted
+    found = cut(docs.join(words, "term", "left").groupBy("_d", "dl", "word").agg(F.count(F.lit(1)).alias("tf")))
+    shelf = F.floor(2 * F.log2(F.col("dl") + 1)).cast("long")
+    shelves = cut(found.select("_d", "dl").distinct().groupBy(shelf.alias("_shelf")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")))  # at most 62 rows
+    size = shelves.agg(F.sum("n").alias("_N"), (F.sum("words") / F.sum("n")).alias("_avg"))
+    few = shelves.select("_shelf", F.ceil(F.col("n") / (BLOCK * GROUP)).alias("_groups")).crossJoin(size)
+    posts = found.filter("word IS NOT NULL").withColumn("_shelf", shelf).join(F.broadcast(few), "_shelf")
+    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
+    group = F.shiftleft("_shelf", 48) + F.pmod(F.xxhash64("_d"), F.col("_groups"))
+    posts = posts.select(group.alias("group"), F.col("_d").cast("long").alias("d"), "dl", "word", weight.alias("w"))
 
-def documents(weights: DataFrame, blocks: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(_q, _d, score) of all matching documents of the chosen (query, group, block)."""
-    asked = chosen.select("_q", "group", "block").join(weights, "_q")
-    posts = asked.join(blocks.select("term", "group", "block", "posts"), ["term", "group", "block"]).select("_q", "qw", F.explode("posts").alias("p"))
-    return posts.groupBy("_q", F.col("p._d").alias("_d")).agg(F.sum(F.col("qw") * F.col("p.w")).alias("score"))
+    def pack(table: pa.Table) -> pa.Table:
+        d, dl, word, w = (table.column(c).to_numpy() for c in ("d", "dl", "word", "w"))
+        order = np.lexsort((word, d, dl))
+        d, word, w = d[order], word[order], w[order]
+        first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        kinds, counts = np.unique(word, return_counts=True)
+        binary = lambda x, t: pa.array([np.ascontiguousarray(x, t).tobytes()], pa.binary())
+        return pa.table({"group": table.column("group").slice(0, 1), "words": pa.array([kinds.tolist()], pa.list_(pa.int64())), "counts": pa.array([counts.tolist()], pa.list_(pa.int64())),
+                         "ids": binary(d[first], "<i8"), "first": binary(np.append(first, len(d)), "<i8"), "word": binary(np.searchsorted(kinds, word), "<i4"), "w": binary(w, "<f8")})
+
+    return cut(posts.repartition(_tasks(posts), "group").groupBy("group").applyInArrow(pack, "group long, words array<long>, counts array<long>, ids binary, first binary, word binary, w binary")), size
+
+
+@dataclass
+class Group:
+    """Documents of a group, ordered by length, with their postings and the largest weight of each word in each block."""
+
+    ids: np.ndarray
+    first: np.ndarray  # first posting of each document and the end
+    word: np.ndarray  # place in the sorted words of the group
+    w: np.ndarray
+    block_first: np.ndarray  # of each word: where its blocks begin
+    block: np.ndarray
+    most: np.ndarray
+
+    @staticmethod
+    def of(ids: np.ndarray, first: np.ndarray, word: np.ndarray, w: np.ndarray, words: int) -> Group:
+        blocks = -(-len(ids) // BLOCK)
+        code = word.astype(np.int64) * blocks + np.repeat(np.arange(len(ids)) // BLOCK, np.diff(first))
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        return Group(ids, first, word, w, np.searchsorted(code[cuts] // blocks, np.arange(words + 1)), code[cuts] % blocks, np.maximum.reduceat(w[order], cuts))
+
+
+def search_group(group: Group, words: np.ndarray, weights: np.ndarray, dense: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, scores, blocks opened) of the k best documents for one query, and of those that tie with them; documents under ``floor`` may be missing.
+
+    ``words`` are places in the group's words, ``dense`` is a zeroed scratch array.  Blocks are opened by falling bound, a few at a time, until the next bound is below the floor.
+    """
+    spans = [np.arange(group.block_first[x], group.block_first[x + 1]) for x in words.tolist()]
+    at = np.concatenate(spans)
+    bound = np.bincount(group.block[at], group.most[at] * np.repeat(weights, [len(x) for x in spans]), -(-len(group.ids) // BLOCK))
+    bound = bound * (1 + SLACK) + 2 * 10.0 ** -PLACES
+    order = np.argsort(-bound, kind="stable")
+    order = order[bound[order] > 2 * 10.0 ** -PLACES]
+    dense[words] = weights
+    ids, scores, opened = [], [], 0
+    step = max(1, k // BLOCK + 1)
+    while opened < len(order) and bound[order[opened]] >= floor:
+        some = order[opened:opened + step]
+        opened += len(some)
+        docs = np.concatenate([np.arange(b * BLOCK, min((b + 1) * BLOCK, len(group.ids))) for b in some.tolist()])
+        n = group.first[docs + 1] - group.first[docs]
+        place = np.arange(int(n.sum())) + np.repeat(group.first[docs] - (np.cumsum(n) - n), n)
+        score = np.bincount(np.repeat(np.arange(len(docs)), n), dense[group.word[place]] * group.w[place], len(docs))
+        keep = score > 0
+        ids.append(group.ids[docs[keep]])
+        scores.append(score[keep])
+        if sum(map(len, scores)) >= k:
+            every = np.concatenate(scores)
+            floor = max(floor, float(np.partition(every, len(every) - k)[len(every) - k]))
+        step *= 2
+    dense[words] = 0
+    every, names = (np.concatenate(x) if x else np.zeros(0) for x in (scores, ids))
+    keep = every >= floor - 2 * 10.0 ** -PLACES
+    return names[keep].astype(np.int64), every[keep], opened
+
+
+def searched(asked: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(_q, _d, score): the best documents of each group for each query (_q, w, floor)."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERIES)).alias("blocks")
+    dealt = asked.crossJoin(F.broadcast(asked.agg(blocks)))  # one-row side
+    packed = dealt.groupBy(F.pmod(F.xxhash64("_q"), F.col("blocks")).alias("_b")).agg(F.collect_list(F.struct("_q", "floor", "w")).alias("asked"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = {c: batch.column(c)[i] for c in batch.schema.names}
+                words = np.array(at["words"].values)
+                read = lambda c, t: np.frombuffer(at[c].as_py(), t)  # noqa: E731, B023
+                group = Group.of(read("ids", "<i8"), read("first", "<i8"), read("word", "<i4"), read("w", "<f8"), len(words))
+                dense, out = np.zeros(len(words)), []
+                queries = at["asked"].values
+                owner, floor, lists = queries.field("_q").to_pylist(), queries.field("floor").to_pylist(), queries.field("w")
+                for j in range(len(owner)):
+                    entry = lists[j].values
+                    word, weight = np.array(entry.field("word")), np.array(entry.field("qw"))
+                    place = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                    have = words[place] == word
+                    if have.any():
+                        ids, score, _ = search_group(group, place[have], weight[have], dense, k, floor[j])
+                        out.append((np.full(len(ids), j), ids, score))
+                if out:
+                    j, ids, score = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([queries.field("_q").take(pa.array(j)), pa.array(ids), pa.array(score)], ["_q", "_d", "score"])
+
+    pairs = packed.crossJoin(groups.drop("counts")).repartition(_tasks(groups), "_b", "group")  # query rows and groups, not queries and documents
+    return pairs.mapInArrow(search, _hits(asked.schema["_q"].dataType))
+
+
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as the session's shuffles have: rows that are small but dear are not put together by their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _hits(kind) -> StructType:
+    return StructType([StructField("_q", kind), StructField("_d", LongType()), StructField("score", DoubleType())])
 
 
 def _each_token(df: DataFrame) -> DataFrame:
@@ -113,20 +194,22 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: st
     are one row.  Where no bound helps, as for vectors without structure, every block meets every ball.
     """
     n = corpus.count()
-    rows = block_rows or min(MOST_ROWS, max(1024, -(-n // 64)))
+    rows = block_rows or min(MOST_ROWS, max(4096, -(-n // 64)))
+    n_balls = max(1, min(256, -(-n // rows)))
     sample = corpus.select(F.col(dvec).cast("array<double>").alias("v")).filter("v IS NOT NULL").distinct()
-    sample = sample.orderBy(F.xxhash64("v")).limit(max(1, min(256, -(-n // rows))))
-    centres = sample.agg(F.collect_list("v").alias("centres"))
-    right, left = (pack_balls(df, centres, key, vector, rows) for df, key, vector in ((corpus, did, dvec), (queries, qid, qvec)))
+    centres = sample.orderBy(F.xxhash64("v")).limit(n_balls).agg(F.collect_list("v").alias("centres")) if n_balls > 1 else None
+    sides = [df.select(F.lit(side).alias("side"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")) for side, df, key, vector in (("d", corpus, did, dvec), ("q", queries, qid, qvec))]
+    packed = pack_balls(sides[0].unionByName(sides[1]).filter("v IS NOT NULL"), centres, rows)
+    left, right = (packed.filter(F.col("side") == side).drop("side") for side in "qd")
     first, rest = meetings(left, right, k)
     found = first.unionByName(products(left, right, rest, k))
     return top_k(found, ["q"], [F.desc("score"), F.col("d")], k).select(F.col("q").alias(qid), F.col("d").alias(did), "score", "rank")
 
 
-def pack_balls(vectors: DataFrame, centres: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
-    """(ball, part, n, ids, matrix, centre, radius), stored: vectors by their nearest centre, in parts of about ``rows``.
+def pack_balls(vectors: DataFrame, centres: DataFrame | None, rows: int) -> DataFrame:
+    """(side, ball, part, n, ids, matrix, centre, radius), stored: vectors (side, k, v) by their nearest centre, in parts of about ``rows``.
 
-    ``centres`` is one row.  A ball with many vectors, as one of equal ones is, is cut into parts by a hash of the key; a part has a middle and a radius of its own.
+    ``centres`` is one row; without it all vectors are one ball.  A ball with many vectors, as one of equal ones is, is cut into parts by a hash of the key; a part has a middle and a radius of its own.
     """
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,20 +218,20 @@ def pack_balls(vectors: DataFrame, centres: DataFrame, key: str, vector: str, ro
             if batch.num_rows:
                 c = np.array(batch.column("centres")[0].as_py()) if c is None else c
                 x = _matrix(batch.column("v"))
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.array(np.argmin((c * c).sum(1) - 2 * (x @ c.T), axis=1))], ["k", "v", "ball"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.argmin((c * c).sum(1) - 2 * (x @ c.T), axis=1))], ["side", "k", "v", "ball"])
 
     def pack(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("v").combine_chunks())
         middle = x.mean(axis=0)
         radius = float(np.sqrt(((x - middle) ** 2).sum(1).max()))
-        return pa.table({"ball": table.column("ball").slice(0, 1), "part": table.column("part").slice(0, 1), "n": [len(x)], "ids": pa.array([table.column("k").to_numpy().astype("<i8").tobytes()], pa.binary()),
+        return pa.table({"side": table.column("side").slice(0, 1), "ball": table.column("ball").slice(0, 1), "part": table.column("part").slice(0, 1), "n": [len(x)], "ids": pa.array([table.column("k").to_numpy().astype("<i8").tobytes()], pa.binary()),
                          "matrix": pa.array([x.astype("<f8").tobytes()], pa.binary()), "centre": pa.array([middle.tolist()]), "radius": [radius]})
 
-    slim = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    placed = cut(slim.crossJoin(F.broadcast(centres)).mapInArrow(nearest, "k long, v array<double>, ball long"))  # one row on the other side
-    parts = placed.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
-    dealt = placed.join(parts, "ball").select("k", "v", "ball", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"))
-    return cut(dealt.groupBy("ball", "part").applyInArrow(pack, "ball long, part long, n long, ids binary, matrix binary, centre array<double>, radius double"))
+    slim = vectors.select("side", "k", "v")
+    placed = slim.withColumn("ball", F.lit(0).cast("long")) if centres is None else cut(slim.crossJoin(F.broadcast(centres)).mapInArrow(nearest, "side string, k long, v array<double>, ball long"))  # one row on the other side
+    parts = placed.groupBy("side", "ball").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
+    dealt = placed.join(parts, ["side", "ball"]).select("side", "k", "v", "ball", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"))
+    return cut(dealt.groupBy("side", "ball", "part").applyInArrow(pack, "side string, ball long, part long, n long, ids binary, matrix binary, centre array<double>, radius double"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -162,8 +245,8 @@ def meetings(left: DataFrame, right: DataFrame, k: int) -> tuple[DataFrame, Data
     q, d = ([F.col(c).alias(a + c) for c in ("ball", "part", "n", "centre", "radius")] for a in "qd")
     pairs = left.select(*q, norm(F.col("centre")).alias("qnorm")).crossJoin(right.select(*d, norm(F.col("centre")).alias("dnorm")))  # parts, not vectors
     bound = dot(F.col("qcentre"), F.col("dcentre")) + F.col("qradius") * F.col("dnorm") + F.col("dradius") * F.col("qnorm") + F.col("qradius") * F.col("dradius")
-    pairs = cut(pairs.select("qball", "qpart", "qn", "dball", "dpart", bound.alias("bound")))
-    tried = cut(top_k(pairs, ["qball", "qpart"], [F.desc("bound"), F.col("dball"), F.col("dpart")], FIRST_BALLS, "place").drop("place"))
+    pairs = pairs.select("qball", "qpart", "qn", "dball", "dpart", bound.alias("bound"))
+    tried = top_k(pairs, ["qball", "qpart"], [F.desc("bound"), F.col("dball"), F.col("dpart")], FIRST_BALLS, "place").drop("place")
     first = cut(products(left, right, tried, k))
     kth = top_k(first, ["q"], [F.desc("score")], k, "place").filter(F.col("place") == k)
     floor = kth.groupBy("qball", "qpart").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("have"))
@@ -195,7 +278,7 @@ def products(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int) -> Dat
 
     side = lambda df, a: df.select(F.col("ball").alias(f"{a}ball"), F.col("part").alias(f"{a}part"), F.col("ids").alias(f"{a}_ids"), F.col("matrix").alias(f"{a}_matrix"))
     met = pairs.join(side(left, "q"), ["qball", "qpart"]).join(side(right, "d"), ["dball", "dpart"])
-    return met.repartition("qball", "qpart", "dball", "dpart").mapInArrow(multiply, "qball long, qpart long, q long, d long, score double")
+    return met.repartition(_tasks(left), "qball", "qpart", "dball", "dpart").mapInArrow(multiply, "qball long, qpart long, q long, d long, score double")
 
 
 def attach_documents(hits: DataFrame, corpus: DataFrame, did: str, text: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,7 +235,7 @@ def test_quota_with_equal_digests(spark):
             assert got == want
 
 
-def test_bm25_skips_blocks_and_loses_nothing(spark, monkeypatch):
+def test_bm25_in_small_groups(spark, monkeypatch):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.randrange(5, 40))) + f" t{i // 30}") for i in range(900)]
@@ -257,12 +258,28 @@ def test_bm25_skips_blocks_and_loses_nothing(spark, monkeypatch):
                 scores.append((-round(s, 9), k))
         assert [k for _, k in sorted(scores)[:5]] == [k for _, k, _ in sorted(got[i])]
         assert [s for *_, s in sorted(got[i])] == pytest.approx([-s for s, _ in sorted(scores)[:5]], abs=1e-7)
-    terms = q.select(F.col("q").alias("_q"), F.explode(X.tokens("qt")).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("qf"))
-    blocks, idf = X.posting_blocks(terms, d, "id", "t")
-    weights = terms.join(idf, "term").select("_q", "term", (F.col("qf") * F.col("idf")).alias("qw"))
-    first, rest = X.opened(weights, blocks, 5)
-    every = weights.join(blocks, "term").select("_q", "group", "block").distinct().count()
-    assert rest.count() < 0.3 * every
+
+
+def test_blocks_under_the_floor_stay_closed(monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    n, words = 800, 40
+    sizes = rng.integers(2, 12, n)
+    word = np.concatenate([np.sort(rng.choice(words, s, replace=False, p=(p := 1 / np.arange(1, words + 1)) / p.sum())) for s in sizes]).astype(np.int32)
+    w, first = rng.random(len(word)), np.concatenate(([0], np.cumsum(sizes)))
+    group = X.Group.of(np.arange(n) + 5000, first, word, w, words)
+    owner, dense, opened = np.repeat(np.arange(n), sizes), np.zeros(words), 0
+    for _ in range(50):
+        asked = np.concatenate((rng.choice(4, 2, replace=False), rng.choice(np.arange(20, words), 1)))
+        idf = np.where(np.arange(words) < 4, 0.2, 4.0)
+        weight = idf[asked]
+        score = np.bincount(owner, np.where(np.isin(word, asked), w * idf[word], 0), n)
+        want = sorted(((-s, i + 5000) for i, s in enumerate(score) if s > 0))[:6]
+        for floor in (0.0, -want[-1][0]):
+            ids, scores, some = X.search_group(group, asked, weight, dense, 6, floor)
+            assert [i for _, i in sorted(zip(-scores, ids))[:6]] == [i for _, i in want] and not dense.any()
+        opened += some
+    assert opened < 0.4 * 50 * n / 8
 
 
 def test_dense_topk_leaves_far_balls_out(spark):
@@ -281,7 +298,9 @@ def test_dense_topk_leaves_far_balls_out(spark):
         assert scores(k for _, k in sorted(got[i])) == scores(k for _, k in want)
     assert len(got) == 750
     sample = spark.createDataFrame([(centres,)], "centres array<array<double>>")
-    left, right = (X.pack_balls(df, sample, k, v, 40) for df, k, v in ((q, "q", "qv"), (d, "id", "v")))
+    both = d.filter("v IS NOT NULL").select(F.explode(F.array(F.lit("q"), F.lit("d"))).alias("side"), F.col("id").alias("k"), "v")
+    packed = X.pack_balls(both, sample, 40)
+    left, right = packed.filter("side = 'q'"), packed.filter("side = 'd'")
     assert right.agg(F.max("n")).first()[0] < 110
     first, rest = X.meetings(left, right, 4)
     assert rest.count() < 0.5 * left.count() * right.count()
