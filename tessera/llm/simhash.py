@@ -357,13 +357,13 @@ def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
     return a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & sizes & follow).select("a", "b")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 12, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 2, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest key, null last, then text hash.
 
     Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is at least ``similarity``; groups are connected components.  The trees
     propose the pairs whose fingerprints differ in at most ``distance`` bits, a prefix-filter join all others, so ``distance`` does not change the result.
-    All wordless and null texts are one group.  Of rows equal in key and text one stays.
-    All columns stay as they are.
+    All wordless and null texts are one group.  Of rows equal in key and text one stays, whichever.
+    All columns stay as they are, whatever their names.  An empty table gives an empty one; very long texts are read whole, one at a time.
     """
     mine = store(_sketches(docs, shingle, key, text), "sketches")
     nodes = store(mine.groupBy("tag", "fp", "n").agg(F.min(F.struct(F.col("key").isNull().alias("late"), "key")).alias("first")), "nodes")
@@ -388,6 +388,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 12, similarit
     stay = rooted.groupBy("root").agg(F.min(F.struct("first", "tag")).alias("one")).select("one.first.key", "one.first.late", "one.tag")
     named = stay.select(F.col("key").alias("k"), F.col("tag").alias("t"))
     words = F.size(F.array_remove(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
-    rows = docs.withColumn("__tag", F.when(words == 0, F.lit(0)).otherwise(F.xxhash64(F.col(text).cast("string"))))
-    kept = rows.join(named, rows[key].eqNullSafe(named["k"]) & (rows["__tag"] == named["t"]), "left_semi")
-    return kept.dropDuplicates([key, "__tag"]).drop("__tag")
+    mark = "__tag"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.withColumn(mark, F.when(words == 0, F.lit(0)).otherwise(F.xxhash64(F.col(text).cast("string"))))
+    kept = rows.join(named, rows[key].eqNullSafe(named["k"]) & (rows[mark] == named["t"]), "left_semi")
+    return kept.dropDuplicates([key, mark]).drop(mark)

@@ -213,3 +213,27 @@ def test_sql(spark, name):
 
 def test_every_operator_has_its_query():
     assert {re.match(r"op(\d+)_", n)[1] for n in Q.QUERIES} == {str(i) for i in range(1, 11)}
+
+
+def test_stages_on_odd_tables(spark, docs_of, small):
+    """Nulls, empty texts, repeated rows, ties, empty tables and columns with the stages' own names."""
+    rows = [(k, x) for k, x in small if k is not None]
+    docs = docs_of(rows).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("lang", F.lit(None).cast("string"))
+    docs = docs.withColumns({c: F.lit("own") for c in ("__tag", "_row", "_mixed", "copies", "size", "_key")})
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        if name == "mix":
+            assert sorted(out.columns) == sorted([*docs.columns, "source_size", "target", "taken"])
+            assert all(r["copies"] in (1, 2, 3) and r._row == "own" and r["taken"] == r["copies"] * r["size"] for r in got) and len(got) <= len(rows)
+        else:
+            assert out.columns == docs.columns and all(r["__tag"] == "own" and r.copies == "own" for r in got)
+        if name != "lines":
+            assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_repeated_rows_are_mixed_once_each(spark, docs_of):
+    docs = docs_of([(1, "a b c")] * 3 + [(None, "a b c")] * 2 + [(2, None)] * 2)
+    got = corpus_pipeline.mix(spark, docs, SF).collect()
+    assert len(got) <= 7 and sum(r.taken for r in got) <= 15
+    assert sum(r.size for r in corpus_pipeline.mix(spark, docs, SF).collect()) == sum(r.size for r in got)
