@@ -61,15 +61,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     number, so that repeated rows are mixed as rows of their own and choices follow the contents of rows.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
     slim = docs.drop(*added)
+    rows, _ = under_cover(slim, "doc_id", "text", "source")
     text = F.xxhash64("text")
-    nth = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.xxhash64(*slim.columns)))
-    rows = store(slim.withColumn(name, F.struct("doc_id", text.alias("text"), nth.alias("nth"))), "mix-rows")
-    mixed = mixing.mix(rows, weights=[1, 2, 3], most=3, key=name).filter("copies > 0").select(F.col(name).alias("_mixed"), *added)
-    return rows.join(mixed, F.col(name).eqNullSafe(F.col("_mixed"))).drop(name, "_mixed")
+    nth = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.xxhash64(*rows.columns)))
+    rows = store(rows.withColumn("_row", F.struct("doc_id", text.alias("text"), nth.alias("nth"))), "mix-rows")
+    mixed = mixing.mix(rows, weights=[1, 2, 3], most=3, key="_row").filter("copies > 0").select(F.col("_row").alias("_mixed"), *added)
+    met = rows.join(mixed, F.col("_row").eqNullSafe(F.col("_mixed")))
+    names = dict(zip(slim.columns, rows.columns))
+    return met.select(*[F.col(names[c]).alias(c) for c in slim.columns], *added)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("mix", mix)]
