@@ -359,12 +359,16 @@ def code_risk_summary(df: DataFrame, answer: str, by: list[str] | None = None) -
     return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("records"), *[F.count_if(f).alias(f) for f in flags])
 
 
-def check_id_coverage(df: DataFrame, id_col: str, expected: int, score: str | None = None) -> DataFrame:
-    """Ids missing from or surplus to 0..n-1, ids seen more than once, and scores other than 0 and 1."""
+def check_id_coverage(df: DataFrame, id_col: str, expected: int | DataFrame, score: str | None = None) -> DataFrame:
+    """Ids missing from or surplus to the expected ones, ids seen more than once, and scores other than 0 and 1.
+
+    ``expected`` is a table whose first column holds the ids, or a number n for 0..n-1.
+    """
     spark = df.sparkSession
     bad = F.count_if(~F.coalesce(F.col(score).isin(0, 1), F.lit(False))) if score else F.lit(0)
     seen = df.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"), bad.alias("bad_scores"))
-    want = spark.range(expected).select(F.col("id").alias("_want"))
+    ids = spark.range(expected) if isinstance(expected, int) else expected
+    want = ids.select(F.col(ids.columns[0]).cast("long").alias("_want")).distinct()
     problem = F.when(F.col("n").isNull(), "missing").when(F.col("_want").isNull(), "unexpected") \
         .when(F.col("n") > 1, "repeated").when(F.col("bad_scores") > 0, "bad_score")
     return (seen.join(want, seen["id"] == want["_want"], "full_outer")

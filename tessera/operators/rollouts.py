@@ -61,6 +61,15 @@ def rloo_advantage(df: DataFrame, uid: str, sample: str, score: str, **kw) -> Da
             .drop("_rows", "_mean", "_std"))
 
 
+def token_group_advantage(df: DataFrame, uid: str, sample: str, rewards: str, mask: str, kind: str = "grpo", **kw) -> DataFrame:
+    """Group advantages of token-level rewards: adds ``score``, the sum of a response's token rewards, and ``advantages``, the response's advantage at every token of its mask and
+    0 elsewhere.  The returns are the same numbers.  ``kind`` is ``grpo`` or ``rloo``; further arguments are those of the scalar form.
+    """
+    total = F.aggregate(F.coalesce(rewards, F.array().cast(FLOATS)), F.lit(0.0), lambda s, r: s + F.coalesce(r.cast("double"), F.lit(0.0)))
+    scalar = {"grpo": grpo_advantage, "rloo": rloo_advantage}[kind](df.withColumn("score", total), uid, sample, "score", **kw)
+    return scalar.withColumn("advantages", F.transform(mask, lambda m: F.col("advantage") * m)).drop("advantage")
+
+
 def _backward(lengths: np.ndarray, step) -> None:
     """Call ``step(places, rows)`` for the last tokens of all rows, then those before them, and so on.
 

@@ -241,11 +241,11 @@ COVER = dict(id="CASE WHEN doc_id % 97 = 5 THEN doc_id + 1 ELSE doc_id END", sco
 
 
 @query("check_id_coverage", "Q20 J5", "WITH a AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in COVER.items()) + """ FROM labels),
-  s AS (SELECT id, count(*) AS n, count(*) FILTER (score NOT IN (0, 1)) AS bad FROM a GROUP BY id), w AS (SELECT range AS want FROM range(500))
+  s AS (SELECT id, count(*) AS n, count(*) FILTER (score NOT IN (0, 1)) AS bad FROM a GROUP BY id), w AS (SELECT doc_id AS want FROM documents)
   SELECT coalesce(id, want) AS id, CASE WHEN n IS NULL THEN 'missing' WHEN want IS NULL THEN 'unexpected' WHEN n > 1 THEN 'repeated' ELSE 'bad_score' END AS problem
   FROM s FULL JOIN w ON id = want WHERE n IS NULL OR want IS NULL OR n > 1 OR bad > 0""")
 def _(t):
-    return A.check_id_coverage(select(t.labels, **COVER), "id", 500, "score")
+    return A.check_id_coverage(select(t.labels, **COVER), "id", t.documents.select("doc_id"), "score")
 
 
 @query("token_volume_estimate", "Q21 D1", f"""WITH {CORPUS_CTE}, s AS (SELECT CASE WHEN chars <= 8192 THEN chars ELSE 0 END::DOUBLE AS v, chars FROM corpus

@@ -42,6 +42,28 @@ def _(t):
     return R.rloo_advantage(rollouts(t), "uid", "sample", "reward").select("uid", "sample", r6("advantage"))
 
 
+TG = (f"{TOKEN_CTE}, g AS (SELECT uid, sample, mask, list_sum(rewards) AS score, avg(list_sum(rewards)) OVER u AS m, stddev_samp(list_sum(rewards)) OVER u AS s, count(*) OVER u AS n "
+      "FROM tr WINDOW u AS (PARTITION BY uid))")
+
+
+def _on_tokens(advantage):
+    return f"WITH {TG}, a AS (SELECT *, {advantage} AS adv FROM g) SELECT uid, sample, round(score, 6) AS score, " + ", ".join(f"round(adv * mask[{i + 1}], 4) AS t{i}" for i in range(3)) + " FROM a"
+
+
+def _token_columns(df):
+    return df.select("uid", "sample", F.round("score", 6).alias("score"), *[F.round(F.get("advantages", F.lit(i)), 4).alias(f"t{i}") for i in range(3)])
+
+
+@query("grpo_token_advantage", "A2", _on_tokens("CASE WHEN n = 1 THEN score / (1 + 1e-6) ELSE (score - m) / (s + 1e-6) END"))
+def _(t):
+    return _token_columns(R.token_group_advantage(token_rollouts(t), "uid", "sample", "rewards", "mask"))
+
+
+@query("rloo_token_advantage", "A3", _on_tokens("CASE WHEN n = 1 THEN 0 ELSE (score - m) * n / (n - 1) END"))
+def _(t):
+    return _token_columns(R.token_group_advantage(token_rollouts(t), "uid", "sample", "rewards", "mask", "rloo"))
+
+
 def _flat(df, cols):
     return df.select("uid", "sample", *[F.round(F.get(c, F.lit(i)), 5).alias(f"{c}_{i}") for c in cols for i in range(3)])
 

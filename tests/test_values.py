@@ -207,3 +207,15 @@ def test_reward_registry():
     assert {"format", "toolbench", "math", "cosine", "repetition", "soft_overlong", "react_format"} <= set(W.REWARDS)
     W.register_reward("always", lambda c: F.lit(1.0))
     assert "always" in W.REWARDS
+
+
+def test_tool_call_variants(spark):
+    calls = lambda *xs: "<tool_call>\n" + "\n".join(xs) + "\n</tool_call>"
+    f, g = '{"name": "f", "parameters": {"x": 1, "y": %d}}', '{"name": "g", "parameters": {}}'
+    gold, pred = F.lit(calls(f % 2, g)), F.lit(calls(g, f % 3))
+    # names agree, f has its names and one of two values, g all it can: 4 of 5.  In order the names differ: 3 of 5.  As whole calls: names and g, 2 of 3.
+    got = one(spark, *[W.tool_correctness(pred, gold, **kw) for kw in ({}, {"exact": True}, {"grain": "call"}, {"grain": "all"}, {"high": 1.0, "low": -1.0})],
+              W.tool_correctness(F.lit(calls(f % 2, g)), gold, grain="all"), W.tool_correctness(F.lit("<tool_call>[1]</tool_call>"), gold))
+    assert [round(x, 9) for x in got] == [1.8, 0.6, 1.0, -3.0, 0.6, 3.0, -3.0]
+    assert W.tool_bounds(0, scheme="two_phase") == (1.0, -1.0) and W.tool_bounds(30, scheme="two_phase") == (3.0, -3.0)
+    assert W.tool_bounds(0, scheme="scheduled") == (2.0, -2.0) and W.tool_bounds(75, scheme="scheduled") == (2.5, -2.5) and W.tool_bounds(900, scheme="scheduled") == (3.0, -3.0)
