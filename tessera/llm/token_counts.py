@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 from . import words as W
 
 CHUNK = 256  # code points
-KEEP_STATES = 200_000  # compiled states in a worker; beyond, it starts anew
-KEEP_PIECES = 500_000
+KEEP_STATES = 300_000  # compiled states in a worker; beyond, they are compiled anew
+KEEP_PIECES, LONG = 800_000, 64  # pieces whose counts are kept, and the bytes of the longest
 
 # Classes of code points.  Fixed values: the letters of the contractions that the pre-tokenizer's pattern names.
 LETTER, NUMBER, OTHER, SPACE, WHITE, END, QUOTE = range(7)
@@ -189,7 +189,16 @@ class Counter:
         self.number = {start: 0}
         self.state = [start]
         self.steps: list[dict[int, tuple[int, int]]] = [{}]
-        self.known.clear()
+
+    def _anew(self, at: int) -> int:
+        """Forget all states but this one, also in the middle of a piece; counts of pieces stay true."""
+        here = self.state[at]
+        self._restart()
+        at = self.number.setdefault(here, len(self.state))
+        if at == len(self.state):
+            self.state.append(here)
+            self.steps.append({})
+        return at
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Plain BPE: merge the leftmost pair of lowest rank until none is left."""
@@ -232,15 +241,20 @@ class Counter:
         return to, count - base
 
     def count(self, piece: bytes) -> int:
-        if len(self.state) > KEEP_STATES or len(self.known) > KEEP_PIECES:
-            self._restart()
+        if len(self.known) > KEEP_PIECES:
+            self.known.clear()
         if len(self.fits) > 4 * KEEP_PIECES:
             self.fits.clear()
         at, total = 0, 0
         for byte in piece:
-            step = self.steps[at].get(byte) or self._compile(at, byte)
+            step = self.steps[at].get(byte)
+            if step is None:
+                if len(self.state) > KEEP_STATES:
+                    at = self._anew(at)
+                step = self._compile(at, byte)
             at, total = step[0], total + step[1]
-        self.known[piece] = total
+        if len(piece) <= LONG:
+            self.known[piece] = total
         return total
 
 

@@ -138,6 +138,19 @@ def test_benchmark_hits(spark, docs_of, small):
 TRICKY = ["don't she'll they're I've we'd", "''s 's's 'sx 'l 'll 'le", "a  b \n\n c\t'm", "<|endoftext|>a <|endoftext|> b", "x'r y'v'r", "   ", "　　y 12² ½", "\x00\x01 \x7f", "'" * 9]
 
 
+def test_token_counts_when_states_are_renewed(monkeypatch):
+    """States and pieces that are forgotten, also in the middle of a long piece, change no count."""
+    import random
+    monkeypatch.setattr(token_counts, "KEEP_STATES", 50)
+    monkeypatch.setattr(token_counts, "KEEP_PIECES", 20)
+    rng = random.Random(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["".join(rng.choices("abcdefgh the12 \n.,'s", k=rng.randrange(0, 400))) for _ in range(100)] + ["".join(rng.choices("ABCDEFabcdef0123456789", k=5000))]
+    machine = token_counts.TokenCounter(path)
+    assert machine.count(texts) == [len(x.ids) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert len(machine.counter.state) <= 52 and all(len(p) <= token_counts.LONG for p in machine.counter.known)
+
+
 def test_token_counts(docs_of, small):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
