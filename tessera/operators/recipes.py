@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .audit import MESSAGES
 from .normalize import message, no_messages, pick_one, standardize_messages
+from .sample import seeded_hash, unit_interval
 
 RECIPES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -36,6 +37,16 @@ PICTURE_QUESTIONS = ("Give the description of this image.", "Describe this pictu
 PROMPTS = {"gpt4v": "What is the caption of this image?", "garbage": "Task: Classify household waste.", "coco2014": "please describe the image.", "aishell": "语音转文本",
            "textcaps": "What is the caption of this image?", "textcaps_emb": "", "latexocr": "Using LaTeX to perform OCR on the image.", "captcha": "recognize the content.",
            "coco": "Task: Object Detection"}
+GROUNDING = {
+    "grounding": {
+        "en": ["<ref-object>", "The positions of <ref-object> is", "Find the positions of <ref-object>", "Where is <ref-object>", "Find <ref-object>", "Show me <ref-object>", "Detect <ref-object>",
+               "Locate <ref-object>", "Tell me the location of <ref-object>", "Give the location of <ref-object>", "Provide the bounding box coordinate of <ref-object>"],
+        "zh": ["<ref-object>", "<ref-object>的位置在图片中", "<ref-object>在图片中", "<ref-object>在", "找到<ref-object>的位置", "<ref-object>在哪里", "提供<ref-object>的坐标位置"]},
+    "caption": {
+        "en": ["<bbox>", "The object at position <bbox>", "This <bbox> is", "What is the object at <bbox>", "Describe <bbox>", "<bbox> is", "The bounding box coordinate <bbox> contains"],
+        "zh": ["<bbox>", "<bbox>是什么", "<bbox>的位置包含", "描述<bbox>", "<bbox>中是", "坐标<bbox>描述了什么", "描述<bbox>中的事物"]}}
+GROUNDING_ANSWER = {"grounding": "<bbox>", "caption": "<ref-object>"}
+GROUNDING_CHINESE = 0.2  # share of Chinese prompts
 CLEVR_SUFFIX = " Output the thinking process in <think> </think> and final answer (number) in <answer> </answer> tags."
 
 
@@ -396,6 +407,20 @@ def coco_detection(df, categories: DataFrame):
     return with_prompt("coco")(named.drop("_names"))
 
 
+@recipe("refcoco")
+def refcoco(df, key: str, task: str = "caption", images: str = "", seed: int = 42):
+    """Referring expressions: the first caption and the box, rounded half to even, with a prompt for the ``task`` (``caption`` or ``grounding``) picked by the row's key.
+
+    Adds query, response, images (the file below the folder ``images``) and objects.  Rows whose file is missing go by ``media_manifest_filter``, as elsewhere.
+    """
+    prompt = {lang: pick_one(F.array(*[F.lit(q) for q in GROUNDING[task][lang]]), c(key), seed) for lang in ("en", "zh")}
+    share = unit_interval(seeded_hash([key], f"{seed}/language"))
+    path = F.concat(F.lit(images), F.replace(c("image_path"), F.lit("coco/train2014"), F.lit("train2014")))
+    objects = F.struct(F.array(F.get("captions", F.lit(0))).alias("ref"), F.array(F.transform("bbox", lambda x: F.bround(x.cast("double"), 0).cast("int"))).alias("bbox"))
+    out = df.withColumns({"query": F.when(share < GROUNDING_CHINESE, prompt["zh"]).otherwise(prompt["en"]), "response": F.lit(GROUNDING_ANSWER[task]), "images": F.array(path), "objects": objects})
+    return out.drop("captions", "bbox", "image_path")
+
+
 @recipe("clevr")
 def clevr(df):
     return df.withColumn("query", text(F.coalesce(c("query"), F.lit("")), CLEVR_SUFFIX))

@@ -170,14 +170,14 @@ def qr(df, *keep):
     return df.select(*keep, "query", "response")
 
 
-@query("recipes_instruction", "recipes", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE lang END AS alpaca_zh, trim(text, ' ') = '' OR TRUE AS long_ok, 'Sql Table information:' || chr(10) || source || chr(10) || lang AS sql_query,
+@query("recipes_instruction", "recipes", rf"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE lang END AS alpaca_zh, regexp_replace(text, '\A{T.SPACE}+|{T.SPACE}+\z', '', 'g') AS long, 'Sql Table information:' || chr(10) || source || chr(10) || lang AS sql_query,
   'Let''s think step by step:' || chr(10) || text || chr(10) || 'So the final sql is:' || chr(10) || lang AS sql_response, text || chr(10) || chr(10) || 'Answer: ' || n_chars AS blossom, lang || chr(10) || source || chr(10) || 'c1c3' || text AS law FROM documents""")
 def _(t):
     d = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("输入："), F.col("text"))).otherwise(F.col("lang")).alias("input"), F.col("lang").alias("sql"), F.col("lang").alias("sql_prompt"), F.col("source").alias("sql_context"),
                            F.col("text").alias("sql_explanation"), F.col("text").alias("output"), F.col("n_chars").cast("string").alias("answer"), F.col("lang").alias("query"), F.col("lang").alias("type"), F.col("source").alias("title"),
                            F.lit("c1").alias("chapter1"), F.lit(None).cast("string").alias("chapter2"), F.lit("c3").alias("chapter3"), F.concat(F.lit("Answer: "), F.col("text")).alias("response"), "text")
     a = P.alpaca_zh(d).select("doc_id", F.col("input").alias("alpaca_zh"))
-    b = P.long_alpaca(d).select("doc_id", (F.col("response") == T.strip("text")).alias("long_ok"))
+    b = P.long_alpaca(d).select("doc_id", F.col("response").alias("long"))
     s = P.text2sql(d, "doc_id").withColumnsRenamed({"query": "sql_query", "response": "sql_response"})
     m = P.blossom_math(d, "doc_id").select("doc_id", F.col("response").alias("blossom"))
     w = P.tigerbot_law(d.withColumn("response", F.col("text")), "doc_id").withColumnRenamed("response", "law")
@@ -321,6 +321,19 @@ def _(t):
     return a.join(b, "doc_id").select("doc_id", turn(F.col("messages"), 1).alias("sa1b"), turn(F.col("m2"), 1).alias("pixelprose"), ok.alias("known_prompt"))
 
 
+@query("recipe_refcoco", "recipes", """SELECT doc_id, task, '/data/train2014/' || doc_id || '.jpg' AS image, text AS ref, concat_ws(',', round_even(n_chars * 0.5, 0)::INT, round_even(doc_id * 0.25, 0)::INT, round_even(n_chars + 0.5, 0)::INT, doc_id + 1) AS bbox,
+  CASE task WHEN 'caption' THEN '<ref-object>' ELSE '<bbox>' END AS response, TRUE AS known_prompt FROM documents, (VALUES ('caption'), ('grounding')) v(task)""")
+def _(t):
+    rows = t.documents.select("doc_id", F.array("text", "lang").alias("captions"), F.expr("'coco/train2014/' || doc_id || '.jpg'").alias("image_path"),
+                              F.expr("array(n_chars * 0.5E0, doc_id * 0.25E0, n_chars + 0.5E0, doc_id + 1E0)").alias("bbox"))
+    parts = []
+    for task in ("caption", "grounding"):
+        known = F.col("query").isin([q for some in P.GROUNDING[task].values() for q in some])
+        out = P.RECIPES["refcoco"](rows, "doc_id", task, images="/data/")
+        parts.append(out.select("doc_id", F.lit(task).alias("task"), F.col("images")[0].alias("image"), F.col("objects.ref")[0].alias("ref"), F.array_join(F.col("objects.bbox")[0].cast("array<string>"), ",").alias("bbox"), "response", known.alias("known_prompt")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("recipe_coco_detection", "recipes", """SELECT o_orderkey AS image_id, o_orderstatus AS status, 'Task: Object Detection' AS query,
   CASE o_orderkey % 10 WHEN 3 THEN '' ELSE a.n_name || ',' || coalesce(b.n_name, '?') END AS ref FROM orders LEFT JOIN nation a ON a.n_nationkey = o_custkey % 25 LEFT JOIN nation b ON b.n_nationkey = o_orderkey % 30""")
 def _(t):
