@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -20,6 +21,7 @@ QUERIES, FIRST = 1024, 8  # queries that are searched together; one group in so
 SLACK = 1e-9  # a bound and the score it bounds are added up in different orders
 PLACES = 9  # scores are compared after rounding to so many decimal places
 MOST_ROWS, TILE, FIRST_BALLS = 16_384, 256, 2  # vectors of a ball part, query rows that are multiplied at once, balls that give a block its floor
+GRID, HELD = 6, 131_072  # groups of parts on a side of the grid, queries that a task holds at once
 
 
 def tokens(c) -> Column:
@@ -188,7 +190,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: st
 
     Corpus and queries lie in balls around centres from the corpus, as packed matrices of about ``block_rows`` vectors at most.  For queries and vectors of two balls the inner product is
     at most that of the middles plus what the radii add (Cauchy-Schwarz).  Each block of queries first meets the balls with the highest bounds, which gives the block a floor;
-    of the others it meets those whose bound reaches the floor.  What meets is multiplied in Arrow tasks, a row for each pair, and k rows per query come out.
+    of the others it meets those whose bound reaches the floor (``met``).  What meets is multiplied in Arrow tasks: a part goes once to each group of parts it meets, not once to each part.
 
     All vectors have the same dimension; rows without a vector are left out.  No vector passes through the driver.  The centres, one for each ball that is needed and 256 at most,
     are one row.  Where no bound helps, as for vectors without structure, every block meets every ball.
@@ -202,7 +204,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: st
     packed = pack_balls(sides[0].unionByName(sides[1]).filter("v IS NOT NULL"), centres, rows)
     left, right = (packed.filter(F.col("side") == side).drop("side") for side in "qd")
     first, rest = meetings(left, right, k)
-    found = first.unionByName(products(left, right, rest, k))
+    found = first.select("q", "d", "score").unionByName(met(left, right, rest, k))
     return top_k(found, ["q"], [F.desc("score"), F.col("d")], k).select(F.col("q").alias(qid), F.col("d").alias(did), "score", "rank")
 
 
@@ -252,7 +254,8 @@ def meetings(left: DataFrame, right: DataFrame, k: int) -> tuple[DataFrame, Data
     floor = kth.groupBy("qball", "qpart").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("have"))
     rest = pairs.join(tried.select("qball", "qpart", "dball", "dpart"), ["qball", "qpart", "dball", "dpart"], "left_anti").join(floor, ["qball", "qpart"], "left")
     enough = F.col("bound") + SLACK * (1 + F.abs("bound")) >= F.col("floor")
-    return first, rest.filter(F.col("floor").isNull() | (F.col("have") < F.col("qn")) | enough).select("qball", "qpart", "dball", "dpart")
+    every = F.when(F.col("have") == F.col("qn"), F.col("floor") - SLACK * (1 + F.abs("floor"))).alias("floor")
+    return first, rest.filter(F.col("floor").isNull() | (F.col("have") < F.col("qn")) | enough).select("qball", "qpart", "dball", "dpart", every)
 
 
 def products(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -281,6 +284,77 @@ def products(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int) -> Dat
     return met.repartition(_tasks(left), "qball", "qpart", "dball", "dpart").mapInArrow(multiply, "qball long, qpart long, q long, d long, score double")
 
 
+class Best:
+    """The k best vectors so far for each query of a part, by falling score, then id; scores under ``floor`` may be missing."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: float | None):
+        self.ids, self.vectors, self.k, self.floor = ids, vectors, k, -np.inf if floor is None else floor
+        self.score, self.name = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for low in range(0, len(self.ids), TILE):
+            s = self.vectors[low:low + TILE] @ vectors.T
+            least = np.maximum(self.score[low:low + TILE, -1], self.floor)
+            free = np.flatnonzero(np.isneginf(least))
+            if len(free) and len(ids) > self.k:
+                least[free] = np.partition(s[free], len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            row, col = np.nonzero(s >= least[:, None])
+            some = np.unique(row)
+            owner = np.concatenate((np.repeat(some, self.k), row))
+            score, name = np.concatenate((self.score[low + some].ravel(), s[row, col])), np.concatenate((self.name[low + some].ravel(), ids[col]))
+            order = np.lexsort((name, -score, owner))
+            owner, score, name = owner[order], score[order], name[order]
+            keep = np.arange(len(owner)) - np.searchsorted(owner, owner) < self.k
+            self.score[low + some], self.name[low + some] = score[keep].reshape(-1, self.k), name[keep].reshape(-1, self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        row, col = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.name[row, col]), pa.array(self.score[row, col])], ["q", "d", "score"])
+
+
+def _grouped(parts: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """(ball, part, group) of parts in groups of about as many vectors, at most ``most`` and a part, and the number of groups."""
+    n, vectors = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = max(1, min(n, max(GRID, -(-vectors // most) if most else 0)))
+    before = F.coalesce(F.sum("n").over(W.orderBy("ball", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    return parts.select("ball", "part", F.floor(before * groups / max(1, vectors)).cast("int").alias("group")), groups
+
+
+def met(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(q, d, score): of ``pairs`` of parts (qball, qpart, dball, dpart, floor), the k best of each cell for each query; products under a pair's floor may be missing.
+
+    Query parts and corpus parts lie in groups, and a cell is two groups.  A task holds the queries of a cell with their best and reads the corpus parts one after the other, so that a part is
+    sent once for each cell that needs it: at most ``GRID`` times, or vectors / ``HELD`` times where the queries are very many.
+    """
+    (q_groups, nq), (d_groups, nd) = _grouped(left, HELD), _grouped(right)
+    of = lambda df, a: df.select(F.col("ball").alias(f"{a}ball"), F.col("part").alias(f"{a}part"), F.col("group").alias(f"{a}group"))
+    placed = cut(pairs.join(of(q_groups, "q"), ["qball", "qpart"]).join(of(d_groups, "d"), ["dball", "dpart"]).withColumn("cell", F.col("qgroup") * nd + F.col("dgroup")).drop("qgroup", "dgroup"))
+    asking = placed.groupBy("cell", F.col("qball").alias("ball"), F.col("qpart").alias("part")).agg(F.first("floor").alias("floor"))  # one floor for a query part
+    asked = placed.groupBy("cell", F.col("dball").alias("ball"), F.col("dpart").alias("part")).agg(F.collect_list(F.struct("qball", "qpart")).alias("by"))
+    queries = asking.join(left.select("ball", "part", "ids", "matrix"), ["ball", "part"]).withColumns({"side": F.lit(0), "by": F.lit(None)})
+    vectors = asked.join(right.select("ball", "part", "ids", "matrix"), ["ball", "part"]).withColumns({"side": F.lit(1), "floor": F.lit(None)})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
+                ids = np.frombuffer(at("ids"), "<i8")
+                matrix = np.frombuffer(at("matrix"), "<f8").reshape(len(ids), -1)
+                if at("cell") != cell:
+                    yield from (best.rows() for best in held.values())
+                    cell, held = at("cell"), {}
+                if at("side") == 0:
+                    held[at("ball"), at("part")] = Best(ids, matrix, k, at("floor"))
+                else:
+                    for by in at("by"):
+                        held[by["qball"], by["qpart"]].offer(ids, matrix)
+        yield from (best.rows() for best in held.values())
+
+    dealt = queries.unionByName(vectors).repartitionById(nq * nd, F.col("cell")).sortWithinPartitions("cell", "side", "ball", "part")
+    return dealt.mapInArrow(search, "q long, d long, score double")
+
+
 def attach_documents(hits: DataFrame, corpus: DataFrame, did: str, text: str) -> DataFrame:
     """Documents of the hits; the first line is the title, the rest the text."""
     docs = corpus.select(F.col(did).alias("_id"), F.col(text).alias("_x"))

@@ -306,6 +306,26 @@ def test_dense_topk_leaves_far_balls_out(spark):
     assert rest.count() < 0.5 * left.count() * right.count()
 
 
+def test_dense_topk_sends_a_part_once_to_each_group(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-9, 10, (400, 4)).astype(float)  # many equal scores
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    sides = d.select(F.explode(F.array(F.lit("q"), F.lit("d"))).alias("side"), "k", "v")
+    packed = X.pack_balls(sides, spark.createDataFrame([(x[:20].tolist(),)], "centres array<array<double>>"), 10)
+    left, right = packed.filter("side = 'q'").drop("side"), packed.filter("side = 'd'").drop("side")
+    every = left.select(F.col("ball").alias("qball"), F.col("part").alias("qpart")).crossJoin(right.select(F.col("ball").alias("dball"), F.col("part").alias("dpart"))).withColumn("floor", F.lit(None).cast("double"))
+    parts = left.count()
+    sent, sends = [], type(left).repartitionById
+    monkeypatch.setattr(type(left), "repartitionById", lambda df, n, c: sent.append((df.count(), n)) or sends(df, n, c))
+    rows = X.met(left, right, every, 3).collect()
+    # whatever the number of pairs, a part goes to as many cells as the grid has groups on the other side
+    assert parts > 3 * X.GRID and sent == [(2 * parts * X.GRID, X.GRID ** 2)]
+    got, score = defaultdict(list), x @ x.T
+    for r in rows:
+        got[r.q].append((-round(r.score, 6), r.d))
+    assert all(sorted(got[i])[:3] == sorted((-round(s, 6), j) for j, s in enumerate(score[i]))[:3] for i in range(400))
+
+
 def test_long_sessions_come_in_parts(spark):
     steps = [("hot", i, "0" if i in (0, 3) else "1", f"o{i}", f"a{i}") for i in range(500)] + [("b", i, "0", f"o{i}", "x") for i in range(3)]
     d = spark.createDataFrame(steps, "k string, i long, idx string, obs string, act string").withColumn("task", F.lit("do"))
