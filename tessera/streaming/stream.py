@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,58 +47,90 @@ def stream_rollout_metrics(stream: DataFrame, ts: str, window: str, late: str, r
             F.col(c) for c in ("rollouts", "avg_score", "min_tokens", "max_tokens", "avg_tokens", "avg_tokens_rewarded", "avg_tokens_unrewarded")])
 
 
+#: A sample that waits: which of uid, sample and ms are null is told by the bits of ``empty``.
+_WAITING = np.dtype([("uid", np.int64), ("sample", np.int64), ("reward", np.float64), ("ms", np.int64), ("empty", np.int8)])
+NO_UID, NO_SAMPLE, NO_TIME = 1, 2, 4
+
+
 class _Groups(StatefulProcessor):
-    """Samples of one prompt until they are complete, or until the event-time timer of the last one runs out."""
+    """Samples of the prompts of a bucket until they are complete, or until the event time is past the last one's patience.
+
+    The samples that wait are one packed value, and the bucket has one timer, for the group that is due first: a batch costs a few calls of the state store for a bucket, not for a prompt.
+    """
 
     def __init__(self, n_samples: int, patience_ms: int):
         self.n_samples, self.patience_ms = n_samples, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.samples = handle.getListState("samples", "sample long, reward double")
-        self.last = handle.getValueState("last", "ms long")
-
-    def _free(self) -> None:
-        self.handle.deleteTimer(self.last.get()[0])
-        self.samples.clear()
-        self.last.clear()
-
-    def _out(self, key, rows: list[tuple], reason: str | None) -> pd.DataFrame:
-        return pd.DataFrame({"uid": key[0], "sample": [r[0] for r in rows], "reward": [r[1] for r in rows], "reason": reason})
+        self.waiting = handle.getValueState("waiting", "samples binary, due long")
+
+    def _known(self) -> tuple[np.ndarray, int | None]:
+        state = self.waiting.get()
+        return (np.zeros(0, _WAITING), None) if state is None else (np.frombuffer(state[0], _WAITING), state[1])
+
+    def _keep(self, rows: np.ndarray, due: int, timer: int | None) -> None:
+        """Replace what waits; ``timer`` is the one that is set."""
+        if timer is not None and (timer != due or not len(rows)):
+            self.handle.deleteTimer(timer)
+        if not len(rows):
+            self.waiting.clear()
+            return
+        self.waiting.update((rows.tobytes(), due))
+        if timer != due:
+            self.handle.registerTimer(due)
+
+    def _by_prompt(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by prompt, in order of arrival; where each prompt begins, how many rows it has and when it is due."""
+        rows = rows[np.lexsort((rows["uid"], rows["empty"] & NO_UID))]
+        none = rows["empty"] & NO_UID
+        first = np.flatnonzero(np.concatenate(([True], (rows["uid"][1:] != rows["uid"][:-1]) | (none[1:] != none[:-1]))))
+        late = np.maximum.reduceat(np.where(rows["empty"] & NO_TIME, np.iinfo(np.int64).min, rows["ms"]), first)
+        if (late == np.iinfo(np.int64).min).any():
+            raise ValueError("a group of samples has no time")
+        return rows, first, np.diff(np.append(first, len(rows))), late + self.patience_ms
+
+    def _out(self, rows: np.ndarray, reason) -> pd.DataFrame:
+        column = lambda c, bit: pd.Series(rows[c]).astype("Int64").mask((rows["empty"] & bit) != 0) if (rows["empty"] & bit).any() else rows[c]
+        return pd.DataFrame({"uid": column("uid", NO_UID), "sample": column("sample", NO_SAMPLE), "reward": rows["reward"], "reason": pd.Series(reason, index=range(len(rows)), dtype=object)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(rows)
-        known = [tuple(r) for r in self.samples.get()] if self.samples.exists() else []
-        have = known + list(zip(new["sample"].tolist(), new["reward"].tolist()))
-        due = int(new["ms"].max()) + self.patience_ms
-        if self.last.exists():
-            due = max(due, self.last.get()[0])
-            self._free()
-        if len(have) >= self.n_samples:
-            same = self.n_samples > 1 and min(r for _, r in have) == max(r for _, r in have)
-            yield self._out(key, have, "uniform" if same else None)
-            return
-        self.samples.put(have)
-        self.last.update((due,))
-        self.handle.registerTimer(due)
+        came = np.empty(len(new), _WAITING)
+        for c in _WAITING.names:
+            came[c] = new[c].to_numpy(dtype=_WAITING[c])
+        known, timer = self._known()
+        have, first, n, due = self._by_prompt(np.concatenate((known, came)))
+        whole = n >= self.n_samples
+        out = np.repeat(whole, n)
+        if whole.any():
+            reward = have["reward"]
+            same = (np.fmin.reduceat(reward, first) == np.fmax.reduceat(reward, first)) & ~np.isnan(reward[first]) & (self.n_samples > 1)
+            yield self._out(have[out], np.where(np.repeat(same, n)[out], "uniform", None))
+        self._keep(have[~out], int(due[~whole].min(initial=np.iinfo(np.int64).max)), timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        have = [tuple(r) for r in self.samples.get()]
-        self.samples.clear()
-        self.last.clear()
-        yield self._out(key, have, "unfinished")
+        have, first, n, due = self._by_prompt(self._known()[0])
+        over = (due < timerValues.getCurrentWatermarkInMs()) | (due <= expiredTimerInfo.getExpiryTimeInMs())
+        out = np.repeat(over, n)
+        yield self._out(have[out], "unfinished")
+        self._keep(have[~out], int(due[~over].min(initial=np.iinfo(np.int64).max)), None)  # the timer that ran out is gone
 
 
-def stream_complete_groups(stream: DataFrame, uid: str, sample: str, reward: str, n_samples: int, ts: str, late: str, patience_s: int) -> DataFrame:
+def stream_complete_groups(stream: DataFrame, uid: str, sample: str, reward: str, n_samples: int, ts: str, late: str, patience_s: int, buckets: int = 256) -> DataFrame:
     """(uid, sample, reward, reason) of prompt groups, released once all their samples are there.
 
     A group whose rewards are all equal comes out with the reason ``uniform``.  A group that is not complete when the watermark is ``patience_s`` seconds past its last sample
-    comes out as it is, with the reason ``unfinished``.  Either way its state is freed, so state is bounded by the samples of that time span.  Needs the RocksDB
-    state store (``run(..., rocksdb=True)``).
+    comes out as it is, with the reason ``unfinished``.  Either way its state is freed, so state is bounded by the samples of that time span.  Prompts are dealt
+    over ``buckets`` by a hash; a task holds the samples of a bucket that wait and those that come.  The number must not change while a checkpoint is in use.  Needs the RocksDB state store
+    (``run(..., rocksdb=True)``).
     """
     at = F.col(ts).cast("timestamp")
-    slim = stream.select(F.col(uid).cast("long").alias("uid"), F.col(sample).cast("long").alias("sample"), F.col(reward).cast("double").alias("reward"), at.alias("ts"), F.unix_millis(at).alias("ms"))
-    return slim.withWatermark("ts", late).groupBy("uid").transformWithStateInPandas(
+    empty = sum((F.when(c.isNull(), bit).otherwise(0) for c, bit in ((F.col(uid).cast("long"), NO_UID), (F.col(sample).cast("long"), NO_SAMPLE), (at, NO_TIME))), F.lit(0))
+    filled = lambda c: F.coalesce(c, F.lit(0).cast("long"))  # noqa: E731  a long with nulls would lose digits in pandas
+    slim = stream.select(F.pmod(F.xxhash64(F.col(uid).cast("long")), F.lit(buckets)).alias("bucket"), filled(F.col(uid).cast("long")).alias("uid"), filled(F.col(sample).cast("long")).alias("sample"),
+                         F.col(reward).cast("double").alias("reward"), at.alias("ts"), filled(F.unix_millis(at)).alias("ms"), empty.cast("byte").alias("empty"))
+    return slim.withWatermark("ts", late).groupBy("bucket").transformWithStateInPandas(
         _Groups(n_samples, 1000 * patience_s), "uid long, sample long, reward double, reason string", "Append", "EventTime")
 
 

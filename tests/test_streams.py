@@ -1,6 +1,7 @@
 """Streams over several micro-batches: timers, horizons, carried bins, and the log of finished keys."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.plans.stream_queries import fed
@@ -21,6 +22,65 @@ def test_unfinished_groups_come_out_once_and_state_goes(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_groups_due_at_the_watermark_and_without_id(spark, tmp_path):
+    at = "timestamp '2024-01-01' + make_dt_interval(0, 0, m)"
+    rows = [(None, 0, 0.5, 0, 0), (None, 1, 0.5, 0, 0), (2**60 + 1, 0, 1.0, 0, 0), (8, 0, None, 0, 0), (8, 1, 0.5, 0, 0), (9, 0, 0.1, 1, 0), (7, 0, 0.5, 11, 0), (5, 0, 0.5, 11, 1), (9, 1, 0.2, 12, 2)]
+    d = spark.createDataFrame(rows, "uid long, sample long, reward double, m int, step int").withColumn("ts", F.expr(at))
+    groups = S.stream_complete_groups(fed(d, str(tmp_path), "step", 3), "uid", "sample", "reward", 2, "ts", "1 minute", 10 * 60)
+    S.run(groups, f"{tmp_path}/ck", S.group_collector(f"{tmp_path}/out"), rocksdb=True)
+    got = [(r.uid, r.sample, r.reward, r.reason) for r in S.read_batches(spark, f"{tmp_path}/out").collect()]
+    want = [(None, 0, 0.5, "uniform"), (None, 1, 0.5, "uniform"), (2**60 + 1, 0, 1.0, "unfinished"), (8, 0, None, None), (8, 1, 0.5, None), (9, 0, 0.1, None), (9, 1, 0.2, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+class Store:
+    """A state store of one bucket that counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_bucket_of_prompts_costs_a_few_calls():
+    store, groups = Store(), S._Groups(4, 100)
+    groups.init(store)
+    clock = lambda at: type("Clock", (), {"getCurrentWatermarkInMs": lambda _: at, "getExpiryTimeInMs": lambda _: at})()
+    rows = lambda uid, sample, ms: pd.DataFrame({"uid": uid, "sample": sample, "reward": sample * 0.5, "ms": ms, "empty": 0})
+    uid = np.arange(2000)
+    start = [rows(uid, np.full(2000, s), 10 + uid) for s in range(3)]
+    assert list(groups.handleInputRows((0,), iter(start), clock(0))) == [] and store.timers == {110}
+    done = pd.concat(groups.handleInputRows((0,), iter([rows(uid[::2], np.full(1000, 3), 10 + uid[::2])]), clock(0)))
+    assert len(done) == 4000 and set(done["uid"]) == set(range(0, 2000, 2)) and done["reason"].isna().all() and store.timers == {111}
+    store.timers.remove(111)
+    late = pd.concat(groups.handleExpiredTimer((0,), clock(1110), clock(111)))
+    assert sorted(set(late["uid"])) == list(range(1, 1000, 2)) and len(late) == 1500 and set(late["reason"]) == {"unfinished"} and store.timers == {1111}
+    store.timers.remove(1111)
+    assert len(pd.concat(groups.handleExpiredTimer((0,), clock(9999), clock(1111)))) == 1500 and store.value is None and not store.timers
+    assert store.calls < 16
+
+
 def test_filters_hold_every_key():
     rng = np.random.default_rng(1)
     mine, other = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 20000, dtype=np.uint64)
