@@ -7,7 +7,8 @@ work on parallel arrays.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -17,6 +18,7 @@ from .sample import hash_rank, seeded_hash
 from .scale import cut, numbered, skew_join, top_k, with_group_stats
 
 FLOATS = "array<double>"
+SLICE_TOKENS = 1 << 20  # tokens that a recursion takes at once
 
 
 def weighted_reward(weights: dict[str, float]) -> Column:
@@ -83,47 +85,67 @@ def _backward(lengths: np.ndarray, step) -> None:
         step(ends[:n] - 1 - back, n)
 
 
-def _tokens(*lists: pd.Series) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Which rows are whole, their lengths, and the tokens of each list on end; a shorter list is filled up with NaN."""
-    good = np.logical_and.reduce([x.notna().to_numpy() for x in lists])
-    rows = [x[good] for x in lists]
-    lengths = np.array([max(map(len, r)) for r in zip(*rows)], np.int64)
-    filled = [[np.asarray(x, float) if len(x) == n else np.concatenate((np.asarray(x, float), np.full(n - len(x), np.nan))) for x, n in zip(r, lengths)] for r in rows]
-    return good, lengths, [np.concatenate(r) if r else np.zeros(0) for r in filled]
+def _by_slices(step_of, *lists: pa.Array) -> pa.Array:
+    """Lists of numbers from lists of numbers, some rows at a time, so that the work space is that of ``SLICE_TOKENS`` or of the longest row.
 
-
-def _as_lists(good: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> pd.Series:
-    out = np.full(len(good), None, object)
-    for at, part in zip(np.flatnonzero(good), np.split(values, np.cumsum(lengths)[:-1]) if len(lengths) else []):
-        out[at] = part
-    return pd.Series(out)
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def _returns(rewards: pd.Series, mask: pd.Series, gamma: pd.Series) -> pd.Series:
-    good, lengths, (r, m) = _tokens(rewards, mask)
-    out, run, g = np.zeros(len(r)), np.zeros(len(lengths)), float(gamma.iloc[0])
-
-    def step(at, n):
-        out[at] = r[at] + g * run[:n]
-        run[:n] = out[at] * m[at]
-
-    _backward(lengths, step)
-    return _as_lists(good, lengths, out)
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def _gae(rewards: pd.Series, values: pd.Series, gamma: pd.Series, lam: pd.Series) -> pd.Series:
-    good, lengths, (r, v) = _tokens(rewards, values)
-    out, run, after = np.zeros(len(r)), np.zeros(len(lengths)), np.zeros(len(lengths))
-    g, keep = float(gamma.iloc[0]), float(gamma.iloc[0] * lam.iloc[0])
-
-    def step(at, n):
-        out[at] = run[:n] = r[at] + g * after[:n] - v[at] + keep * run[:n]
-        after[:n] = v[at]
-
-    _backward(lengths, step)
-    return _as_lists(good, lengths, out)
+    ``step_of`` gets the tokens of each list on end, the rows' lengths and the output, and fills it.  A row with a list that is null is null; a shorter list is filled up with NaN.
+    """
+    lengths = [pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    good = np.logical_and.reduce([x.is_valid().to_numpy(zero_copy_only=False) for x in lists])
+    longest = np.where(good, np.maximum.reduce(lengths), 0)
+    ends = np.cumsum(longest)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0)
+    low = 0
+    while low < len(good):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+        n = longest[low:high]
+        tokens = []
+        for x, have in zip(lists, lengths):
+            flat = x.slice(low, high - low).flatten().to_numpy(zero_copy_only=False)
+            have = have[low:high]
+            if not np.array_equal(have, n):
+                filled = np.full(int(n.sum()), np.nan)
+                take = np.where(good[low:high], have, 0)
+                place = lambda first, n=take: np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+                filled[place(np.cumsum(n) - n)] = flat[place(np.cumsum(have) - have)]
+                flat = filled
+            tokens.append(flat)
+        step_of(n, out[before:int(ends[high - 1])], *tokens)
+        low = high
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(out, from_pandas=True), mask=pa.array(~good))  # NaN is null
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _returns(rewards: pa.Array, mask: pa.Array, gamma: pa.Array) -> pa.Array:
+    g = gamma[0].as_py() if len(gamma) else 0.0
+
+    def fill(lengths, out, r, m):
+        run = np.zeros(len(lengths))
+
+        def step(at, n):
+            out[at] = r[at] + g * run[:n]
+            run[:n] = out[at] * m[at]
+
+        _backward(lengths, step)
+
+    return _by_slices(fill, rewards, mask)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _gae(rewards: pa.Array, values: pa.Array, gamma: pa.Array, lam: pa.Array) -> pa.Array:
+    g, keep = (gamma[0].as_py(), gamma[0].as_py() * lam[0].as_py()) if len(gamma) else (0.0, 0.0)
+
+    def fill(lengths, out, r, v):
+        run, after = np.zeros(len(lengths)), np.zeros(len(lengths))
+
+        def step(at, n):
+            out[at] = run[:n] = r[at] + g * after[:n] - v[at] + keep * run[:n]
+            after[:n] = v[at]
+
+        _backward(lengths, step)
+
+    return _by_slices(fill, rewards, values)
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:

@@ -243,6 +243,7 @@ def _(t):
     return out.select("uid", "chosen", "rejected", r6("score"), "rank")
 
 
+TASK_TOKENS = 1_000_000
 LONG = """WITH RECURSIVE l AS (SELECT l_suppkey AS uid, l_discount * 10 AS r, l_tax * 5 AS v, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE 1 END AS m,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_quantity DESC) AS back FROM lineitem),
   w AS (SELECT uid, back, m, v, r AS ret, r - v AS adv FROM l WHERE back = 1
@@ -254,7 +255,8 @@ LONG = """WITH RECURSIVE l AS (SELECT l_suppkey AS uid, l_discount * 10 AS r, l_
 def _(t):
     rows = t.lineitem.select(F.col("l_suppkey").alias("uid"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_discount") * 10).alias("r"), (F.col("l_tax") * 5).alias("v"),
                                                                        F.when(F.col("l_linenumber") % 5 == 0, 0).otherwise(1).alias("m")).alias("x"))
-    lists = rows.groupBy("uid").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a supplier's lines, as one long response
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_TOKENS))  # a batch that Python gets holds a task's lists at most
+    lists = rows.repartition(tasks, "uid").groupBy("uid").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a supplier's lines, as one long response
     out = lists.select("uid", F.col("x.r").alias("r"), R.discounted_returns(F.col("x.r"), F.col("x.m"), 0.9).alias("ret"), R.gae_advantages(F.col("x.r"), F.col("x.v"), 0.9, 0.8).alias("adv"))
     both = out.select("uid", F.posexplode(F.arrays_zip("ret", "adv")).alias("at", "y"), F.size("r").alias("n"))
     back = F.col("n") - F.col("at")

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,6 +327,37 @@ def test_dense_topk_sends_a_part_once_to_each_group(spark, monkeypatch):
     assert all(sorted(got[i])[:3] == sorted((-round(s, 6), j) for j, s in enumerate(score[i]))[:3] for i in range(400))
 
 
+def test_token_recursions_take_some_rows_at_a_time(spark, monkeypatch):
+    lists = [[1.0, None, 2.0], None, [], [1.0, 2.0, 3.0], [5.0], [4.0, 4.0], [2.0] * 9, [1.0, 1.0]]
+    others = [[1.0, 1.0, 0.0], [1.0, 2.0], [], [1.0, 1.0], None, [1.0, 2.0, 3.0], [0.5] * 9, [1.0, 1.0]]
+    a, b = pa.array(lists, pa.list_(pa.float64())), pa.array(others, pa.list_(pa.float64()))
+    seen = []
+
+    def add(lengths, out, x, y):
+        seen.append((len(out), len(x), len(y)))
+        assert lengths.sum() == len(out)
+        out[:] = x + y
+
+    want = [[2.0, None, 2.0], None, [], [2.0, 3.0, None], None, [5.0, 6.0, None], [2.5] * 9, [2.0, 2.0]]
+    monkeypatch.setattr(R, "SLICE_TOKENS", 6)
+    assert R._by_slices(add, a, b).to_pylist() == want and R._by_slices(add, a[1:], b[1:]).to_pylist() == want[1:]
+    assert len(seen) > 6 and all(x == y == z and x in (0, 2, 3, 6, 9) for x, y, z in seen)
+    d = spark.createDataFrame(list(zip(range(8), lists, others)), "k int, r array<double>, m array<double>").coalesce(1).orderBy("k")
+    rows = d.select(R.discounted_returns(F.col("r"), F.col("m"), 0.5).alias("x"), R.gae_advantages(F.col("r"), F.col("m"), 0.9, 0.8).alias("y")).collect()
+    assert [r.x for r in rows][:6] == [[None, None, 2.0], None, [], [None, None, 3.0], None, [None, None, None]]
+    assert rows[7].x == [1.5, 1.0] and [round(y, 9) for y in rows[7].y] == [0.9, 0.0]
+
+
+def test_long_recursions_are_dealt_by_their_tokens(spark, tmp_path, monkeypatch):
+    names = "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame([(i % 40, i, i % 7, i, 1.0, 0.05, 0.02) for i in range(2000)], names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    from tessera.plans import rollout_queries as Q
+    monkeypatch.setattr(Q, "TASK_TOKENS", 100)
+    out = Q.query.__globals__["QUERIES"]["long_token_recursions"](spark, str(tmp_path))
+    assert ", 20" in next(x for x in out._jdf.queryExecution().logical().toString().split("\n") if "RepartitionByExpression" in x)
+    assert out.agg(F.count("*"), F.sum("n")).first() == (40, 2000)
+
+
 def test_long_sessions_come_in_parts(spark):
     steps = [("hot", i, "0" if i in (0, 3) else "1", f"o{i}", f"a{i}") for i in range(500)] + [("b", i, "0", f"o{i}", "x") for i in range(3)]
     d = spark.createDataFrame(steps, "k string, i long, idx string, obs string, act string").withColumn("task", F.lit("do"))
