@@ -19,7 +19,8 @@ DENSE = 8
 SHIFTS = 30
 FIELD = 31  # bits of a counting lane
 LOW = (1 << 32) - 1
-ONES = 1 | 1 << FIELD
+STRIDE, RUN = 8, 127  # hashes are first counted in runs, a byte for each bit: the highest byte holds 127 at most
+BYTES = 0x0101010101010101
 WRAP = (1 << 62) - 1
 PARAGRAPH = "\\n"
 GAP = r"[\x20\x09-\x0D]+"
@@ -37,6 +38,20 @@ def _pairs(paragraph: Column) -> Column:
     return _once(words, lambda h: F.zip_with(h, F.array_prepend(h, F.lit(0).cast("long")), lambda a, b: F.xxhash64(a, b)))
 
 
+def _runs(units: Column) -> Column:
+    """For each run of ``RUN`` hashes: how often each bit is set, in ``STRIDE`` longs.  Bit ``STRIDE * i + j`` is counted in byte i of long j."""
+    start = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(STRIDE)])
+    step = lambda a, h: F.struct(*[(a[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(BYTES))).alias(f"c{j}") for j in range(STRIDE)])
+    begins = F.when(F.size(units) > 0, F.sequence(F.lit(1), F.size(units), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    return F.transform(begins, lambda i: F.aggregate(F.slice(units, i, F.lit(RUN)), start, step))
+
+
+def _spread_out(run: Column) -> Column:
+    """The counting lanes of a run, packed as in a fingerprint: lane j holds bit j and, ``FIELD`` bits up, bit j + FIELD."""
+    bit = lambda b: F.shiftrightunsigned(run[f"c{b % STRIDE}"], STRIDE * (b // STRIDE)).bitwiseAND(F.lit(255).cast("long"))
+    return F.array(*[bit(j) + F.shiftleft(bit(j + FIELD), FIELD) for j in range(SHIFTS)])
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint as longs: number of word pairs, dense lanes, packed counting lanes.  Null is an empty text, which has no paragraph."""
     paragraphs = F.array_remove(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), "")
@@ -46,9 +61,7 @@ def fingerprint(text: Column) -> Column:
         return F.aggregate(p, zero, lambda a, x: (a + F.xxhash64(x, F.lit(k)).bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)))
 
     def count(units: Column) -> Column:
-        start = F.struct(*[zero.alias(f"c{j}") for j in range(SHIFTS)])
-        step = lambda a, h: F.struct(*[(a[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES))).bitwiseAND(F.lit(WRAP)).alias(f"c{j}") for j in range(SHIFTS)])
-        return F.aggregate(units, start, step, lambda a: F.concat(F.array(F.size(units).cast("long")), F.array(*[a[f"c{j}"] for j in range(SHIFTS)])))
+        return F.concat(F.array(F.size(units).cast("long")), _once(_runs(units), lambda runs: F.aggregate(runs, F.array(*[zero] * SHIFTS), lambda a, run: F.zip_with(a, _spread_out(run), lambda x, y: x + y))))
 
     def whole(p: Column) -> Column:
         counted = _once(F.flatten(F.transform(p, _pairs)), count)

@@ -219,6 +219,18 @@ def test_fingerprints_and_next_document(docs_of, small):
     assert by[60].f == by[61].f
 
 
+def test_bits_are_counted_in_runs(spark):
+    """Lanes that are counted a byte a bit in runs are those counted one by one, also when every bit of every hash is set."""
+    M = multiset_hash
+    units = [[], [-1] * 700, [(i * 0x9E3779B97F4A7C15 ^ i << 40) % (1 << 64) - (1 << 63) for i in range(300)], [1 << 60], [-1] * M.RUN]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u array<long>").select("i", M._runs(F.col("u")).alias("runs")).select("i", F.size("runs").alias("n"), F.transform("runs", M._spread_out).alias("lanes")).collect()
+    for r in rows:
+        u = [x % (1 << 64) for x in units[r.i]]
+        assert r.n == -(-len(u) // M.RUN)
+        want = [sum(h >> j & 1 for h in u) + (sum(h >> j + M.FIELD & 1 for h in u) << M.FIELD) for j in range(M.SHIFTS)]
+        assert [sum(x) for x in zip(*r.lanes)] == (want if u else [])
+
+
 def test_fingerprints_add_and_subtract(spark):
     of = lambda x: multiset_hash.fingerprint(F.lit(x))
     row = spark.range(1).select(multiset_hash.merge(of("a b\nc"), of("d")).alias("x"), of("d\nc\na b").alias("y"), multiset_hash.take_out(of("d\nc\na b"), of("c")).alias("z"), of("a b\nd").alias("w")).first()
