@@ -49,3 +49,9 @@ def table_of(names: DataFrame) -> np.ndarray:
 def bits(table: np.ndarray) -> np.ndarray:
     """The table with a bool for each place."""
     return np.unpackbits(table).view(bool)
+
+
+def has(table: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which names have their bit set, without unpacking the table."""
+    at = place(names)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 != 0

@@ -60,6 +60,62 @@ def test_similar_lines_in_any_order_of_arrival(spark):
     assert sorted(got, key=repr) == sorted(kept_lines(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))), key=repr)
 
 
+def varied_lines():
+    """Lines of up to 150 words, each with copies of which some words are changed: about as many as similarity allows, or a few more."""
+    rng, rows = np.random.default_rng(7), []
+    for i in range(24):
+        n = int(rng.integers(5, 150))
+        base = [f"w{j}" for j in rng.choice(900, n, replace=False)] + [f"rare{i % 8}"]
+        for _ in range(10):
+            line = list(base)
+            for at in rng.choice(n, int(rng.integers(0, n // 6 + 2)), replace=False):
+                line[at] = f"x{rng.integers(900)}"
+            rows.append(" ".join(line))
+    return [(i, "\n".join(rows[j] for j in some)) for i, some in enumerate(np.array_split(rng.permutation(len(rows)), 60))]
+
+
+@pytest.mark.parametrize("enough", [None, 1])
+def test_similar_lines_about_the_limit(spark, monkeypatch, enough):
+    """Against brute force; with one partner a word at first, so that a second pass must look for the others."""
+    if enough:
+        monkeypatch.setattr(linejoin, "ENOUGH", enough)
+    rows = varied_lines()
+    got = linejoin.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == kept_lines(rows)
+    lines = {k: len(x.split("\n")) for k, x in rows}
+    assert all(r.n_lines == lines[r.doc_id] and r.n_lines - r.n_removed == (len(r.text.split("\n")) if r.text else 0) for r in got)
+    assert sum(r.n_removed for r in got) > 80
+
+
+def test_similar_lines_read_the_texts_four_times(spark):
+    """To count words, to send prefixes, to verify and to cut; not again while no line is left with partners untried.  Once before that, for the keys alone."""
+    read = spark.sparkContext.accumulator(0)
+    rows = varied_lines()
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(seen, "doc_id long, text string")
+    assert linejoin.dedup_lines(docs).agg(F.sum(F.length("text"))).collect()[0][0] > 0
+    assert read.value <= 5 * len(rows)
+
+
+def test_similar_lines_words(spark):
+    """Words and lines of whole columns, also where rows touch, are empty or end in a line feed, and where more lines come than are sorted at once."""
+    texts = ["a B\n\nb a", "", "c", "averyveryverylongwordindeed x\n", "", " \n", "\n".join(f"{i} é{i}" for i in range(9000)), "A b"]
+    data = "".join(texts).encode()
+    offsets = np.concatenate(([0], np.cumsum([len(x.encode()) for x in texts])))
+    lines = linejoin.Lines(np.frombuffer(data, np.uint8), offsets, np.zeros(1 << 22, np.uint8))
+    want = [(i, j, len(set(low(x).split()))) for i, t in enumerate(texts) for j, x in enumerate(t.split("\n")) if x.split()]
+    assert [*zip(lines.row.tolist(), lines.number.tolist(), lines.size.tolist())] == want
+    name = {(i, j): k for i, j, k in zip(lines.row.tolist(), lines.number.tolist(), lines.k1.tolist())}
+    assert name[0, 0] == name[0, 2] == name[7, 0] and len(set(name.values())) == len(want) - 2
+    first = sorted(set(lines.words[:2].tolist()))
+    assert lines.words[:2].tolist() == first and lines.words[-2:].tolist() == first
+
+
 def test_counts_of_words(spark, small):
     texts = spark.createDataFrame([(x,) for _, x in small], "text string").repartition(4)
     assert rarity.count_words(texts).sum() == sum(len(re.findall(WS, x or "")) for _, x in small)
